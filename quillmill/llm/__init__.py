@@ -8,10 +8,13 @@ from __future__ import annotations
 
 MODULES = (
     "chat_prefix",
+    "embedding_dedup",
+    "simhash_dedup",
     "token_store",
     "token_counts",
     "quality_rules",
     "bpe_codec",
+    "pii_anchors",
 )
 
 
