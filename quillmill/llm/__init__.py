@@ -10,6 +10,7 @@ MODULES = (
     "chat_prefix",
     "embedding_dedup",
     "simhash_dedup",
+    "language_id",
     "token_store",
     "token_counts",
     "quality_rules",
