@@ -16,6 +16,7 @@ MODULES = (
     "quality_rules",
     "bpe_codec",
     "pii_anchors",
+    "source_mixing",
 )
 
 
