@@ -58,7 +58,7 @@ def handwriting_signals(ruled: Column, glyph: Column, stroke: Column) -> Column:
     )
 
 
-def classify_document(text_pages: Column, image_pages: Column, table_signals: Column, handwriting: Column, ocr: Column, glyph: Column, stroke: Column, total: Column, least_coverage: float = 0.3, table_threshold: float = 0.2) -> Column:
+def classify_document(text_pages: Column, image_pages: Column, table_signals: Column, handwriting: Column, ocr: Column, glyph: Column, stroke: Column, total: Column, least_coverage: float = 0.3, table_threshold: float = 0.4) -> Column:
     """struct<doc_type, confidence> by the decision tree over a document's page signals."""
     cover, tables, hand = text_pages / total, table_signals / total, handwriting / total
     some_images, some_text = image_pages > 0, text_pages > 0

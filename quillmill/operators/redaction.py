@@ -40,7 +40,7 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
     return [(a, y0, b - a, y1 - y0) for a, y0, b, y1 in out.values()]
 
 
-def detect_regions(image: np.ndarray, page: int = 0, threshold: int = 40, least: float = 0.001, most: float = 0.9, aspect: tuple[float, float] = (0.1, 10.0)) -> list[dict]:
+def detect_regions(image: np.ndarray, page: int = 0, threshold: int = 50, least: float = 0.001, most: float = 0.9, aspect: tuple[float, float] = (0.1, 10.0)) -> list[dict]:
     """Dark boxes of a plausible size and shape on one page."""
     if image is None or image.size == 0:
         return []

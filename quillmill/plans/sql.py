@@ -106,7 +106,7 @@ ORACLE: dict[str, str] = {
         len(list_filter(l, lambda t: contains(t, ' | '))) AS tab, len(list_filter(l, lambda t: contains(t, '%'))) AS hand FROM p),
       c AS (SELECT *, CASE WHEN m < 4 THEN m / 5.0 END AS shape, CASE WHEN m = 4 THEN 80.0 WHEN m = 5 THEN 40.0 END AS ocr FROM q),
       d AS (SELECT document_id, CASE
-        WHEN total = 0 THEN ['unknown', '0'] WHEN t / total >= 0.3 THEN CASE WHEN tab / total >= 0.8 THEN ['structured', '0.85'] WHEN tab / total >= 0.2 OR i > 0 THEN ['native_with_structured', '0.85'] ELSE ['native_narrative', CAST(least(0.7::DOUBLE + 0.3::DOUBLE * (t / total), 0.95::DOUBLE) AS VARCHAR)] END
+        WHEN total = 0 THEN ['unknown', '0'] WHEN t / total >= 0.3 THEN CASE WHEN tab / total >= 0.8 THEN ['structured', '0.85'] WHEN tab / total >= 0.4 OR i > 0 THEN ['native_with_structured', '0.85'] ELSE ['native_narrative', CAST(least(0.7::DOUBLE + 0.3::DOUBLE * (t / total), 0.95::DOUBLE) AS VARCHAR)] END
         WHEN t > 0 AND i > 0 AND t / total > 0.1 THEN ['hybrid', '0.65']
         WHEN i > 0 THEN CASE WHEN hand / total >= 0.8 THEN ['scanned_handwritten', '0.75'] WHEN hand > 0 THEN ['scanned_mixed', '0.7'] WHEN shape >= 0.6 THEN ['scanned_machinewritten', CAST(least(0.5 + 0.4 * shape, 0.85) AS VARCHAR)]
           WHEN shape < 0.35 THEN ['scanned_handwritten', '0.6'] WHEN ocr >= 70 THEN ['scanned_machinewritten', CAST(least(0.5 + ocr / 200, 0.85) AS VARCHAR)] WHEN ocr < 70 THEN ['unknown', '0.4'] ELSE ['scanned_machinewritten', '0.5'] END
