@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm.arrays import buffers, mix64, slices, span_hashes, text_column
 from quillmill.llm.bpe_core import byte_classes
-from quillmill.llm.shared import read_table, written
+from quillmill.llm.shared import read_table, unused, written
 
 PARTS, PART_BITS = 8, 15
 MAX_DISTANCE = 15
@@ -298,14 +298,15 @@ def _groups(prints: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` without the near copies; one document of each group stays."""
     prints = written(simhashes(docs, id_col, text_col), "simhash")
-    gone = written(_groups(prints).select("doc_id"), "near-copies").select(F.col("doc_id").alias("__gone"))
+    key = unused("key", docs.columns)
+    gone = written(_groups(prints).select("doc_id"), "near-copies").select(F.col("doc_id").alias(key))
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
-    twice = prints.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice"))
+    kept = docs.join(gone, docs[id_col].cast("bigint") == F.col(key), "left_anti")
+    twice = prints.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key))
     if twice.isEmpty():
         return kept
-    same = kept[id_col].cast("bigint") == F.col("__twice")
+    same = kept[id_col].cast("bigint") == F.col(key)
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col]))
 
 
