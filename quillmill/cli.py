@@ -26,7 +26,7 @@ def extract(spark, root: str, limit: int | None = None, skip: int = 0, done: sin
     for path, kind in paths:
         if kind == "docx":
             d = spark.read.format("docx").load(path)
-            parts.append(d.select("document_id", F.col("path").alias("source_path"), "text", F.lit("docx").alias("method"), "error"))
+            parts.append(d.select("document_id", F.lit(path).alias("source_path"), "text", F.lit("docx").alias("method"), "error"))
         elif path.lower().endswith(".csv"):
             df = tabular.read_csv(spark, path)
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -34,11 +34,11 @@ def extract(spark, root: str, limit: int | None = None, skip: int = 0, done: sin
         elif kind == "spreadsheet":
             x = spark.read.format("xlsx").load(path)
             pairs = F.filter(F.transform("cells", lambda v, i: F.when(X.strip(v) != "", F.concat(F.try_element_at(F.col("headers"), i + 1), F.lit(": "), X.strip(v)))), lambda t: t.isNotNull())
-            parts.append(x.select(F.concat_ws(":", "stem", "sheet", F.lit("row"), F.col("row_index").cast("string")).alias("document_id"), F.col("path").alias("source_path"), F.array_join(pairs, "\n").alias("text"), F.lit("spreadsheet").alias("method"), "error"))
+            parts.append(x.select(F.concat_ws(":", "stem", "sheet", F.lit("row"), F.col("row_index").cast("string")).alias("document_id"), F.lit(path).alias("source_path"), F.array_join(pairs, "\n").alias("text"), F.lit("spreadsheet").alias("method"), "error"))
         else:
             raw = spark.read.format("binaryFile").load(path)
             pages = backends.decode_pages(raw, "native_narrative")
-            parts.append(backends.collect_documents(pages).select("document_id", F.col("path").alias("source_path"), "text", F.lit("native_narrative").alias("method"), "error"))
+            parts.append(backends.collect_documents(pages).select("document_id", F.lit(path).alias("source_path"), "text", F.lit("native_narrative").alias("method"), "error"))
     if not parts:
         return spark.createDataFrame([], "document_id string, source_path string, text string, method string, error string, status string")
     out = parts[0]
