@@ -2,9 +2,10 @@
 
 1. Documents are tokenised and packed, per source, into blocks of exactly
    ``BLOCK_TOKENS`` tokens, an end-of-text token after each document.  A source
-   is split into ``LANES`` lanes by a hash of the id, so a hot source packs in
-   parallel; what a lane has left over is packed per source in a second step,
-   and only a source's very last block is filled up with end-of-text tokens.
+   is split by a hash of the id into as many lanes as it has ``LANE_DOCS``
+   documents, so lanes stay alike however much or hot a source is; what lanes
+   have left over is packed in a second step, ``REST_LANES`` lanes together,
+   and only the last block of these is filled up with end-of-text tokens.
 2. Every output shard draws how many of its slots go to each source from a
    multinomial with the target weights (a generator keyed by seed and shard).
 3. A source's slots are numbered over all shards; number x of epoch e takes the
@@ -38,7 +39,9 @@ from quillmill.llm.shared import read_table, written
 BLOCK_TOKENS = 2048
 #: Blocks of an output shard.
 SHARD_BLOCKS = 1024
-LANES = 64
+#: Documents of a lane, on average, and lanes whose rests are packed together.
+LANE_DOCS = 1024
+REST_LANES = 1024
 SEED = 20240
 #: Default weights: block counts to this power, scaled to 1.
 TEMPER = 0.7
@@ -122,16 +125,18 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PACKED_ARROW)], schema=_PACKED_ARROW)
 
 
-def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lanes: int = LANES, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str | None = "lang", vocab: str = DEFAULT_VOCAB) -> DataFrame:
-    """The blocks of all sources as a written table; (source, lane, k) names a block."""
-    doc = F.col(id_col).cast("bigint")
-    src = docs.select(
-        doc.alias("doc_id"),
+def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lane_docs: int = LANE_DOCS, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str | None = "lang", vocab: str = DEFAULT_VOCAB, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The blocks of all sources as written tables; (source, lane, k) names a block."""
+    plain = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         (F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")).alias("lang"),
-        F.pmod(F.xxhash64(doc), F.lit(lanes)).cast("int").alias("lane"),
         F.col(text_col).cast("string").alias("text"),
     )
+    lanes = written(plain.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / lane_docs).alias("lanes")), "lanes")
+    if lanes.count() <= broadcast_rows:
+        lanes = F.broadcast(lanes)
+    src = plain.join(lanes, "source").select("doc_id", "source", "lang", F.pmod(F.xxhash64("doc_id"), F.col("lanes")).cast("int").alias("lane"), "text")
 
     def tokenise(batches):
         import zstandard
@@ -172,11 +177,11 @@ def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lanes: int = LANES,
         p = _Packer(block, zstandard.ZstdCompressor(level=1).compress)
         key = None
         for batch in batches:
-            for s, blob, docs_, lens, langs, texts in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if s != key:
+            for s, group, blob, docs_, lens, langs, texts in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if (s, group) != key:
                     p.emit(False, eos)
-                    key = s
-                    p.open(s, lanes)
+                    key = (s, group)
+                    p.open(s, -1 - group)
                 ids, at = np.frombuffer(un(blob), "<u4"), 0
                 for d, n, lang, text in zip(docs_, lens, langs, texts):
                     # a piece that is cut once more keeps its text whole, in the part with its first token
@@ -187,7 +192,7 @@ def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lanes: int = LANES,
 
     tokens = src.mapInArrow(tokenise, "doc_id bigint, source string, lang string, lane int, ids binary")
     packed = written(tokens.repartition("source", "lane").sortWithinPartitions("source", "lane", "doc_id", "ids").mapInArrow(pack, _PACKED), "packed-blocks")
-    rest = packed.filter("rest").select("source", "lane", "ids", "doc_ids", "lens", "langs", "texts").repartition("source").sortWithinPartitions("source", "lane")
+    rest = packed.filter("rest").select("source", F.floor(F.col("lane") / REST_LANES).cast("int").alias("group"), "ids", "doc_ids", "lens", "langs", "texts", "lane").repartition("source", "group").sortWithinPartitions("source", "group", "lane")
     last = written(rest.drop("lane").mapInArrow(pack_rest, _PACKED), "packed-rest")
     return packed.filter("NOT rest").unionByName(last)
 
@@ -245,17 +250,18 @@ def draw_slots(spark, sizes: dict[str, int], weights: dict[str, float] | None =
     return placed.select("shard", "s", "taken", "before", "start").mapInArrow(expand, "source string, index bigint, epoch bigint, shard bigint, slot bigint")
 
 
-def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, lanes: int = LANES, seed: int = SEED, temper: float = TEMPER, with_text: bool = False, broadcast_rows: int = BROADCAST_ROWS, **columns) -> DataFrame:
+def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, lane_docs: int = LANE_DOCS, seed: int = SEED, temper: float = TEMPER, with_text: bool = False, broadcast_rows: int = BROADCAST_ROWS, **columns) -> DataFrame:
     """Every slot of every shard with its block (ids still compressed)."""
     spark = docs.sparkSession
-    blocks = pack_blocks(docs, block, lanes, with_text, **columns)
+    blocks = pack_blocks(docs, block, lane_docs, with_text, broadcast_rows=broadcast_rows, **columns)
     per_lane = blocks.groupBy("source", "lane").agg(F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     base = written(per_lane.withColumn("base", F.coalesce(F.sum("n").over(run), F.lit(0))), "lane-bases")
     sizes = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    n_bases = base.count()
     slots = draw_slots(spark, sizes, weights, epochs, shard_blocks, seed, temper)
     bases = base.select("source", "lane", "base")
-    if len(sizes) * (lanes + 1) <= broadcast_rows:
+    if n_bases <= broadcast_rows:
         bases = F.broadcast(bases)
     if sum(sizes.values()) * epochs <= broadcast_rows:
         slots = F.broadcast(slots)
