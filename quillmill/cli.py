@@ -110,9 +110,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "ingest-psv":
         return 0 if tabular.ingest_psv_directory(spark, a.input, a.output, a.md5) else 1
     else:
-        office.register(spark)
-        shapes = spark.read.format("shapefile").load(a.input)
-        shapes.write.mode("overwrite").parquet(a.output)
+        from quillmill.sources.geo import ingest_shape_directory
+
+        return 1 if any(r["error"] for r in ingest_shape_directory(spark, a.input, a.output)) else 0
     return 0
 
 

@@ -112,7 +112,7 @@ def find_candidates(text: Column, entities=("PERSON",), threshold: float = 0.35,
 
 def title_case_candidates(text: Column) -> Column:
     """All title-case word groups, as text, without scoring. Stays in the JVM."""
-    return F.regexp_extract_all(text, F.lit(rf"(?U)\b{NAMES}+\b".replace("(?:", "(?:")), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?U)\b{NAMES}+\b"), F.lit(0))
 
 
 def keep_first(spans: Column, by_score: bool = False) -> Column:

@@ -160,7 +160,7 @@ ORACLE: dict[str, str] = {
       i AS (SELECT *, greatest(0, least(k + q, 25) - greatest(k, 5)) * greatest(0, least(k + 10, 3 + q) - greatest(k, 3)) AS ov FROM l)
       SELECT l_orderkey, l_linenumber, round(CASE WHEN ov > 0 THEN ov / (q * 10 + 20 * q - ov) ELSE 0 END, 6) AS iou FROM i""",
     "cosine_reference": f"SELECT e.vec_id, round(max({_dot('e.embedding', 'r.embedding')} / (sqrt({_dot('e.embedding', 'e.embedding')}) * sqrt({_dot('r.embedding', 'r.embedding')}))), 5) AS best FROM embeddings e, embeddings r WHERE r.vec_id < 12 GROUP BY e.vec_id",
-    "title_case_groups": f"""WITH {_DOCS} SELECT document_id, name, count(*) AS n FROM (SELECT document_id, unnest(regexp_extract_all(text, '\\b[A-Z][-''A-Za-z]+(?:[^\\S\\n]+[A-Z][-''A-Za-z]+)+\\b')) AS name FROM docs WHERE lang = 'en') GROUP BY 1, 2""".replace("\\\\", "\\"),
+    "title_case_groups": f"""WITH {_DOCS} SELECT document_id, name, count(*) AS n FROM (SELECT document_id, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z][-''A-Za-z]+(?:[^\\S\\n]+[A-Z][-''A-Za-z]+)+\\b')) AS name FROM docs) GROUP BY 1, 2""".replace("\\\\", "\\"),
     "table_structure": f"""WITH {_DOCS}, p AS (SELECT document_id, replace(text, ' | ', '|x' || chr(10)) AS t FROM docs)
       SELECT document_id, regexp_matches(t, '(?:[^\\n|]*\\|[^\\n|]*\\|[^\\n]*\\n){{2}}|(?:[^\\n\\t]*\\t[^\\n\\t]*\\t[^\\n]*\\n){{2}}|(?:\\s{{2,}}\\S+\\s{{2,}}\\S[^\\n]*\\n){{3}}') AS has_table FROM p""".replace("\\\\", "\\"),
     "page_sampling": f"""WITH {_DOCS} SELECT document_id, CASE WHEN page_count <= 0 THEN '' WHEN page_count <= 5 THEN array_to_string(range(page_count), ',')

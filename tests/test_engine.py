@@ -292,6 +292,17 @@ def test_office_and_shapes(spark, tmp_path):
     assert struct.unpack_from("<BIII", s[0]["geometry"]) == (1, 3, 1, 5)
 
 
+def test_shape_ingest(spark, tmp_path):
+    from quillmill.sources import geo
+
+    make_shape(str(tmp_path / "s"), [[(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)]])
+    (tmp_path / "bad.shp").write_bytes(b"\0" * 130)
+    got = {r["source"].rsplit("/", 1)[-1]: r for r in geo.ingest_shape_directory(spark, str(tmp_path), str(tmp_path / "out"))}
+    assert got["s.shp"]["features"] == 1 and got["s.shp"]["geometry_type"] == "Polygon" and "bad.shp" in got
+    back = spark.read.parquet(got["s.shp"]["output"])
+    assert back.columns == ["NAME", "geometry"] and back.schema["geometry"].metadata["feature_count"] == "1" and "WKB" in back.schema["geometry"].metadata["geo"]
+
+
 def test_psv_and_csv(spark, tmp_path):
     f = tmp_path / "NSW_STATE_psv.psv"
     f.write_text("1|2020-01-01||NEW SOUTH WALES|NSW\n2||||\n")
