@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm.arrays import buffers, mix64, slices, span_hashes, text_column
 from quillmill.llm.bpe_core import byte_classes
-from quillmill.llm.shared import read_table, unused, written
+from quillmill.llm.shared import discard, made_since, mark, read_table, unused, written
 
 PARTS, PART_BITS = 8, 15
 MAX_DISTANCE = 15
@@ -267,8 +267,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        before = made_since(mark() - 1)
         now = written(small, "edges")
         last, seen = seen, state(now)
+        discard(now.sparkSession, before)
         if last == seen:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
