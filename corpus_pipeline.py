@@ -42,7 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.read_table(spark, sf_dir, "documents")
+    """All stages one after the other; what a stage wrote on its way goes once its result stands."""
+    docs, last = shared.read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        start = shared.mark()
         docs = shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        *work, result = shared.made_since(start)
+        shared.discard(spark, [*work, *last])
+        last = [result]
     return STAGES[-1][1](spark, docs, sf_dir)
