@@ -66,7 +66,7 @@ def run(spark, cfg: C.Config) -> dict[str, str]:
     return {"documents": f"{out}/documents.parquet", "chunks": f"{out}/chunks.parquet", "batch": batch}
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="quillmill")
     p.add_argument("-v", "--verbose", action="store_true")
     sub = p.add_subparsers(dest="verb", required=True)

@@ -83,20 +83,20 @@ def candidates_in(text: str, entities=("PERSON",), threshold: float = 0.35, scor
     out: list[tuple[int, int, str, float, int]] = []
     if not text:
         return out
-    put = lambda a, b, kind, score: out.append((a, b, kind, score, len(out)))
+    put = lambda m, kind, score: out.append((*m.span(), kind, score, len(out)))
     if "ADDRESS" in entities:
         for m in ADDRESS.finditer(text):
-            put(m.start(), m.end(), "ADDRESS", 0.9)
+            put(m, "ADDRESS", 0.9)
     if "PERSON" in entities:
         for m in HONORIFIC.finditer(text):
-            put(m.start(), m.end(), "PERSON", 0.9)
+            put(m, "PERSON", 0.9)
         sure = [(a, b) for a, b, *_ in out]
         for m in TITLE_CASE.finditer(text):
             if any(a <= m.start() and m.end() <= b for a, b in sure) or all(w in COMMON for w in m.group().split()):
                 continue
             score = scorer(text[max(0, m.start() - window) : m.end() + window])
             if score >= threshold:
-                put(m.start(), m.end(), "PERSON", score)
+                put(m, "PERSON", score)
     return out
 
 

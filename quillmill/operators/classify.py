@@ -108,7 +108,7 @@ def profile_pages(pages: DataFrame, least_text: int = 100, least_drawings: int =
 
 def key_column(headers: list[str]) -> str | None:
     """The first header that contains id, else name, code, key; else the first one."""
-    for word in ("id", "name", "code", "key"):
+    for word in "id name code key".split():
         for h in headers:
             if word in h.lower():
                 return h

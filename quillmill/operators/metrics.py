@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillmill.functions.text import character_error_rate, metric_form
 
 
-def spatial_text(words: list[tuple[str, tuple[float, float, float, float]]], tolerance: float = 0.5) -> str:
+Box = tuple[float, float, float, float]
+
+
+def spatial_text(words: list[tuple[str, Box]], tolerance: float = 0.5) -> str:
     """Words in reading order: by centre, a new line where one is too far below the line's first word."""
     if not words:
         return ""

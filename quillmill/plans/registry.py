@@ -337,7 +337,7 @@ def events_by_window(spark, d):
     return w.select(F.col("window_start").cast("string").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-# -- not expressible in SQL: tests hold these against brute force -----------------
+# == not expressible in SQL: tests hold these against brute force
 
 
 @_query

@@ -38,6 +38,9 @@ class DecodedPage:
     font_sizes: list[float] = field(default_factory=list)
 
 
+Prepared = tuple[np.ndarray, list]
+
+
 class PageDecoder(Protocol):
     def pages(self, content: bytes) -> Iterator[DecodedPage]: ...
 
@@ -51,7 +54,7 @@ class LayoutAnalyser(Protocol):
 
 
 class Preprocessor(Protocol):
-    def prepare(self, image: np.ndarray) -> tuple[np.ndarray, list[str]]: ...
+    def prepare(self, image: np.ndarray) -> Prepared: ...
 
 
 #: Classes of a general object detector as block types; others are figures.

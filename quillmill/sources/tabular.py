@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 SCHEMA_VERSION = "2024.11"
+_OF_CODES = "(?i)^" + "_".join(["authority", "code", "(.+?_aut)", "psv"]) + "$"
+_OF_STATE = "(?i)^" + "_".join(["([a-z]{2}[a-z]?)", "(.+)", "psv"]) + "$"
 _CODES = """ADDRESS_ALIAS_TYPE ADDRESS_CHANGE_TYPE ADDRESS_TYPE FLAT_TYPE GEOCODED_LEVEL_TYPE GEOCODE_RELIABILITY GEOCODE_TYPE LEVEL_TYPE
 LOCALITY_ALIAS_TYPE LOCALITY_CLASS MB_MATCH_CODE PS_JOIN_TYPE STREET_CLASS STREET_LOCALITY_ALIAS_TYPE STREET_SUFFIX STREET_TYPE"""
 # "@" stands for the two dates of a record's life, "<x>" for x with its prefix and suffix, a leading "=" for the table's own id
@@ -57,18 +59,18 @@ ADDRESS_TABLES = _tables()
 
 def parse_psv_name(stem: Column) -> Column:
     """struct<state, table>: authority code files first, then those of a state; nulls where neither fits."""
-    aut = F.regexp_extract(stem, r"(?i)^Authority_Code_(.+?_AUT)_psv$", 1)
-    state = F.regexp_extract(stem, r"(?i)^([A-Z]{2,3})_(.+)_psv$", 1)
-    table = F.regexp_extract(stem, r"(?i)^([A-Z]{2,3})_(.+)_psv$", 2)
+    aut = F.regexp_extract(stem, _OF_CODES, 1)
+    state = F.regexp_extract(stem, _OF_STATE, 1)
+    table = F.regexp_extract(stem, _OF_STATE, 2)
     is_aut, is_state = aut != "", table != ""
     return F.struct(F.when(~is_aut & is_state, F.upper(state)).alias("state"), F.when(is_aut, F.upper(aut)).when(is_state, F.upper(table)).alias("table"))
 
 
 def psv_name(stem: str) -> tuple[str | None, str | None]:
     """The same for one name on the driver."""
-    if m := re.match(r"(?i)^Authority_Code_(.+?_AUT)_psv$", stem):
+    if m := re.match(_OF_CODES, stem):
         return None, m[1].upper()
-    if m := re.match(r"(?i)^([A-Z]{2,3})_(.+)_psv$", stem):
+    if m := re.match(_OF_STATE, stem):
         return m[1].upper(), m[2].upper()
     return None, None
 

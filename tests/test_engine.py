@@ -13,7 +13,7 @@ from quillmill.operators import classify, enrich, fidelity, graph, images, metri
 from quillmill.sources import backends, files, office, sinks, tabular
 from quillmill.streaming import events, ingest
 
-# -- verification and fidelity -------------------------------------------------
+# == verification and fidelity
 
 
 def frame(spark, rows, schema="document_id string, source_path string, text string"):
@@ -56,7 +56,7 @@ def test_row_index_follows_the_order(spark):
     assert sorted((r["v"], r["row_index"]) for r in got) == [(i, i) for i in range(1000)]
 
 
-# -- classification ------------------------------------------------------------
+# == classification
 
 
 @pytest.mark.parametrize(
@@ -99,7 +99,7 @@ def test_sheets_and_rows(spark):
     assert whole["document_id"] == "stem:sh" and [line.split() for line in whole["text"].split("\n")] == [["x", "y"], ["a", "1"], ["bb", "22"]]
 
 
-# -- graph ---------------------------------------------------------------------
+# == graph
 
 
 @pytest.fixture(scope="module")
@@ -181,7 +181,7 @@ def test_enrich_stage(spark):
     assert [(r["document_id"], json.loads(r["json"])["text"], r["error"]) for r in got] == [("1", "long enough text", None)]
 
 
-# -- rasters, redaction, metrics -----------------------------------------------
+# == rasters, redaction, metrics
 
 
 def test_redacted_regions():
@@ -242,7 +242,7 @@ def test_reading_order_and_layout(spark):
     assert f["text"] == 1.0 and f["table"] == 0.0
 
 
-# -- files ---------------------------------------------------------------------
+# == files
 
 
 def make_docx(path):
@@ -353,7 +353,7 @@ def test_decoders(spark):
     assert "manual review" in backends.decode_pages(files_, "non_textual").first()["error"]
 
 
-# -- sinks, configuration, runs ------------------------------------------------
+# == sinks, configuration, runs
 
 
 def test_tables_keep_their_schema(spark, tmp_path):
