@@ -11,10 +11,11 @@ products of slices of at most 1024 dimensions (127*127*1024 < 2**24).  Only the
 pairs that may qualify are recomputed from the full vectors in double
 precision, in one fixed order of summation.
 
-Vectors are grouped into blocks by a hash of their id; the blocks' upper
-triangle is split over tasks and each task streams its partners, so a task
-holds two blocks at a time, and no row is left out: every vector is a query
-against all others.
+Vectors are grouped into blocks by a hash of their id, blocks into stripes; a
+task takes a pair of stripes, holds the first and streams the second.  With G
+stripes a block is sent to G tasks, so G is the square root of what parallel
+tasks need, or as many as keep a stripe within ``STRIPE_BYTES``.  No row is
+left out: every vector is a query against all others.
 
 Defined cases: null vectors, null ids, vectors with a null, NaN or infinite
 element, of zero length or without elements have no cosine and no pair;
@@ -26,6 +27,7 @@ gives an empty result; other columns of the input are never looked at.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from quillmill.llm.shared import read_table, written
 
 THRESHOLD = 0.95
-#: Vectors in a block, on average.
-BLOCK = 4096
+#: Vectors in a block, on average, and bytes of a stripe that a task holds, at most.
+BLOCK = 1024
+STRIPE_BYTES = 128 << 20
 TILE = 1024
 _EXACT = 1024
 
@@ -58,22 +61,52 @@ def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unpack(blob: bytes, n: int, dim: int) -> tuple[np.ndarray, ...]:
-    ids = np.frombuffer(blob, np.int64, n)
-    x = np.frombuffer(blob, np.float64, n * dim, n * 8).reshape(n, dim)
-    return ids, x
-
-
-def tile_pairs(ia, xa, ib, xb, threshold: float, same: bool, tile: int = TILE):
-    """(low id, high id, cosine) of all pairs at or above the threshold between two blocks of unit rows."""
-    qa, sa, ea = quantise(xa)
-    qb, sb, eb = (qa, sa, ea) if same else quantise(xb)
+@dataclass
+class Block:
+    """Vectors with their int8 form; ``full`` keeps the original values."""
+
+    ids: np.ndarray
+    q: np.ndarray
+    scale: np.ndarray
+    err: np.ndarray
+    norm: np.ndarray
+    full: np.ndarray
+
+    def pack(self) -> bytes:
+        kind = b"f" if self.full.dtype == np.float32 else b"d"
+        return b"".join([kind, *(np.ascontiguousarray(x).tobytes() for x in (self.ids, self.scale, self.err, self.norm, self.full, self.q))])
+
+    @classmethod
+    def unpack(cls, blob: bytes, n: int, dim: int) -> "Block":
+        at, parts = 1, []
+        for kind, shape in ((np.int64, (n,)), (np.float64, (n,)), (np.float64, (n,)), (np.float64, (n,)), (np.float32 if blob[:1] == b"f" else np.float64, (n, dim)), (np.int8, (n, dim))):
+            x = np.frombuffer(blob, kind, int(np.prod(shape)), at).reshape(shape)
+            at += x.nbytes
+            parts.append(x)
+        ids, scale, err, norm, full, q = parts
+        return cls(ids, q, scale, err, norm, full)
+
+
+def block_of(ids: np.ndarray, x: np.ndarray) -> Block | None:
+    """The rows that have a direction, or None."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = x / norm[:, None]
+    good = np.isfinite(unit).all(axis=1) & (norm > 0)
+    if not good.any():
+        return None
+    q, scale, err = quantise(unit[good])
+    narrow = x[good].astype(np.float32)
+    return Block(ids[good], q, scale, err, norm[good], narrow if (narrow == x[good]).all() else x[good])
+
+
+def tile_pairs(a: Block, b: Block, threshold: float, same: bool, tile: int = TILE):
+    """(low ids, high ids, cosines) of all pairs at or above the threshold between two blocks."""
     got = []
-    for i in range(0, len(ia), tile):
-        for j in range(i if same else 0, len(ib), tile):
-            qi, qj = qa[i : i + tile], qb[j : j + tile]
-            est = int8_products(qi, qj) * sa[i : i + tile, None].astype(np.float64) * sb[None, j : j + tile]
-            ei, ej = ea[i : i + tile, None], eb[None, j : j + tile]
+    for i in range(0, len(a.ids), tile):
+        for j in range(i if same else 0, len(b.ids), tile):
+            est = int8_products(a.q[i : i + tile], b.q[j : j + tile]) * a.scale[i : i + tile, None] * b.scale[None, j : j + tile]
+            ei, ej = a.err[i : i + tile, None], b.err[None, j : j + tile]
             r, c = np.nonzero(est + (ei + ej * (1 + ei)) >= threshold - 1e-9)
             if same and i == j:
                 m = r < c
@@ -81,51 +114,61 @@ def tile_pairs(ia, xa, ib, xb, threshold: float, same: bool, tile: int = TILE):
             for k in range(0, len(r), 1 << 16):
                 rr, cc = r[k : k + (1 << 16)] + i, c[k : k + (1 << 16)] + j
                 dot = np.zeros(len(rr))
-                for d in range(xa.shape[1]):  # one order of summation everywhere
-                    dot += xa[rr, d] * xb[cc, d]
-                m = (dot >= threshold) & (ia[rr] != ib[cc])
+                for d in range(a.full.shape[1]):  # one order of summation everywhere
+                    dot += a.full[rr, d].astype(np.float64) * b.full[cc, d]
+                dot /= a.norm[rr] * b.norm[cc]
+                m = (dot >= threshold) & (a.ids[rr] != b.ids[cc])
                 if m.any():
-                    x, y = ia[rr[m]], ib[cc[m]]
+                    x, y = a.ids[rr[m]], b.ids[cc[m]]
                     got.append((np.minimum(x, y), np.maximum(x, y), dot[m]))
     return got
 
 
 def _blocks(batches):
-    """Rows sorted by (dim, block) to one row a block: ids and unit vectors as bytes."""
+    """Rows sorted by (dim, block) to one row a block."""
     key, ids, rows = None, [], []
 
     def close():
-        x = np.array(rows, np.float64)
-        norm = np.sqrt((x * x).sum(axis=1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            x = x / norm[:, None]
-        good = np.isfinite(x).all(axis=1) & (norm > 0)
-        i = np.array(ids, np.int64)[good]
-        x = np.ascontiguousarray(x[good])
-        if len(i):
-            return [(key[0], key[1], len(i), i.tobytes() + x.tobytes())]
-        return []
-
-    def batch_of(out):
-        d, b, n, blob = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], names=["dim", "block", "n", "data"])
+        b = block_of(np.array(ids, np.int64), np.array(rows, np.float64))
+        if b is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([len(b.ids)], pa.int32()), pa.array([b.pack()], pa.binary())], names=["dim", "block", "n", "data"])
 
     for batch in batches:
-        dims, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        vid, vecs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for d, b, i, v in zip(dims, blocks, vid, vecs):
+        for d, b, i, v in zip(*(batch.column(c).to_pylist() for c in range(4))):
             if (d, b) != key:
-                if ids and (done := close()):
-                    yield batch_of(done)
+                if ids:
+                    yield from close()
                 key, ids, rows = (d, b), [], []
             ids.append(i)
             rows.append(v)
-    if ids and (done := close()):
-        yield batch_of(done)
+    if ids:
+        yield from close()
+
 
+def _compare(threshold: float):
+    """Rows sorted by task and side: the blocks of side 0 are held, those of side 1 stream by."""
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for dim, s, t, side, n, blob in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5)):
+                if (dim, s, t) != now:
+                    now, held = (dim, s, t), []
+                b = Block.unpack(blob.as_buffer().to_pybytes(), n, dim)
+                found = [x for h in held for x in tile_pairs(h, b, threshold, False)] if side == 1 or s == t else []
+                if side == 0:
+                    if s == t:
+                        found += tile_pairs(b, b, threshold, True)
+                    held.append(b)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(col)) for col in zip(*found)], names=["vec_a", "vec_b", "cosine"])
+
+    return run
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, stripe_bytes: int = STRIPE_BYTES) -> DataFrame:
     """(vec_a, vec_b, cosine) of all pairs with a cosine of at least ``threshold``; vec_a < vec_b, each pair once."""
+    spark = vectors.sparkSession
     src = (
         vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
         .filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
@@ -133,25 +176,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     n_blocks = max(1, math.ceil(src.count() / block))
     keyed = src.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v")
     packed = written(keyed.repartition(F.col("dim"), F.col("block")).sortWithinPartitions("dim", "block", "id").mapInArrow(_blocks, "dim int, block int, n int, data binary"), "vector-blocks")
-    a = packed.select("dim", F.col("block").alias("i"), F.col("n").alias("n_i"), F.col("data").alias("d_i"))
-    # each unordered pair of blocks once; the other side is shuffled to where its partner is due
-    pairs = a.select("dim", "i", F.explode(F.sequence(F.lit(0), F.lit(n_blocks // 2))).alias("step")).select("dim", "i", F.pmod(F.col("i") + F.col("step"), F.lit(n_blocks)).alias("j"), "step")
-    if n_blocks % 2 == 0 and n_blocks > 1:  # half way round, a pair would come twice
-        pairs = pairs.filter(f"step < {n_blocks // 2} OR i < j")
-    b = packed.select("dim", F.col("block").alias("j"), F.col("n").alias("n_j"), F.col("data").alias("d_j"))
-    work = pairs.join(a.hint("shuffle_hash"), ["dim", "i"]).join(b.hint("shuffle_hash"), ["dim", "j"]).repartition(F.col("dim"), F.col("i"), F.col("j"))
-
-    def run(batches):
-        for batch in batches:
-            dims, ii, jj, ni, nj = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("dim", "i", "j", "n_i", "n_j"))
-            di, dj = batch.column(batch.schema.get_field_index("d_i")), batch.column(batch.schema.get_field_index("d_j"))
-            for k in range(batch.num_rows):
-                ia, xa = _unpack(di[k].as_buffer(), ni[k], dims[k])
-                ib, xb = (ia, xa) if ii[k] == jj[k] else _unpack(dj[k].as_buffer(), nj[k], dims[k])
-                for x, y, c in tile_pairs(ia, xa, ib, xb, threshold, ii[k] == jj[k]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c)], names=["vec_a", "vec_b", "cosine"])
-
-    found = work.mapInArrow(run, "vec_a bigint, vec_b bigint, cosine double")
+    size = packed.agg(F.sum(F.length("data").cast("bigint"))).first()[0] or 0
+    parallel = math.ceil((math.sqrt(1 + 24 * int(spark.conf.get("spark.sql.shuffle.partitions"))) - 1) / 2)
+    stripes = min(n_blocks, max(parallel, math.ceil(size / stripe_bytes)))
+    stripe = F.col("block") % stripes
+    sent = packed.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))).select(
+        "dim", F.least(stripe, "u").alias("s"), F.greatest(stripe, "u").alias("t"), F.when(stripe <= F.col("u"), 0).otherwise(1).alias("side"), "n", "data", "block"
+    )
+    work = sent.repartition(F.col("dim"), F.col("s"), F.col("t")).sortWithinPartitions("dim", "s", "t", "side", "block").drop("block")
+    found = work.mapInArrow(_compare(threshold), "vec_a bigint, vec_b bigint, cosine double")
     # ids that stand in several rows may give a pair several times
     return found.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
