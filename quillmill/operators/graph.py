@@ -17,15 +17,23 @@ EDGE = ["document_id", "source_id", "target_id", "relation", "props"]
 _NAMED = {"persons": "person", "locations": "location", "terms": "term", "external_documents": "external_document"}
 
 
-def span_chunks(spans: DataFrame, chunks: DataFrame, how: str = "inner", narrative_only: bool = True) -> DataFrame:
+#: Characters of a bin: documents longer than that spread their spans and chunks over several join keys.
+BIN_CHARS = 65536
+
+
+def span_chunks(spans: DataFrame, chunks: DataFrame, narrative_only: bool = True, bin_chars: int = BIN_CHARS) -> DataFrame:
     """Each span (document_id, start, end, ...) with the chunks that it overlaps.
 
+    An equi-join on the document and a bin of offsets, the overlap as residual;
+    a pair that shares several bins counts in the one where the overlap begins.
     A table chunk's offsets refer to its own markdown, so only narrative chunks take part unless told otherwise.
     """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_chars), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bin_chars)))
     c = chunks.filter("content_type = 'narrative'") if narrative_only and "content_type" in chunks.columns else chunks
-    c = c.select(F.col("document_id").alias("__d"), "chunk_index", "start_char", "end_char")
-    on = (F.col("document_id") == F.col("__d")) & (F.col("start_char") < F.col("end")) & (F.col("start") < F.col("end_char"))
-    return spans.join(c, on, how).drop("__d", "start_char", "end_char")
+    c = c.select(F.col("document_id").alias("__d"), "chunk_index", "start_char", "end_char", bins("start_char", "end_char").alias("__c"))
+    first = F.floor(F.greatest("start", "start_char") / bin_chars)
+    on = (F.col("document_id") == F.col("__d")) & (F.col("__b") == F.col("__c")) & (F.col("start_char") < F.col("end")) & (F.col("start") < F.col("end_char")) & (first == F.col("__b"))
+    return spans.withColumn("__b", bins("start", "end")).join(c, on).drop("__d", "__b", "__c", "start_char", "end_char")
 
 
 def first_chunk(spans: DataFrame, chunks: DataFrame, key: list[str], narrative_only: bool = True) -> DataFrame:

@@ -153,6 +153,17 @@ def test_mentions_meta_and_spans(enriched):
     assert {r["chunk_index"] for r in none.collect()} == {-1}
 
 
+def test_bins_of_offsets_change_nothing(spark):
+    rng = np.random.default_rng(7)
+    a = [(f"d{rng.integers(2)}", int(x), int(x + rng.integers(0, 300))) for x in rng.integers(0, 1000, 120)]
+    b = [(f"d{rng.integers(2)}", i, int(x), int(x + rng.integers(1, 400)), "narrative") for i, x in enumerate(rng.integers(0, 1000, 60))]
+    spans = spark.createDataFrame(a, "document_id string, start int, end int")
+    chunks = spark.createDataFrame(b, "document_id string, chunk_index int, start_char int, end_char int, content_type string")
+    want = sorted((d, s, e, i) for d, s, e in a for dd, i, cs, ce, _ in b if d == dd and cs < e and s < ce)
+    for size in (10, 97, 10**6):
+        assert sorted(tuple(r) for r in graph.span_chunks(spans, chunks, bin_chars=size).collect()) == want
+
+
 def test_retries():
     seen, slept = [], []
 
