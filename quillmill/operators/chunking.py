@@ -8,6 +8,7 @@ neighbouring pieces are merged again as long as they fit.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,30 +25,40 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
+def _measure(text: str, count: Callable[[str], int]) -> Callable[[int, int], int]:
+    """Tokens of text[a:b]; words are counted from their places, without slicing."""
+    if count is not word_count:
+        return lambda a, b: count(text[a:b])
+    starts = [m.start() for m in re.finditer(r"\S+", text)]
+    inside = lambda a: 0 < a < len(text) and not text[a].isspace() and not text[a - 1].isspace()
+    return lambda a, b: bisect_left(starts, b) - bisect_left(starts, a) + (a < b and inside(a))
+
+
 def split_text(text: str, size: int, count: Callable[[str], int] = word_count, overlap: float = 0) -> list[tuple[int, int]]:
     """Ranges [start, end) of at most ``size`` tokens; ``overlap`` under 1 is a share of the size, from 1 on a number of tokens."""
     if size < 1:
         raise ValueError("chunk_size has to be 1 at least")
-    if not text or not text.strip():
-        return []
     extra = int(overlap * size) if overlap < 1 else int(overlap)
     if extra >= size:
         raise ValueError("the overlap has to be less than the chunk size")
+    if not text or not text.strip():
+        return []
+    tokens = _measure(text, count)
     out: list[tuple[int, int]] = []
-    for a, b in _merge(text, _cut(text, 0, len(text), size - extra, count, 0), size - extra, count):
+    for a, b in _merge(_cut(text, 0, len(text), size - extra, tokens, 0), size - extra, tokens):
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
         if b > a:
             out.append((a, b))
-    if extra:
-        wide = [out[0]] if out else []
+    if extra and out:
+        wide = [out[0]]
         for (p, _), (a, b) in zip(out, out[1:]):
             # reach back over whole words while the chunk still fits
             first = a
             for m in reversed(list(re.finditer(r"\S+", text[p:a]))):
-                if count(text[p + m.start() : a]) > extra or count(text[p + m.start() : b]) > size:
+                if tokens(p + m.start(), a) > extra or tokens(p + m.start(), b) > size:
                     break
                 first = p + m.start()
             wide.append((first, b))
@@ -55,28 +66,28 @@ def split_text(text: str, size: int, count: Callable[[str], int] = word_count, o
     return out
 
 
-def _cut(text, a, b, size, count, level) -> list[tuple[int, int]]:
-    if b <= a or count(text[a:b]) <= size:
+def _cut(text, a, b, size, tokens, level) -> list[tuple[int, int]]:
+    if b <= a or tokens(a, b) <= size:
         return [(a, b)]
     while level < len(_LEVELS):
         at = [a + m.end() for m in _LEVELS[level].finditer(text[a:b]) if a + m.end() < b]
+        level += 1
         if at:
             edges = [a, *at, b]
-            return [r for x, y in zip(edges, edges[1:]) for r in _cut(text, x, y, size, count, level + 1)]
-        level += 1
+            return [r for x, y in zip(edges, edges[1:]) for r in _cut(text, x, y, size, tokens, level)]
     if b - a == 1:
         return [(a, b)]
     mid = (a + b) // 2
-    return _cut(text, a, mid, size, count, level) + _cut(text, mid, b, size, count, level)
+    return _cut(text, a, mid, size, tokens, level) + _cut(text, mid, b, size, tokens, level)
 
 
-def _merge(text, ranges, size, count) -> list[tuple[int, int]]:
+def _merge(ranges, size, tokens) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     i = 0
     while i < len(ranges):
         # the furthest piece that still fits, by doubling and halving
         lo, hi, step = i, len(ranges) - 1, 1
-        fits = lambda k: count(text[ranges[i][0] : ranges[k][1]]) <= size  # noqa: B023, E731
+        fits = lambda k: tokens(ranges[i][0], ranges[k][1]) <= size  # noqa: B023, E731
         while lo + step <= hi and fits(lo + step):
             lo, step = lo + step, step * 2
         while step:
