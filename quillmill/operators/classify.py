@@ -42,6 +42,16 @@ def has_table_structure(text: Column) -> Column:
     return text.rlike(rf"(?U){two}|(?<!\s)(?:\s{{2,}}\S++\s{{2,}}\S[^\n]*+\n){{3}}")
 
 
+def has_structural_tables(tables: Column, least_cells: int = 4) -> Column:
+    """A detected table of at least so many cells. ``tables``: array of structs with rows and cols."""
+    return F.exists(tables, lambda t: t["rows"] * t["cols"] >= least_cells)
+
+
+def has_form_structure(n_widgets: Column, spans: Column) -> Column:
+    """Two form fields, or ten short pieces of text."""
+    return (n_widgets >= 2) | (F.size(F.filter(spans, lambda s: F.length(strip(s)).between(1, 30))) >= 10)
+
+
 def sampled_pages(total: Column, most: int = 5) -> Column:
     """Page numbers that are looked at: all up to ``most``, else evenly spread ones."""
     return F.when(total <= 0, F.array().cast("array<int>")).when(total <= most, F.sequence(F.lit(0), total - 1)).otherwise(

@@ -381,6 +381,33 @@ def test_tables_keep_their_schema(spark, tmp_path):
     assert [r["source_path"] for r in prog.remaining(docs).collect()] == ["p2"] and prog.counts().first().asDict() == {"succeeded": 1, "failed": 1}
 
 
+def test_stages_compose(spark):
+    from quillmill.plans import stages
+
+    page = "array<struct<page_number:int,text:string>>"
+    docs = spark.createDataFrame([("a", "completed", [(0, "Dr Jane Doe wrote it' $ all down here"), (1, " "), (2, "last page of the file")], []), ("b", "error", [], [])], f"document_id string, status string, pages {page}, warnings array<string>")
+    done = stages.normalise(docs)
+    a = done.filter("document_id = 'a'").first()
+    assert a["warnings"] == ["blank page 1 (method=native)"] and a["text"].startswith("Dr Jane Doe wrote it's all")
+    raster = np.full((100, 100), 255, np.uint8)
+    raster[10:40, 10:60] = 0
+    pages = spark.createDataFrame([("a", 2, 100, 100, raster.tobytes())], "document_id string, page_number int, width int, height int, pixels binary")
+    red = stages.redact(done, pages, config.Redaction(mode="blackout"))
+    assert "[REDACTED]\nlast page" in red.filter("document_id = 'a'").first()["text"] and "page 2: 1 redacted region(s) detected" in red.filter("document_id = 'a'").first()["warnings"]
+    chunks = stages.chunk(red, config.Chunking(chunk_size=6))
+    got = chunks.orderBy("chunk_index").collect()
+    assert [r["has_redaction"] for r in got] == ["REDACTED" in r["text"] or "last" in r["text"] or "file" in r["text"] for r in got] and any(r["has_redaction"] for r in got)
+    clean = stages.clean_chunks(chunks, config.Pii(enabled=True, context_similarity_threshold=1.0))
+    assert any(r["text_clean"].startswith("<PERSON> wrote") for r in clean.collect())
+    with pytest.raises(ValueError):
+        stages.clean_chunks(chunks, config.Pii(enabled=True, pipeline_point="nowhere"))
+    e = stages.enrich_documents(red, lambda: lambda ts: [json.dumps({"text": t, "type": "other", "persons": [{"id": "p", "type": "natural", "name": {"start": 0, "end": 2}, "mentions": [{"start": 12, "end": 17}]}]}) for t in ts], config.Enrichment(enabled=True), concurrency=1)
+    known = stages.clean_chunks(chunks, config.Pii(enabled=True, pipeline_point="post_enrichment", context_similarity_threshold=1.0), e)
+    assert any("<PERSON> <PERSON> it" in r["text_clean"] for r in known.collect())
+    assert stages.summary(red).first().asDict() == {"succeeded": 1, "failed": 1}
+    assert stages.format_eta(59) == "59s" and stages.format_eta(61) == "1m 1s" and stages.format_eta(7300) == "2h 1m"
+
+
 def test_configuration_bounds():
     base = {"paths": {"input_root": "i", "output_root": "o"}}
     assert config.Config.model_validate(base).chunking.chunk_size == 480
