@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single document forms its own slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -46,11 +46,29 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+_libc: list = []
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a worker lives on between tasks, next to an executor's heap."""
+    if not _libc:
+        import ctypes
+
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda _: 0)
+    pa.default_memory_pool().release_unused()
+    _libc[0](0)
+
+
 def text_slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES):
     """(first row, last row + 1, bytes, offsets) for each slice of a batch."""
     buf, offs = buffers(text_column(batch, name))
     for i, j in slices(offs, limit):
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+    del buf, offs
+    trim()
 
 
 def ragged_take(flat: np.ndarray, offs: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

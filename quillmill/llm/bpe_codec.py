@@ -24,7 +24,7 @@ from quillmill.llm.bpe_core import DEFAULT_VOCAB, Ranks, pretokens
 from quillmill.llm.shared import read_table
 
 #: Pre-tokens whose ids a worker keeps before it starts afresh.
-KEPT = 400_000
+KEPT = 250_000
 
 
 class HeapCodec:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quillmill.llm.arrays import buffers, slices, text_column
+from quillmill.llm.arrays import buffers, slices, text_column, trim
 from quillmill.llm.bpe_core import byte_classes
 from quillmill.llm.shared import read_table
 
@@ -325,6 +325,8 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                     [batch.column(0).slice(i, n), pa.array(top.tolist(), pa.string()), pa.array(per, pa.int32()), pa.ListArray.from_arrays(pa.array(so, pa.int32()), spans)],
                     names=["doc_id", "lang", "n_spans", "spans"],
                 )
+            del buf, offs
+            trim()
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id bigint, lang string, n_spans int, spans array<struct<start:int,end:int,lang:string>>")

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quillmill.llm.arrays import buffers, mix64, slices, span_hashes, text_column
+from quillmill.llm.arrays import buffers, mix64, slices, span_hashes, text_column, trim
 from quillmill.llm.bpe_core import byte_classes
 from quillmill.llm.shared import discard, made_since, mark, read_table, unused, written
 
@@ -95,6 +95,8 @@ def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 [batch.column(0), pa.array(f[:, 0].view(np.int64) if f.size else [], pa.int64()), pa.array(np.ascontiguousarray(f[:, 1]).view(np.int64) if f.size else [], pa.int64()), pa.array(c, pa.int64())],
                 names=["doc_id", "fa", "fb", "n_words"],
             )
+            del buf, offs
+            trim()
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id bigint, fa bigint, fb bigint, n_words bigint")
