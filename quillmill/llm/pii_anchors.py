@@ -50,7 +50,7 @@ _URL_END = re.compile(r"[^\s<>\"'|]+")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
 _CUE_VALUE = re.compile(r"(?:\s*(?:number|num|no|nr|id|#)\b\.?)?\s*[:=#]?\s*([A-Za-z0-9](?:[A-Za-z0-9 -]{4,38})[A-Za-z0-9])")
 _SECRET_VALUE = re.compile(r"[\"']?\s*[:=]\s*(?:Bearer\s+)?([\"']?)([^\s\"'<>]{6,})\1")
-_STREET = re.compile(r"\d{1,5}[A-Za-z]?(?:[-/]\d{1,5})?(?:[^\S\n]+[A-Z][\w'’.-]*){1,4}?[^\S\n]+(?:" + "|".join(STREETS) + r")\b\.?")
+_STREET = re.compile(r"\d{1,5}[A-Za-z]?(?:[-/]\d{1,5})?(?:[^\n\S]+[A-Z][\w'’.-]*){1,4}?[^\n\S]+(?:" + "|".join(STREETS) + r")\b\.?")
 _NATIONAL = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])")
 
 _automaton = None

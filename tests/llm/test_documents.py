@@ -10,7 +10,7 @@ from quillmill.llm.arrays import buffers
 from .common import LONG, empty, nasty, rows
 
 
-# -- 1 chat formatting ---------------------------------------------------------
+# == 1 chat formatting
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, turns string, at int, context string"
 
@@ -40,7 +40,7 @@ def test_prefix_targets_match_a_plain_loop(spark):
     assert chat_prefix.prefix_targets(spark.createDataFrame([], TURNS)).count() == 0
 
 
-# -- 2 embeddings --------------------------------------------------------------
+# == 2 embeddings
 
 
 def test_error_bounds_are_rigorous():
@@ -76,7 +76,7 @@ def test_near_vectors_match_brute_force(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
 
 
-# -- 3 simhash -----------------------------------------------------------------
+# == 3 simhash
 
 
 def by_hand(texts: dict):
@@ -174,7 +174,7 @@ def test_simhash_on_nasty_rows(spark):
     assert simhash_dedup.near_copies(empty(spark)).count() == 0 and simhash_dedup.drop_near_copies(empty(spark)).count() == 0
 
 
-# -- 4 languages ---------------------------------------------------------------
+# == 4 languages
 
 
 def test_viterbi_matches_a_plain_one():
@@ -216,7 +216,7 @@ def test_languages_on_nasty_rows(spark):
     assert language_id.label_languages(nasty(spark), language_id.train(empty(spark))).count() == len(rows())
 
 
-# -- 7 quality -----------------------------------------------------------------
+# == 7 quality
 
 
 def test_quality_on_nasty_rows_and_by_hand(spark):
@@ -248,7 +248,7 @@ def test_bands_keep_clean_documents_and_reject_bad_ones(spark, small):
     assert quality_rules.judge(clean + base64.b64encode(os.urandom(9000)) + clean, comp)[2] == "bad_chunks"
 
 
-# -- 9 personal data -----------------------------------------------------------
+# == 9 personal data
 
 
 def test_items_and_their_bounds():
