@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,9 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows, as float64 where several slices are added."""
+    """Exact integer products of all rows, as float64 where several slices are added; float32 forms of the rows do as well."""
     if a.shape[1] <= _EXACT:
-        return a.astype(np.float32) @ b.astype(np.float32).T
+        return a.astype(np.float32, copy=False) @ b.astype(np.float32, copy=False).T
     out = np.zeros((len(a), len(b)), np.float64)
     for k in range(0, a.shape[1], _EXACT):
         out += a[:, k : k + _EXACT].astype(np.float32) @ b[:, k : k + _EXACT].astype(np.float32).T
@@ -72,6 +73,11 @@ class Block:
     norm: np.ndarray
     full: np.ndarray
 
+    @cached_property
+    def wide(self) -> np.ndarray:
+        """The int8 rows as float32, turned once."""
+        return self.q.astype(np.float32)
+
     def pack(self) -> bytes:
         kind = b"f" if self.full.dtype == np.float32 else b"d"
         return b"".join([kind, *(np.ascontiguousarray(x).tobytes() for x in (self.ids, self.scale, self.err, self.norm, self.full, self.q))])
@@ -105,9 +111,14 @@ def tile_pairs(a: Block, b: Block, threshold: float, same: bool, tile: int = TIL
     got = []
     for i in range(0, len(a.ids), tile):
         for j in range(i if same else 0, len(b.ids), tile):
-            est = int8_products(a.q[i : i + tile], b.q[j : j + tile]) * a.scale[i : i + tile, None] * b.scale[None, j : j + tile]
-            ei, ej = a.err[i : i + tile, None], b.err[None, j : j + tile]
-            r, c = np.nonzero(est + (ei + ej * (1 + ei)) >= threshold - 1e-9)
+            prod = int8_products(a.wide[i : i + tile], b.wide[j : j + tile])
+            si, sj, ei, ej = a.scale[i : i + tile], b.scale[j : j + tile], a.err[i : i + tile], b.err[j : j + tile]
+            # one bound a row, from the tile's greatest scale and error; then each pair's own
+            least = threshold - 1e-9 - ei - ej.max() * (1 + ei)
+            least = np.where(least > 0, least / (si * sj.max()) * (1 - 1e-6), -np.inf)
+            r, c = np.nonzero(prod >= least.astype(prod.dtype)[:, None])
+            m = prod[r, c] * si[r] * sj[c] + ei[r] + ej[c] * (1 + ei[r]) >= threshold - 1e-9
+            r, c = r[m], c[m]
             if same and i == j:
                 m = r < c
                 r, c = r[m], c[m]
