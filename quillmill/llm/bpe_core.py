@@ -137,6 +137,11 @@ class Ranks:
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.blob_offs = np.concatenate([[0], np.cumsum([len(t) for t in self.tokens])]).astype(np.int64)
 
+    @property
+    def kind(self) -> str:
+        """Least unsigned type, little-endian, that holds every id and the one after the last."""
+        return "<u2" if self.size < 1 << 16 else "<u4"
+
     @classmethod
     def load(cls, path: str = DEFAULT_VOCAB) -> "Ranks":
         """One copy in each Python worker."""

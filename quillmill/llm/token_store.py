@@ -8,8 +8,8 @@ the document's root; manifests hash the roots of a shard of documents in
 order.  Verification recomputes every chunk's digest from its bytes and every
 root from the chunks that are really stored.
 
-Ids are little-endian uint32 in the digest and in the payload, compressed by
-zstandard.  One shuffle groups equal chunks, one more small one checks recipes.
+Ids are little-endian in digest and payload, two bytes wide where the
+vocabulary allows, and payloads are compressed by zstandard.  One shuffle groups equal chunks, one more small one checks recipes.
 
 Defined cases: a null or empty text has an empty recipe, 0 ids and the root
 of the empty tree; repeated rows (same id, same text) share one recipe whose
@@ -88,6 +88,7 @@ def _emit(vocab: str):
         import zstandard
 
         ranks = Ranks.load(vocab)
+        wide = np.dtype(ranks.kind).itemsize
         comp = zstandard.ZstdCompressor(level=1).compress
         schema = pa.schema(
             [("kind", pa.string()), ("doc_id", pa.int64()), ("shard", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("recipe", pa.list_(pa.binary())), ("n_ids", pa.int64()), ("stream", pa.binary())]
@@ -97,21 +98,20 @@ def _emit(vocab: str):
             for i, j, buf, offs in text_slices(batch, "text"):
                 ids, io = ranks.encode_slice(buf, offs)
                 ends = cut_points(ids, io)
-                raw = ids.astype("<u4").tobytes()
+                raw = ids.astype(ranks.kind).tobytes()
                 chunks: dict[bytes, tuple[bytes, int]] = {}
                 docs = []
                 for d, cuts in enumerate(ends):
-                    a, recipe = int(io[d]) * 4, []
-                    start = a
-                    base = a
+                    base, recipe = int(io[d]) * wide, []
+                    start = base
                     for c in cuts:
-                        part = raw[start : base + c * 4]
+                        part = raw[start : base + c * wide]
                         digest = hashlib.sha256(part).digest()
                         if digest not in chunks:
-                            chunks[digest] = (comp(part), len(part) // 4)
+                            chunks[digest] = (comp(part), len(part) // wide)
                         recipe.append(digest)
-                        start = base + c * 4
-                    docs.append((recipe, int(io[d + 1] - io[d]), hashlib.sha256(raw[base : int(io[d + 1]) * 4]).digest()))
+                        start = base + c * wide
+                    docs.append((recipe, int(io[d + 1] - io[d]), hashlib.sha256(raw[base : int(io[d + 1]) * wide]).digest()))
                 k, n = len(chunks), len(docs)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -148,13 +148,14 @@ def build_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return written(one, "token-store")
 
 
-def _chunk_facts(store: DataFrame) -> DataFrame:
+def _chunk_facts(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """(digest, sound, n_ids) of each stored chunk, its digest recomputed from the payload."""
 
     def run(batches):
         import zstandard
 
         un = zstandard.ZstdDecompressor().decompress
+        wide = np.dtype(Ranks.load(vocab).kind).itemsize
         for batch in batches:
             good, n = [], []
             for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -163,13 +164,13 @@ def _chunk_facts(store: DataFrame) -> DataFrame:
                 except (zstandard.ZstdError, TypeError):
                     raw = None
                 good.append(raw is not None and hashlib.sha256(raw).digest() == digest)
-                n.append(len(raw) // 4 if raw is not None else 0)
+                n.append(len(raw) // wide if raw is not None else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good, pa.bool_()), pa.array(n, pa.int64())], names=["digest", "sound", "stored_ids"])
 
     return store.filter("kind = 'chunk'").select("digest", "payload").mapInArrow(run, "digest binary, sound boolean, stored_ids bigint")
 
 
-def verify(store: DataFrame) -> DataFrame:
+def verify(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """(doc_id, root, verified): every chunk of the recipe is stored and sound, the lengths add up, the root follows from the recipe."""
 
     def roots(batches):
@@ -180,7 +181,7 @@ def verify(store: DataFrame) -> DataFrame:
     docs = store.filter("kind = 'document'").select("doc_id", "digest", "n_ids", "recipe").mapInArrow(roots, "doc_id bigint, root binary, n_ids bigint, recipe array<binary>, root_ok boolean")
     parts = docs.select("doc_id", "root", "n_ids", "root_ok", F.explode_outer("recipe").alias("digest"))
     return (
-        parts.join(_chunk_facts(store), "digest", "left")
+        parts.join(_chunk_facts(store, vocab), "digest", "left")
         .groupBy("doc_id", "root", "n_ids", "root_ok")
         .agg(F.min(F.coalesce("sound", F.col("digest").isNull())).alias("all_sound"), F.sum(F.coalesce("stored_ids", F.lit(0))).alias("got"))
         .select("doc_id", "root", (F.col("root_ok") & F.col("all_sound") & (F.col("got") == F.col("n_ids"))).alias("verified"))
@@ -210,7 +211,7 @@ def reconstruct(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
             ids, texts, exact = [], [], []
             for stream, parts in zip(batch.column("stream").to_pylist(), batch.column("parts").to_pylist()):
                 raw = b"".join(un(p["payload"]) for p in parts if p["payload"] is not None)
-                got = np.frombuffer(raw, "<u4")
+                got = np.frombuffer(raw, ranks.kind)
                 ids.append(got.tolist())
                 texts.append(b"".join(ranks.tokens[k] for k in got.tolist()).decode("utf-8", "replace"))
                 exact.append(hashlib.sha256(raw).digest() == stream)
@@ -222,7 +223,7 @@ def reconstruct(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
 def content_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCAB, shards: int = SHARDS) -> DataFrame:
     """Chunks, verified document recipes and shard manifests in one table."""
     store = build_store(docs, id_col, text_col, vocab, shards)
-    checked = verify(store).select(F.col("doc_id").alias("_d"), F.col("root").alias("_r"), "verified")
+    checked = verify(store, vocab).select(F.col("doc_id").alias("_d"), F.col("root").alias("_r"), "verified")
     none = lambda kind: F.lit(None).cast(kind)
     chunk = store.filter("kind = 'chunk'").select("kind", "doc_id", "shard", F.hex("digest").alias("digest"), "payload", none("array<string>").alias("recipe"), "n_ids", "refs", none("boolean").alias("verified"))
     documents = (
