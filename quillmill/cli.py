@@ -68,7 +68,7 @@ def run(spark, cfg: C.Config) -> dict[str, str]:
 
 def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="quillmill")
-    p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("--verbose", "-v", default=False, action="store_true")
     sub = p.add_subparsers(dest="verb", required=True)
     for verb, names in {"run": ["config"], "extract": ["input", "output"], "chunk": ["input", "output"], "redact": ["input", "output"], "ingest-psv": ["input", "output"], "ingest-shapes": ["input", "output"]}.items():
         s = sub.add_parser(verb)

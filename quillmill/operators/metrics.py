@@ -27,12 +27,13 @@ def spatial_text(words: list[tuple[str, Box]], tolerance: float = 0.5) -> str:
     return "\n".join(" ".join(t for _, t in sorted(line, key=lambda w: w[0])) for line in lines)
 
 
-def _box_iou(a, b) -> float:
-    w = min(a[2], b[2]) - max(a[0], b[0])
-    h = min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
+def _box_iou(one: Box, other: Box) -> float:
+    (left, top, right, bottom), (l2, t2, r2, b2) = one, other
+    width, height = min(right, r2) - max(left, l2), min(bottom, b2) - max(top, t2)
+    if width <= 0 or height <= 0:
         return 0.0
-    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+    both = width * height
+    return both / ((right - left) * (bottom - top) + (r2 - l2) * (b2 - t2) - both)
 
 
 def concordance(order: list[int]) -> float:

@@ -58,7 +58,7 @@ class Preprocessor(Protocol):
 
 
 #: Classes of a general object detector as block types; others are figures.
-BLOCK_TYPES = {"book": "text", "laptop": "figure", "tv": "figure", "cell phone": "figure", "keyboard": "table", "clock": "figure"}
+BLOCK_TYPES = {"keyboard": "table", "book": "text"} | dict.fromkeys(("clock", "tv", "laptop", "cell phone"), "figure")
 SCHEMA = "path string, document_id string, page_number int, text string, method string, confidence double, warnings array<string>, n_tables int, n_images int, error string"
 BLANK = 100
 LOW_BLUR, LOW_CONFIDENCE = 50.0, 40.0

@@ -66,7 +66,7 @@ def parse_psv_name(stem: Column) -> Column:
     return F.struct(F.when(~is_aut & is_state, F.upper(state)).alias("state"), F.when(is_aut, F.upper(aut)).when(is_state, F.upper(table)).alias("table"))
 
 
-def psv_name(stem: str) -> tuple[str | None, str | None]:
+def psv_name(stem: str) -> tuple:
     """The same for one name on the driver."""
     if m := re.match(_OF_CODES, stem):
         return None, m[1].upper()
