@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillmill import config as C
 from quillmill.functions import text as X
 from quillmill.operators import chunking, classify, pii
-from quillmill.session import get_session
+from quillmill.session import get_session, ship
 from quillmill.sources import backends, files, office, sinks, tabular
 
 
@@ -88,6 +88,7 @@ def main(argv=None) -> int:
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO)
     spark = get_session()
+    ship(spark)
     if a.verb == "run":
         run(spark, C.load(a.config))
     elif a.verb == "extract":
