@@ -8,30 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import bpe_codec, pii_anchors, quality_rules, shared, simhash_dedup, source_mixing
+from quillmill.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose compression stays inside the bands."""
+    ship(spark)
     return quality_rules.keep_by_compression(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship(spark)
     return simhash_dedup.drop_near_copies(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    ship(spark)
     return pii_anchors.redact_private(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the blocks that the mixture draws, as documents."""
+    ship(spark)
     return source_mixing.mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every piece and the text that they decode to."""
+    ship(spark)
     return bpe_codec.encode_decode(docs)
 
 
