@@ -12,7 +12,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once an application, so that their Python workers can import it wherever they run."""
+    """Send the package to the executors, once an application, so that their Python workers can import it wherever they run.
+
+    The archive is made on the driver alone; Spark serves it to the executors.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
