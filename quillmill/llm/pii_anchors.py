@@ -10,11 +10,14 @@ where the item begins and ends and validates it:
     IP       four numbers up to 255; eight groups of hexadecimal digits, or fewer around '::'
     PHONE    '+' or parentheses, or a cue word; 7 to 15 digits in groups
     ACCOUNT  13 to 19 digits of a card (16 plain ones, or a right check digit), an IBAN with a right
-             remainder, or 6 to 20 letters and digits after a cue such as "account", "iban", "ssn"
+             remainder, or 6 to 20 letters and digits after a cue such as "account", "iban", "ssn";
+             up to three words without a digit may stand between
     SSN      ddd-dd-dddd outside the ranges never given out
     SECRET   the value after a cue such as "token", "password", "api_key" and '=' or ':'
     ADDRESS  house number, one to four capitalised words and a street word
 
+Cues and the words that join them to a value are read in any case.
+
 Overlaps: the earliest start stays, of equal starts the longest.  An item is
 replaced by its kind in angle brackets; a secret's cue and quotes stay.  The
 scan is one pass without a shuffle.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillmill.llm.shared import read_table
 
 SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "private_key", "client_secret", "bearer")
-ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "cuenta", "compte", "licence no", "license no", "customer no", "member id", "national id", "tax id", "bsb")
+ACCOUNT_CUES = ("account", "acct", "acct.", "iban", "ssn", "passport", "konto", "cuenta", "compte", "licence no", "licence no.", "license no", "license no.", "customer no", "customer no.", "member id", "national id", "tax id", "bsb")
 PHONE_CUES = ("phone", "tel", "mobile", "fax", "call")
 STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Court", "Square", "Terrace", "Highway", "Parade", "Crescent", "Place", "Way", "St", "Ave", "Rd", "Ln", "Blvd", "Dr", "Ct")
 
@@ -48,7 +51,9 @@ _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?![\d-])")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)")
 _URL_END = re.compile(r"[^\s<>\"'|]+")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
-_CUE_VALUE = re.compile(r"(?:\s*(?:number|num|no|nr|id|#)\b\.?)?\s*[:=#]?\s*([A-Za-z0-9](?:[A-Za-z0-9 -]{4,38})[A-Za-z0-9])")
+#: Between an account cue and its value: connecting words, and up to three other words without a digit on the same line.
+_CUE_GAP = re.compile(r"[\s:=#]*(?:(?:number|num|no|nr|id)\b\.?[\s:=#]*|[^\W\d_]+(?:[^\S\n]*[:=#][^\S\n]*|[^\S\n]+)){0,3}", re.I)
+_CUE_VALUE = re.compile(r"(?=[A-Za-z]*\d)([A-Za-z0-9](?:[A-Za-z0-9 -]{4,38})[A-Za-z0-9])")
 _SECRET_VALUE = re.compile(r"[\"']?\s*[:=]\s*(?:Bearer\s+)?([\"']?)([^\s\"'<>]{6,})\1")
 _STREET = re.compile(r"\d{1,5}[A-Za-z]?(?:[-/]\d{1,5})?(?:[^\n\S]+[A-Z][\w'’.-]*){1,4}?[^\n\S]+(?:" + "|".join(STREETS) + r")\b\.?")
 _NATIONAL = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])")
@@ -57,7 +62,7 @@ _automaton = None
 
 
 def automaton():
-    """One a worker; the value is the parser's name and the anchor's length."""
+    """One a worker, for lower-case text; the value is the parser's name and the anchor's length."""
     global _automaton
     if _automaton is None:
         import ahocorasick
@@ -65,8 +70,7 @@ def automaton():
         a = ahocorasick.Automaton()
         for kind, words in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("phone", PHONE_CUES)):
             for w in words:
-                for form in {w, w.upper(), w.capitalize()}:
-                    a.add_word(form, (kind, len(form)))
+                a.add_word(w, (kind, len(w)))
         for d in "0123456789":
             a.add_word(d, ("digit", 1))
         a.add_word("@", ("at", 1))
@@ -199,7 +203,7 @@ def parse_secret(t: str, end: int, start: int):
 def parse_account(t: str, end: int, start: int):
     if start and t[start - 1].isalnum() or t[end : end + 1].isalpha():
         return None
-    m = _CUE_VALUE.match(t, end)
+    m = _CUE_VALUE.match(t, _CUE_GAP.match(t, end).end())
     if not m:
         return None
     value = m[1]
@@ -240,13 +244,19 @@ def iban_at(t: str, at: int):
     return None
 
 
+def lower(t: str) -> str:
+    """Lower case, each character at its own place."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(x if len(x := c.lower()) == 1 else c for c in t)
+
+
 def find_items(t: str) -> list[tuple[int, int, str]]:
     """Items as (start, end, kind), ordered and without overlaps."""
     if not t:
         return []
     found = []
     digits_to = -1
-    for last, (kind, size) in automaton().iter(t):
+    for last, (kind, size) in automaton().iter(lower(t)):
         start = last - size + 1
         if kind == "digit":
             if start <= digits_to:

@@ -269,6 +269,16 @@ def test_items_and_their_bounds():
         assert pii_anchors.redact(raw, pii_anchors.find_items(raw)) == clean
 
 
+def test_account_cues_in_any_case_with_words_before_the_value():
+    heads = ["Account Number: ", "Account number: ", "ACCOUNT NUMBER: ", "Account Number ", "Account No. ", "Account is ", "Passport No: ", "Tax ID: ", "Member ID ", "National Id: ", "Licence No: ", "Customer No. ", "Acct. No: ", "Konto Nr. ", "the account holder has number ", "Account\nNumber\n", "\u0130 Account Number: "]
+    for head in heads:
+        for value in ("12345678", "X1234567"):
+            t = f"{head}{value}, thanks"
+            assert pii_anchors.redact(t, pii_anchors.find_items(t)) == f"{head}<ACCOUNT>, thanks"
+    for t in ("the account of it all. 12345678 grains", "Account of events since 2019", "Password Policy Of 2019"):
+        assert pii_anchors.find_items(t) == []
+
+
 def test_clean_text_is_left_alone():
     for t in ["token economy is good", "version 1.2.3.4.5 of 2019", "a@b and @here", "300.1.2.3", "12345 and 3.14159", "CC BY-NC 4.0.", "std::vector of x", "the account of it all", "hotel 12"]:
         assert pii_anchors.find_items(t) == []
