@@ -2,16 +2,22 @@
 
 Fingerprint: 120 bits, eight parts of 15, over the set of a text's words
 (lower case, between white space, without one stop or comma at the end).  Two documents are near copies when their
-fingerprints differ in at most 15 bits, so in one of the eight parts they
-differ in at most one.
+fingerprints differ in at most ``most`` bits: 22 in the query (``DISTANCE``), 15 in
+the pipeline and for callers that give none.
+
+Covering: each part has a part distance, and these plus one add up to most + 1,
+so two near copies lie within it in one of the parts at least.  For 15 it is 1
+in all eight parts, for 22 it is 2 in seven parts and 1 in one.
 
 Anchors of a part are the 2048 words of the perfect Hamming code of length 15:
 every part lies within its covering radius 1 of one anchor, its home.  If x and
-y differ in at most one bit, y lies within radius + 1 = 2 of x's home.  So each
-fingerprint goes to every anchor within 2 (1 or 8 of them), and per anchor the
-fingerprints at home are compared with all that are there.  That finds every
-pair, exactly; a cell hands on a spanning forest of its pairs, which keeps the
-connected groups without ever holding all pairs of a large group.
+y differ by at most the part distance, y lies within reach = distance + 1 of x's
+home.  So each fingerprint goes to its home and to anchors within reach, and per
+anchor the fingerprints at home are compared with all that are there.  Of two
+homes only one side sends copies to the other (the one with the lowest bit in
+which they differ), which halves the copies and still finds every pair, exactly;
+a cell hands on a spanning forest of its pairs, which keeps the connected groups
+without ever holding all pairs of a large group.
 
 Equal fingerprints are collapsed first, so thousands of exact copies cost one
 comparison.  Groups are closed transitively; the least doc_id stays.
@@ -24,6 +30,8 @@ them; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,8 +43,10 @@ from quillmill.llm.shared import discard, made_since, mark, read_table, unused,
 
 PARTS, PART_BITS = 8, 15
 MAX_DISTANCE = 15
+#: Of the query, chosen on pairs of edited copies without further partners.
+DISTANCE = 22
 #: Fingerprints that a task gathers before it hands its cells on.
-GATHER = 1 << 16
+GATHER = 1 << 15
 #: Rows up to which the removed ids are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 _STOP = np.isin(np.arange(256), np.frombuffer(b".,;:?!", np.uint8))
@@ -119,68 +129,87 @@ def _syndromes() -> np.ndarray:
     return s
 
 
-def _flips() -> np.ndarray:
-    """For a syndrome the eight bit patterns that lead to the anchors within 2 (the home first); for 0 only one."""
-    out = np.full((16, 8), -1, np.int64)
-    out[0, 0] = 0
-    for s in range(1, 16):
-        near = [1 << (s - 1)] + [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 16) if i < (i ^ s) and i != s and (i ^ s) != 0]
-        out[s, : len(near)] = near
+def _flips(reach: int) -> np.ndarray:
+    """For a syndrome the bit patterns that lead to the anchors within reach, the home first; -1 where there are fewer."""
+    near: list[list[int]] = [[] for _ in range(16)]
+    for size in range(reach + 1):
+        for bits in combinations(range(PART_BITS), size):
+            v = sum(1 << i for i in bits)
+            near[int(_SYN[v])].append(v)
+    out = np.full((16, max(map(len, near))), -1, np.int64)
+    for s, x in enumerate(near):
+        out[s, : len(x)] = x
     return out
 
 
-_SYN, _FLIP = _syndromes(), _flips()
+_SYN = _syndromes()
+_FLIPS: dict[int, np.ndarray] = {}
+
 
+def reaches(most: int) -> list[int]:
+    """How far from an anchor each part is sent, so that pairs within ``most`` meet; the reaches add up to most + 1."""
+    least, more = divmod(most + 1, PARTS)
+    return [least + (p < more) for p in range(PARTS)]
 
-def cells_of(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, row, is home) for every anchor within 2 of every part."""
+
+def cells_of(f: np.ndarray, most: int = MAX_DISTANCE, one_way: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, row, is home) for every anchor within reach of every part; ``one_way``: of two homes only one sends copies to the other."""
     parts = part_values(f)
     cell, row, home = [], [], []
     idx = np.arange(len(f))
-    for p in range(PARTS):
+    for p, reach in enumerate(reaches(most)):
+        if reach not in _FLIPS:
+            _FLIPS[reach] = _flips(reach)
         v = parts[:, p]
-        flips = _FLIP[_SYN[v]]
-        for k in range(8):
+        flips = _FLIPS[reach][_SYN[v]]
+        own = v ^ flips[:, 0]
+        for k in range(flips.shape[1]):
             m = flips[:, k] >= 0
+            if one_way and k:
+                c = flips[:, 0] ^ flips[:, k]
+                m &= own & c & -c != 0
             cell.append(p << PART_BITS | (v[m] ^ flips[m, k]))
             row.append(idx[m])
             home.append(np.full(int(m.sum()), k == 0))
     return np.concatenate(cell), np.concatenate(row), np.concatenate(home)
 
 
-def _to_cells(batches):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush():
-        ids = np.concatenate([x[0] for x in held])
-        f = np.concatenate([x[1] for x in held])
-        held.clear()
-        cell, row, home = cells_of(f)
-        order = np.lexsort((~home, cell))  # homes first
-        cell, row, home = cell[order], row[order], home[order]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        ends = np.append(first[1:], len(cell))
-        rec = np.empty((len(row), 3), np.int64)
-        rec[:, 0], rec[:, 1:] = ids[row], f[row].view(np.int64)
-        homes = np.add.reduceat(home, first, dtype=np.int64)
-        for a in range(0, len(first), 8192):
-            b = min(a + 8192, len(first))
-            lo, hi = first[a], ends[b - 1]
-            offs = (np.append(first[a:b], hi) - lo) * 24
-            blob = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rec[lo:hi]))])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[first[a:b]], pa.int32()), pa.array(homes[a:b], pa.int32()), blob], names=["cell", "homes", "entries"])
-
-    size = 0
-    for batch in batches:
-        if batch.num_rows:
-            f = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1).view(np.uint64)
-            held.append((batch.column(0).to_numpy(), f))
-            size += batch.num_rows
-        if size >= GATHER:
+def _to_cells(most: int):
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            ids = np.concatenate([x[0] for x in held])
+            f = np.concatenate([x[1] for x in held])
+            held.clear()
+            cell, row, home = cells_of(f, most, one_way=True)
+            order = np.lexsort((~home, cell))  # homes first
+            cell, row, home = cell[order], row[order], home[order]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            ends = np.append(first[1:], len(cell))
+            rec = np.empty((len(row), 3), np.int64)
+            rec[:, 0], rec[:, 1:] = ids[row], f[row].view(np.int64)
+            homes = np.add.reduceat(home, first, dtype=np.int64)
+            for a in range(0, len(first), 8192):
+                b = min(a + 8192, len(first))
+                lo, hi = first[a], ends[b - 1]
+                offs = (np.append(first[a:b], hi) - lo) * 24
+                blob = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rec[lo:hi]))])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[first[a:b]], pa.int32()), pa.array(homes[a:b], pa.int32()), blob], names=["cell", "homes", "entries"])
+
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                f = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1).view(np.uint64)
+                held.append((batch.column(0).to_numpy(), f))
+                size += batch.num_rows
+            if size >= GATHER:
+                yield from flush()
+                size = 0
+        if held:
             yield from flush()
-            size = 0
-    if held:
-        yield from flush()
+
+    return run
 
 
 def _root(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -217,41 +246,44 @@ def cell_forest(ids: np.ndarray, f: np.ndarray, homes: np.ndarray, most: int = M
     return [(ids[m], ids[top[m]])] if m.any() else []
 
 
-def _compare(batches):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    now, held, homes = None, [], []
-
-    def close():
-        rec = np.concatenate(held)
-        at, size = [], 0
-        for part, h in zip(held, homes):
-            at.append(np.arange(size, size + h))
-            size += len(part)
-        home = np.concatenate(at)
-        if len(rec) < 2 or not home.size:
-            return
-        for x, y in cell_forest(rec[:, 0], rec[:, 1:].view(np.uint64), home):
-            out_a.append(np.maximum(x, y))
-            out_b.append(np.minimum(x, y))
-
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
-    for batch in batches:
-        for cell, h, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if cell != now:
-                if held:
-                    close()
-                now, held, homes = cell, [], []
-            held.append(np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 3))
-            homes.append(h)
+def _compare(most: int):
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        now, held, homes = None, [], []
+
+        def close():
+            rec = np.concatenate(held)
+            at, size = [], 0
+            for part, h in zip(held, homes):
+                at.append(np.arange(size, size + h))
+                size += len(part)
+            home = np.concatenate(at)
+            if len(rec) < 2 or not home.size:
+                return
+            for x, y in cell_forest(rec[:, 0], rec[:, 1:].view(np.uint64), home, most):
+                out_a.append(np.maximum(x, y))
+                out_b.append(np.minimum(x, y))
+
+        out_a: list[np.ndarray] = []
+        out_b: list[np.ndarray] = []
+        for batch in batches:
+            for cell, h, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if cell != now:
+                    if held:
+                        close()
+                    now, held, homes = cell, [], []
+                held.append(np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 3))
+                homes.append(h)
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=schema)
+                out_a.clear()
+                out_b.clear()
+        if held:
+            close()
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=schema)
-            out_a.clear()
-            out_b.clear()
-    if held:
-        close()
-    if out_a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=schema)
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,16 +310,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, duplicate_of): every document that isn't the least of its group, and the one that stays."""
-    return _groups(written(simhashes(docs, id_col, text_col), "simhash"))
+    return _groups(written(simhashes(docs, id_col, text_col), "simhash"), most)
 
 
-def _groups(prints: DataFrame) -> DataFrame:
+def _groups(prints: DataFrame, most: int) -> DataFrame:
     known = prints.filter("n_words > 0 AND doc_id IS NOT NULL")
     reps = known.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    cells = reps.select("rep", "fa", "fb").mapInArrow(_to_cells, "cell int, homes int, entries binary")
-    edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a bigint, b bigint")
+    cells = reps.select("rep", "fa", "fb").mapInArrow(_to_cells(most), "cell int, homes int, entries binary")
+    edges = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(most), "a bigint, b bigint")
     roots = components(edges)
     return (
         known.select("doc_id", "fa", "fb")
@@ -299,11 +331,11 @@ def _groups(prints: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, most: int = MAX_DISTANCE) -> DataFrame:
     """The rows of ``docs`` without the near copies; one document of each group stays."""
     prints = written(simhashes(docs, id_col, text_col), "simhash")
     key = unused("key", docs.columns)
-    gone = written(_groups(prints).select("doc_id"), "near-copies").select(F.col("doc_id").alias(key))
+    gone = written(_groups(prints, most).select("doc_id"), "near-copies").select(F.col("doc_id").alias(key))
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
     kept = docs.join(gone, docs[id_col].cast("bigint") == F.col(key), "left_anti")
@@ -314,5 +346,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col]))
 
 
-QUERIES = {"op3_simhash_anchors": lambda spark, sf_dir: near_copies(read_table(spark, sf_dir, "documents"))}
+QUERIES = {"op3_simhash_anchors": lambda spark, sf_dir: near_copies(read_table(spark, sf_dir, "documents"), most=DISTANCE)}
 ORACLE: dict[str, str] = {}

@@ -143,6 +143,45 @@ def test_near_copies_match_all_pairs(spark):
     assert got == want
 
 
+def test_cells_of_every_distance_meet_once_at_least():
+    rng = np.random.default_rng(6)
+    for most in (15, 20, 22, 23):
+        assert sum(simhash_dedup.reaches(most)) == most + 1
+        f = rng.integers(0, 2**63, (300, 2)).astype(np.uint64) & simhash_dedup._MASK
+        g = f.copy()
+        free = [(w, 1 << b) for w in range(2) for b in range(64) if int(simhash_dedup._MASK) >> b & 1]
+        for r in range(len(f)):
+            for k in rng.choice(len(free), most, replace=False):
+                w, bit = free[k]
+                g[r, w] ^= np.uint64(bit)
+        cell, row, home = simhash_dedup.cells_of(np.concatenate([f, g]), most, one_way=True)
+        at, homes = [set() for _ in range(600)], [set() for _ in range(600)]
+        for c, r, h in zip(cell.tolist(), row.tolist(), home.tolist()):
+            at[r].add(c)
+            if h:
+                homes[r].add(c)
+        assert all(homes[r] & at[r + 300] or homes[r + 300] & at[r] for r in range(300))
+
+
+def test_query_finds_edited_copies_without_further_partners(spark, tmp_path):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9))) for _ in range(4000)]
+    texts, pairs = {}, []
+    for i in range(150):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(80, 200))]
+        copy = list(base)
+        for k in rnd.sample(range(len(copy)), len(copy) * 7 // 100):
+            copy[k] = rnd.choice(words)
+        tri = [set(zip(w, w[1:], w[2:])) for w in (base, copy)]
+        if 0.6 <= len(tri[0] & tri[1]) / len(tri[0] | tri[1]) < 0.8:
+            texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(copy)}
+            pairs.append((2 * i + 1, 2 * i))
+    assert len(pairs) > 100
+    spark.createDataFrame([*texts.items()], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["duplicate_of"]) for r in simhash_dedup.QUERIES["op3_simhash_anchors"](spark, str(tmp_path)).collect()}
+    assert got <= set(pairs) and len(got) >= 0.95 * len(pairs)
+
+
 def test_large_group_of_copies_is_one_group(spark):
     rnd = random.Random(9)
     base = [f"word{rnd.randrange(10**6)}" for _ in range(120)]
