@@ -8,7 +8,7 @@ where the item begins and ends and validates it:
     EMAIL    local part to the left, host labels to the right of an at-sign
     URL      after a scheme: host and path; taken only with user info, an IP host or an e-mail in it
     IP       four numbers up to 255; eight groups of hexadecimal digits, or fewer around '::'
-    PHONE    '+' or parentheses, or a cue word; 7 to 15 digits in groups
+    PHONE    '+' or parentheses, or a cue word, also with "number", "no", "is" and the like after it; 7 to 15 digits in groups
     ACCOUNT  13 to 19 digits of a card (16 plain ones, or a right check digit), an IBAN with a right
              remainder, or 6 to 20 letters and digits after a cue such as "account", "iban", "ssn";
              up to three words without a digit may stand between
@@ -39,7 +39,7 @@ from quillmill.llm.shared import read_table
 
 SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "private_key", "client_secret", "bearer")
 ACCOUNT_CUES = ("account", "acct", "acct.", "iban", "ssn", "passport", "konto", "cuenta", "compte", "licence no", "licence no.", "license no", "license no.", "customer no", "customer no.", "member id", "national id", "tax id", "bsb")
-PHONE_CUES = ("phone", "tel", "mobile", "fax", "call")
+PHONE_CUES = ("phone", "tel", "mobile", "fax", "call", "telephone", "telefax", "telefon", "téléphone", "teléfono", "cell", "cellphone", "cellular", "mob", "hotline", "whatsapp")
 STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Court", "Square", "Terrace", "Highway", "Parade", "Crescent", "Place", "Way", "St", "Ave", "Rd", "Ln", "Blvd", "Dr", "Ct")
 
 _LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.!#$%&'*+/=?^_`{|}~-")
@@ -49,6 +49,7 @@ _IPV6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4
 _DIGITS = re.compile(r"\d(?:[ -]?\d){12,18}(?!\d)")
 _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?![\d-])")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)")
+_PHONE_GAP = re.compile(r"[\s.:#]*(?:(?:number|num|no|nr|id|is)\b[\s.:#]*){0,3}", re.I)
 _URL_END = re.compile(r"[^\s<>\"'|]+")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
 #: Between an account cue and its value: connecting words, and up to three other words without a digit on the same line.
@@ -222,7 +223,7 @@ def parse_account(t: str, end: int, start: int):
 def parse_phone(t: str, end: int, start: int):
     if start and t[start - 1].isalnum() or t[end : end + 1].isalpha():
         return None
-    m = re.compile(r"[\s.:#]*").match(t, end)
+    m = _PHONE_GAP.match(t, end)
     p = _PHONE.match(t, m.end())
     return (m.end(), p.end(), "PHONE") if p and 7 <= sum(c.isdigit() for c in p[0]) <= 15 else None
 

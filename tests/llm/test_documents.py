@@ -318,6 +318,15 @@ def test_account_cues_in_any_case_with_words_before_the_value():
         assert pii_anchors.find_items(t) == []
 
 
+def test_phone_cues_with_connecting_words():
+    for head in ("Phone number: ", "PHONE NUMBER ", "Mobile No. ", "Tel. no: ", "Telephone: ", "telephone number is ", "Cell: ", "Cellphone Nr. ", "Fax\nNumber\n", "Téléphone : "):
+        for value in ("0412 345 678", "02 9876 5432"):
+            t = f"{head}{value}, thanks"
+            assert pii_anchors.redact(t, pii_anchors.find_items(t)) == f"{head}<PHONE>, thanks"
+    for t in ("Phone number: none. 1234567 rows", "cells 0412 345 678", "call number 12", "a mobile is 2019"):
+        assert pii_anchors.find_items(t) == []
+
+
 def test_clean_text_is_left_alone():
     for t in ["token economy is good", "version 1.2.3.4.5 of 2019", "a@b and @here", "300.1.2.3", "12345 and 3.14159", "CC BY-NC 4.0.", "std::vector of x", "the account of it all", "hotel 12"]:
         assert pii_anchors.find_items(t) == []
