@@ -20,6 +20,7 @@ gives no rows; other columns of the input are never looked at.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ CUT_BITS = 8
 LEAST, MOST = 64, 4096
 #: Documents of one manifest: those whose id hashes alike modulo this.
 SHARDS = 64
-SCHEMA = "kind string, doc_id bigint, shard int, digest binary, payload binary, recipe array<binary>, n_ids bigint, stream binary"
+SCHEMA = "kind string, doc_id bigint, shard int, digest binary, payload binary, recipe array<binary>, n_ids bigint, stream binary, refs bigint"
 EMPTY_ROOT = hashlib.sha256(b"").digest()
 
 
@@ -91,7 +92,7 @@ def _emit(vocab: str):
         wide = np.dtype(ranks.kind).itemsize
         comp = zstandard.ZstdCompressor(level=1).compress
         schema = pa.schema(
-            [("kind", pa.string()), ("doc_id", pa.int64()), ("shard", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("recipe", pa.list_(pa.binary())), ("n_ids", pa.int64()), ("stream", pa.binary())]
+            [("kind", pa.string()), ("doc_id", pa.int64()), ("shard", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("recipe", pa.list_(pa.binary())), ("n_ids", pa.int64()), ("stream", pa.binary()), ("refs", pa.int64())]
         )
         for batch in batches:
             doc_ids, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -100,6 +101,7 @@ def _emit(vocab: str):
                 ends = cut_points(ids, io)
                 raw = ids.astype(ranks.kind).tobytes()
                 chunks: dict[bytes, tuple[bytes, int]] = {}
+                times: Counter[bytes] = Counter()
                 docs = []
                 for d, cuts in enumerate(ends):
                     base, recipe = int(io[d]) * wide, []
@@ -110,6 +112,7 @@ def _emit(vocab: str):
                         if digest not in chunks:
                             chunks[digest] = (comp(part), len(part) // wide)
                         recipe.append(digest)
+                        times[digest] += 1
                         start = base + c * wide
                     docs.append((recipe, int(io[d + 1] - io[d]), hashlib.sha256(raw[base : int(io[d + 1]) * wide]).digest()))
                 k, n = len(chunks), len(docs)
@@ -123,6 +126,7 @@ def _emit(vocab: str):
                         pa.array([*[None] * k, *(x[0] for x in docs)], pa.list_(pa.binary())),
                         pa.array([*(c[1] for c in chunks.values()), *(x[1] for x in docs)], pa.int64()),
                         pa.array([*[None] * k, *(x[2] for x in docs)], pa.binary()),
+                        pa.array([*(times[c] for c in chunks), *[1] * n], pa.int64()),
                     ],
                     schema=schema,
                 )
@@ -133,7 +137,7 @@ def _emit(vocab: str):
 def build_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCAB, shards: int = SHARDS) -> DataFrame:
     """The store as one written table: ``chunk`` rows (digest, payload) and ``document`` rows (digest = root, recipe).
 
-    ``refs`` counts the batches that brought a chunk, or the repeated rows of a document.
+    ``refs`` counts how often a chunk stands in the recipes of all rows, or the repeated rows of a document.
     """
     src = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
@@ -143,7 +147,7 @@ def build_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = src.mapInArrow(_emit(vocab), SCHEMA)
     # one row for each chunk digest and each (document, root); only chunks carry payloads
     one = rows.groupBy("kind", "doc_id", "digest").agg(
-        F.first("shard").alias("shard"), F.first("payload").alias("payload"), F.first("recipe").alias("recipe"), F.first("n_ids").alias("n_ids"), F.first("stream").alias("stream"), F.count(F.lit(1)).alias("refs")
+        F.first("shard").alias("shard"), F.first("payload").alias("payload"), F.first("recipe").alias("recipe"), F.first("n_ids").alias("n_ids"), F.first("stream").alias("stream"), F.sum("refs").alias("refs")
     )
     return written(one, "token-store")
 

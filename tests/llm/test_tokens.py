@@ -109,6 +109,21 @@ def test_store_rebuilds_every_document_and_shares_chunks(spark):
     assert all(r["verified"] for r in token_store.verify(store).collect())
 
 
+def test_refs_count_references_whatever_the_partitions(spark):
+    rnd = random.Random(8)
+    block = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "river", "stone"]) for _ in range(9000))
+    data = [(i, f"{block} {block}" if i % 2 else block) for i in range(12)] + [(1, f"{block} {block}")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    for parts in (1, 5):
+        store = token_store.build_store(df.repartition(parts)).collect()
+        want = {}
+        for r in store:
+            if r["kind"] == "document":
+                for c in r["recipe"]:
+                    want[c] = want.get(c, 0) + r["refs"]
+        assert {r["digest"]: r["refs"] for r in store if r["kind"] == "chunk"} == want and max(want.values()) > 12
+
+
 def test_verification_sees_a_lost_and_a_changed_chunk(spark):
     from pyspark.sql import functions as F
 
