@@ -112,9 +112,11 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> Words:
     runs = np.flatnonzero(edge)
     rs, re = runs[:-1], runs[1:]
     m = script[rs] != 255
-    # letters next to digits are parts of numbers or codes, not words
+    # letters next to digits of the same document are parts of numbers or codes, not words
     digit = np.concatenate([cls == 2, [False]])
-    m &= ~((digit[rs - 1] & (rs > 0)) | digit[re])
+    border = np.zeros(n + 1, bool)
+    border[offs] = True
+    m &= ~((digit[rs - 1] & ~border[rs]) | (digit[re] & ~border[re]))
     starts, ends = rs[m], re[m]
     if not starts.size:
         return Words(none, none, none, none, none, np.zeros(1, np.int64))

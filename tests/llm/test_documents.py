@@ -247,6 +247,20 @@ def test_languages_of_held_out_documents_and_mixed_text(spark, small):
     assert abs(r["spans"][1]["start"] - 251) < 25 and mixed[r["spans"][2]["start"] : r["spans"][2]["end"]] == "Привет мир как дела"
 
 
+def test_spans_do_not_depend_on_the_neighbours():
+    texts = ["since 2019", "word", "7 dwarfs and 9", "中文字", "3", "สวัสดี", "x1 y", "", "1", "ends here", "2nd"]
+    model = language_id.fit(pa.array(["some words here and there", "quelques mots dans la phrase"], pa.large_string()), ["en", "fr"])
+
+    def spans(some):
+        buf, offs = buffers(pa.array(some, pa.large_string()))
+        doc, a, b, lang, size = language_id.label_slice(model, buf, offs)
+        return [[(int(x), int(y), int(k), int(z)) for d, x, y, k, z in zip(doc, a, b, lang, size) if d == i] for i in range(len(some))]
+
+    alone = [spans([t])[0] for t in texts]
+    assert alone[1] and alone[3] and alone[5]
+    assert spans(texts) == alone and spans(texts[::-1]) == alone[::-1]
+
+
 def test_languages_on_nasty_rows(spark):
     got = {str(r["doc_id"]): r for r in language_id.document_languages(nasty(spark)).collect()}
     assert len(got) == 10 and got["3"]["lang"] == got["4"]["lang"] == got["5"]["lang"] == got["8"]["lang"] == "und" and got["8"]["spans"] == []
