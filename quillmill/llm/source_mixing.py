@@ -172,27 +172,27 @@ def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lane_docs: int = LAN
     def pack_rest(batches):
         import zstandard
 
-        eos = Ranks.load(vocab).size
-        un = zstandard.ZstdDecompressor().decompress
+        ranks, un = Ranks.load(vocab), zstandard.ZstdDecompressor().decompress
+        eos = ranks.size
         p = _Packer(block, zstandard.ZstdCompressor(level=1).compress)
         key = None
         for batch in batches:
-            for s, group, blob, docs_, lens, langs, texts in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            for s, group, blob, docs_, lens, langs in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if (s, group) != key:
                     p.emit(False, eos)
                     key = (s, group)
                     p.open(s, -1 - group)
                 ids, at = np.frombuffer(un(blob), "<u4"), 0
-                for d, n, lang, text in zip(docs_, lens, langs, texts):
-                    # a piece that is cut once more keeps its text whole, in the part with its first token
-                    p.add(d, lang, ids[at : at + n], (lambda a, b, t=text: t if a == 0 else "") if with_text else None)
+                for d, n, lang in zip(docs_, lens, langs):
+                    piece = ids[at : at + n]
+                    p.add(d, lang, piece, _texts(ranks, piece[piece != eos]) if with_text else None)
                     at += n
         p.emit(False, eos)
         yield p.take()
 
     tokens = src.mapInArrow(tokenise, "doc_id bigint, source string, lang string, lane int, ids binary")
     packed = written(tokens.repartition("source", "lane").sortWithinPartitions("source", "lane", "doc_id", "ids").mapInArrow(pack, _PACKED), "packed-blocks")
-    rest = packed.filter("rest").select("source", F.floor(F.col("lane") / REST_LANES).cast("int").alias("group"), "ids", "doc_ids", "lens", "langs", "texts", "lane").repartition("source", "group").sortWithinPartitions("source", "group", "lane")
+    rest = packed.filter("rest").select("source", F.floor(F.col("lane") / REST_LANES).cast("int").alias("group"), "ids", "doc_ids", "lens", "langs", "lane").repartition("source", "group").sortWithinPartitions("source", "group", "lane")
     last = written(rest.drop("lane").mapInArrow(pack_rest, _PACKED), "packed-rest")
     return packed.filter("NOT rest").unionByName(last)
 

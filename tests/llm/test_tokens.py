@@ -160,6 +160,25 @@ def test_blocks_tile_every_document(spark, reference):
     assert said == want
 
 
+def test_texts_of_pieces_are_those_of_their_tokens(spark):
+    import zstandard
+
+    rnd = random.Random(12)
+    data = [(i, " ".join(rnd.choice(["river", "stone", "écoute", "green", "中文", "😀"]) for _ in range(rnd.randrange(1, 60))), "en", "a") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+    ranks = Ranks.load()
+    said: dict = {}
+    for r in source_mixing.pack_blocks(df, block=32, lane_docs=2, with_text=True).collect():
+        ids, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["ids"]), "<u4"), 0
+        for d, n, t in zip(r["doc_ids"], r["lens"], r["texts"]):
+            raw = b"".join(ranks.tokens[k] for k in ids[at : at + n].tolist() if k != ranks.size)
+            at += n
+            # a character that is cut belongs to the piece with its first byte
+            assert abs(len(t.encode()) - len(raw)) <= 6
+            said[d] = said.get(d, 0) + len(t)
+    assert said == {i: len(t) for i, t, *_ in data}
+
+
 def test_mixture_against_a_plain_version(spark):
     """Slots, epochs and weights as drawn by hand."""
     sizes, w = {"a": 7, "b": 3, "c": 0}, {"a": 1.0, "b": 3.0, "zzz": 5.0}
