@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from quillmill.functions.text import strip
+from quillmill.storage import written
 
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """Number the rows 0..n-1 in the given order without pulling them into one partition.
 
-    A range sort, then each partition's offset from the counts of those before it.
+    The range-sorted rows are written once, each with its place in its part, so that the parts' counts and the rows
+    can't disagree; a part's offset is the number of rows before it.
     """
-    ranged = (df.orderBy(*order) if order else df).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
+    ranged = written((df.orderBy(*order) if order else df).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "row-index")
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     # the number of partitions bounds this table
     packed = counts.agg(F.sort_array(F.collect_list(F.struct("__p", "__n"))).alias("__all"))
     before = F.aggregate(F.filter("__all", lambda x: x["__p"] < F.col("__p")), F.lit(0).cast("bigint"), lambda s, x: s + x["__n"])
-    out = ranged.crossJoin(F.broadcast(packed)).withColumn(name, before + F.col("__m").bitwiseAND((1 << 33) - 1))
-    return out.drop("__p", "__m", "__all")
+    return ranged.crossJoin(F.broadcast(packed)).withColumn(name, before + F.col("__m")).drop("__p", "__m", "__all")
 
 
 def structural_fidelity(source: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -77,6 +78,11 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.select(k).groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def first_keys(keys: DataFrame, most: int = 20) -> DataFrame:
+    """The report's first missing or repeated keys, in order; the limit is the report's own."""
+    return keys.select("key").orderBy("key").limit(most)
+
+
 def key_preservation(source: DataFrame, extracted: DataFrame, key: str) -> DataFrame:
     """One row: distinct keys of both sides, how many are missing or repeated."""
     k = strip(F.coalesce(F.col(key).cast("string"), F.lit("")))

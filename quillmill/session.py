@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -32,7 +33,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def get_session(cpus: int | str = "*", app: str = "quillmill", **conf: str) -> SparkSession:
-    """On a cluster the master comes from the submit command; here it is local."""
+    """On a cluster the master comes from the submit command or the environment; where there is none it is local."""
     base = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -42,5 +43,6 @@ def get_session(cpus: int | str = "*", app: str = "quillmill", **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    return builder.config(map=base | conf).getOrCreate()
+    builder = SparkSession.builder.appName(app).config(map=base | conf)
+    submitted = os.environ.get("MASTER") or os.environ.get("SPARK_REMOTE") or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "") or SparkConf().contains("spark.master")
+    return (builder if submitted else builder.master(f"local[{cpus}]")).getOrCreate()
