@@ -10,7 +10,12 @@ REGION = "struct<page:int,x:int,y:int,width:int,height:int,area_ratio:double>"
 
 
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Bounding boxes (x, y, w, h) of the 8-connected parts of a mask: runs of each line, joined from line to line."""
+    """Bounding boxes (x, y, w, h) of the 8-connected parts of a mask."""
+    return [box for box, _ in parts(mask)]
+
+
+def parts(mask: np.ndarray) -> list[tuple[tuple[int, int, int, int], int]]:
+    """(bounding box, x of the leftmost cell in its first line) of each part: runs of each line, joined from line to line."""
     parent: list[int] = []
 
     def find(a: int) -> int:
@@ -35,9 +40,9 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
         last = now
     out: dict[int, list[int]] = {}
     for k, (a, y0, b, y1) in enumerate(boxes):
-        r = out.setdefault(find(k), [a, y0, b, y1])
+        r = out.setdefault(find(k), [a, y0, b, y1, a])
         r[0], r[1], r[2], r[3] = min(r[0], a), min(r[1], y0), max(r[2], b), max(r[3], y1)
-    return [(a, y0, b - a, y1 - y0) for a, y0, b, y1 in out.values()]
+    return [((a, y0, b - a, y1 - y0), first) for a, y0, b, y1, first in out.values()]
 
 
 def detect_regions(image: np.ndarray, page: int = 0, threshold: int = 50, least: float = 0.001, most: float = 0.9, aspect: tuple[float, float] = (0.1, 10.0)) -> list[dict]:
@@ -100,3 +105,8 @@ def apply_text_redaction(pages: Column, affected: Column, mode: str = "flag") ->
 
 def redaction_warnings(report: Column) -> Column:
     return F.transform(F.array_sort(F.map_keys(report)), lambda k: F.concat(F.lit("page "), k.cast("string"), F.lit(": "), F.size(F.element_at(report, k)).cast("string"), F.lit(" redacted region(s) detected")))
+
+
+def redacted_documents(reports: DataFrame) -> DataFrame:
+    """One row: how many documents have a redacted region."""
+    return reports.agg(F.coalesce(F.count_if(F.col("total") > 0), F.lit(0)).alias("redacted_documents"))
