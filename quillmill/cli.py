@@ -7,58 +7,27 @@ import logging
 import sys
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from quillmill import config as C
-from quillmill.functions import text as X
-from quillmill.operators import chunking, classify, pii
+from quillmill.operators import chunking, pii
+from quillmill.plans.extraction import extract
 from quillmill.session import get_session, ship
-from quillmill.sources import backends, files, office, sinks, tabular
+from quillmill.sources import sinks, tabular
 
 
-def extract(spark, root: str, limit: int | None = None, skip: int = 0, done: sinks.Progress | None = None) -> DataFrame:
-    """(document_id, source_path, text, method, status, error) of all supported files; one that fails gives an error row."""
-    found = files.discover(spark, root, skip, limit).select(F.col("path").alias("source_path"), classify.file_type(F.col("path")).alias("kind"))
-    left = done.remaining(found) if done else found
-    paths = [(r["source_path"], r["kind"]) for r in left.collect()]  # names only
-    office.register(spark)
-    parts = []
-    for path, kind in paths:
-        if kind == "docx":
-            d = spark.read.format("docx").load(path)
-            parts.append(d.select("document_id", F.lit(path).alias("source_path"), "text", F.lit("docx").alias("method"), "error"))
-        elif path.lower().endswith(".csv"):
-            df = tabular.read_csv(spark, path)
-            stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            parts.append(classify.rows_to_documents(df, stem).select("document_id", F.lit(path).alias("source_path"), "text", F.lit("spreadsheet").alias("method"), F.lit(None).cast("string").alias("error")))
-        elif kind == "spreadsheet":
-            x = spark.read.format("xlsx").load(path)
-            pairs = F.filter(F.transform("cells", lambda v, i: F.when(X.strip(v) != "", F.concat(F.try_element_at(F.col("headers"), i + 1), F.lit(": "), X.strip(v)))), lambda t: t.isNotNull())
-            parts.append(x.select(F.concat_ws(":", "stem", "sheet", F.lit("row"), F.col("row_index").cast("string")).alias("document_id"), F.lit(path).alias("source_path"), F.array_join(pairs, "\n").alias("text"), F.lit("spreadsheet").alias("method"), "error"))
-        else:
-            raw = spark.read.format("binaryFile").load(path)
-            pages = backends.decode_pages(raw, "native_narrative")
-            parts.append(backends.collect_documents(pages).select("document_id", F.lit(path).alias("source_path"), "text", F.lit("native_narrative").alias("method"), "error"))
-    if not parts:
-        return spark.createDataFrame([], "document_id string, source_path string, text string, method string, error string, status string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("text", X.normalise_text(F.col("text"))).withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("error"))
-
-
-def run(spark, cfg: C.Config) -> dict[str, str]:
+def run(spark, cfg: C.Config, **backends) -> dict[str, str]:
     """Extract what is new, clean, chunk, write; the stages' order follows the point at which personal data is cleaned."""
     out = cfg.paths.output_root.rstrip("/")
     progress = sinks.Progress(spark, f"{cfg.paths.checkpoint_dir.rstrip('/')}/progress")
     batch = uuid.uuid4().hex
-    docs = extract(spark, cfg.paths.input_root, done=progress).persist()
+    docs = extract(spark, cfg.paths.input_root, done=progress, cfg=cfg.detection, **backends).persist()
     if cfg.pii.enabled and cfg.pii.pipeline_point == "post_extraction":
         docs = pii.clean(docs, out_col="text", entities=tuple(cfg.pii.entities), threshold=cfg.pii.context_similarity_threshold)
     sinks.write_documents(docs, f"{out}/documents.parquet", batch)
     if cfg.chunking.enabled:
         done = docs.filter("status = 'completed'")
-        chunks = chunking.chunk_documents(done, cfg.chunking.chunk_size, overlap=cfg.chunking.overlap)
+        chunks = chunking.chunk_documents(done, cfg.chunking.chunk_size, overlap=cfg.chunking.overlap, tables_col="tables" if cfg.chunking.chunk_tables else None)
         if cfg.pii.enabled and cfg.pii.pipeline_point == "post_chunk":
             chunks = pii.clean(chunks, out_col="text", entities=tuple(cfg.pii.entities), threshold=cfg.pii.context_similarity_threshold)
         sinks.write_table(chunks, f"{out}/chunks.parquet", sinks.CHUNKS, mode="append")
@@ -106,7 +75,8 @@ def main(argv=None) -> int:
     elif a.verb == "redact":
         from quillmill.operators import redaction
 
-        reports = redaction.redaction_reports(spark.read.parquet(a.input))
+        reports = redaction.redaction_reports(spark.read.parquet(a.input)).persist()
+        logging.info("documents with redactions: %d", redaction.redacted_documents(reports).first()[0])
         reports.select("document_id", "total", "affected_pages", redaction.redaction_warnings(F.col("report")).alias("warnings")).write.mode("overwrite").parquet(a.output)
     elif a.verb == "ingest-psv":
         return 0 if tabular.ingest_psv_directory(spark, a.input, a.output, a.md5) else 1

@@ -97,13 +97,17 @@ def classify_document(text_pages: Column, image_pages: Column, table_signals: Co
     )
 
 
-def profile_pages(pages: DataFrame, least_text: int = 100, least_drawings: int = 30, most: int = 5) -> DataFrame:
+def profile_pages(pages: DataFrame, least_text: int = 100, least_drawings: int = 30, most: int = 5, least_coverage: float = 0.3, table_threshold: float = 0.4) -> DataFrame:
     """One profile a document from its sampled pages.
 
-    ``pages``: document_id, page_number, text, n_images, n_drawings, has_table, handwriting, ocr_confidence, glyph, stroke.
+    ``pages``: document_id, page_number, text, n_images, n_drawings, has_table, handwriting, ocr_confidence, glyph, stroke;
+    total_pages where not all pages are there.
     """
-    total = pages.groupBy("document_id").agg(F.max("page_number").alias("last")).select("document_id", (F.col("last") + 1).cast("int").alias("total_pages"))
-    looked = pages.join(total, "document_id").filter(F.array_contains(sampled_pages(F.col("total_pages"), most), F.col("page_number").cast("int")))
+    if "total_pages" in pages.columns:
+        known = pages
+    else:
+        known = pages.join(pages.groupBy("document_id").agg((F.max("page_number") + 1).cast("int").alias("total_pages")), "document_id")
+    looked = known.filter(F.array_contains(sampled_pages(F.col("total_pages"), most), F.col("page_number").cast("int")))
     is_text = F.length(strip(F.coalesce("text", F.lit("")))) > least_text
     is_image = ((F.col("n_images") > 0) | (F.col("n_drawings") >= least_drawings)) & ~is_text
     per = looked.groupBy("document_id", "total_pages").agg(
@@ -113,7 +117,37 @@ def profile_pages(pages: DataFrame, least_text: int = 100, least_drawings: int =
     scaled = lambda c: F.floor(F.col(c) * F.col("total_pages") / F.col("n"))
     counted = per.select("document_id", "total_pages", scaled("t").alias("text_pages"), scaled("i").alias("image_pages"), scaled("tab").alias("table_pages"), "handwriting_pages", "ocr", "glyph", "stroke")
     c = [F.col(x) for x in ("text_pages", "image_pages", "table_pages", "handwriting_pages", "ocr", "glyph", "stroke", "total_pages")]
-    return counted.withColumn("profile", classify_document(*c)).select("*", "profile.doc_type", "profile.confidence").drop("profile")
+    return counted.withColumn("profile", classify_document(*c, least_coverage, table_threshold)).select("*", "profile.doc_type", "profile.confidence").drop("profile")
+
+
+def sheet_type(cols: Column, rows: Column, avg_len: Column) -> Column:
+    """narrative, glossary, key_value or data, by a sheet's shape and the mean length of its cells."""
+    return (
+        F.when((cols == 1) | ((cols > 0) & (cols <= 3) & (avg_len > 150)), "narrative")
+        .when((cols == 2) & rows.between(50, 500), "glossary")
+        .when((cols == 2) & (rows < 50), "key_value")
+        .otherwise("data")
+    )
+
+
+def sheet_profiles(rows: DataFrame, sample: int = 500) -> DataFrame:
+    """(path, stem, sheet, sheet_type, key_column, has_sub_headers) of every sheet by its first ``sample`` rows.
+
+    ``rows``: path, stem, sheet, row_index, headers, cells.
+    """
+    chars = F.aggregate("cells", F.lit(0), lambda s, c: s + F.length(c))
+    one = rows.filter(F.col("sheet").isNotNull() & (F.col("row_index") < sample)).groupBy("path", "stem", "sheet").agg(
+        F.count(F.lit(1)).alias("n"), F.first("headers").alias("headers"), F.try_divide(F.sum(chars), F.sum(F.size("cells"))).alias("avg_len"), F.count_if(is_sub_header(F.col("cells"))).alias("subs")
+    )
+    named = lambda word: F.element_at(F.filter("headers", lambda h: F.lower(h).contains(word)), 1)
+    first = lambda word: F.when(F.exists("headers", lambda h: F.lower(h).contains(word)), named(word))
+    key = F.coalesce(*[first(w) for w in ("id", "name", "code", "key")], F.try_element_at("headers", F.lit(1)))
+    return one.select("path", "stem", "sheet", sheet_type(F.size("headers"), F.col("n"), F.coalesce("avg_len", F.lit(0.0))).alias("sheet_type"), key.alias("key_column"), (F.col("subs") > 2).alias("has_sub_headers"))
+
+
+def is_sub_header(cells: Column) -> Column:
+    """Of several cells only the first isn't blank."""
+    return (F.size(cells) > 1) & (strip(cells[0]) != "") & F.forall(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: strip(c) == "")
 
 
 def key_column(headers: list[str]) -> str | None:
@@ -145,13 +179,7 @@ def classify_sheet(df: DataFrame, name: str) -> DataFrame:
         return df.sparkSession.createDataFrame([(name, "data", df.count(), 0, None, False)], "name string, sheet_type string, row_count bigint, col_count bigint, key_column string, has_sub_headers boolean")
     total = sum((F.length(_cell(c)) for c in df.columns), F.lit(0))
     one = df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(total) / (F.count(F.lit(1)) * cols), F.lit(0.0)).alias("avg_len"), F.coalesce(F.count_if(_sub_header(df)), F.lit(0)).alias("subs"))
-    rows, n = F.col("row_count"), F.lit(cols)
-    kind = (
-        F.when((n == 1) | ((n <= 3) & (F.col("avg_len") > 150)), "narrative")
-        .when((n == 2) & rows.between(50, 500), "glossary")
-        .when((n == 2) & (rows < 50), "key_value")
-        .otherwise("data")
-    )
+    kind = sheet_type(F.lit(cols), F.col("row_count"), F.col("avg_len"))
     return one.select(F.lit(name).alias("name"), kind.alias("sheet_type"), "row_count", F.lit(cols).cast("bigint").alias("col_count"), F.lit(key_column(df.columns)).alias("key_column"), (F.col("subs") > 2).alias("has_sub_headers"))
 
 

@@ -13,8 +13,9 @@ from quillmill.sources.tabular import with_provenance
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     """One file's features, its attributes as columns before the geometry."""
-    office.register(spark)
-    df = spark.read.format("shapefile").load(path)
+    base = path.rsplit(".", 1)[0]
+    folder, stem = base.rsplit("/", 1) if "/" in base else (".", base)
+    df = office.shape_rows(office.contents(spark, folder, f"{stem}.*"))
     first = df.select("attributes").first()
     names = list(first["attributes"] or {}) if first else []
     return df.select(*[F.col("attributes")[n].alias(n) for n in names], "geometry", "valid", "geometry_type", "crs", "error")

@@ -1,54 +1,70 @@
-"""Word, Excel and shape files as Python data sources, read with the standard library."""
+"""Word, Excel, CSV and shape files as tables: contents come from Spark's own file reader, so any shared storage will do.
+
+A file that can't be read gives a row with its error.
+"""
 
 from __future__ import annotations
 
+import csv
 import io
 import os
 import re
 import struct
 import zipfile
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_BAD_FILE = (OSError, KeyError, ValueError, IndexError, TypeError, struct.error, zipfile.BadZipFile, ElementTree.ParseError, csv.Error)
+_POS = "position:struct<x:double,y:double,width:double,height:double>"
+DOCX = f"path string, document_id string, text string, confidence double, text_blocks array<struct<text:string,{_POS},block_type:string,confidence:double>>, tables array<struct<headers:array<string>,rows:array<array<string>>,{_POS},confidence:double>>, n_images int, error string"
+SHEETS = "path string, stem string, sheet string, row_index int, headers array<string>, cells array<string>, error string"
+SHAPES = "path string, feature int, attributes map<string,string>, geometry_type string, geometry binary, valid boolean, crs string, error string"
+#: Rows that leave a Python worker at once.
+ROWS = 1000
 
 
-def _local(path: str) -> str:
-    return re.sub(r"^file:(//)?", "", path)
-
-
-def _files(path: str, extension: str) -> list[str]:
-    path = _local(path)
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith(extension))
-    return [path]
+def contents(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, content) of files or of those right under a folder."""
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def stem_of_path(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
 
 
-class _Reader(DataSourceReader):
-    """One partition a file; a file that can't be read gives a row with its error."""
+def each_file(files: DataFrame, parse: Callable[..., Iterator[tuple]], failed: Callable[[str, str], tuple], schema: str) -> DataFrame:
+    """The rows that ``parse`` makes of each file's path and other columns."""
+    arrow = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
 
-    extension = ""
+    def run(batches):
+        rows: list[tuple] = []
 
-    def __init__(self, options):
-        self.path = options["path"]
+        def out():
+            cols = list(zip(*rows)) if rows else [()] * len(arrow)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    def partitions(self):
-        return [_File(p) for p in _files(self.path, self.extension)]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, *rest = (c[k].as_py() for c in batch.columns)
+                try:
+                    for row in parse(path, *rest):
+                        rows.append(row)
+                        if len(rows) >= ROWS:
+                            yield out()
+                except _BAD_FILE as error:
+                    rows.append(failed(path, f"{type(error).__name__}: {error}"))
+        yield out()
 
-    def read(self, partition):
-        try:
-            yield from self.rows(partition.path)
-        except (OSError, KeyError, ValueError, IndexError, struct.error, zipfile.BadZipFile, ElementTree.ParseError) as error:
-            yield self.error_row(partition.path, f"{type(error).__name__}: {error}")
+    return files.mapInArrow(run, schema)
 
 
 def parse_docx(data: bytes) -> dict:
@@ -71,30 +87,30 @@ def parse_docx(data: bytes) -> dict:
     return {"text": "\n\n".join(b[0] for b in blocks), "blocks": blocks, "tables": tables, "images": images}
 
 
-class DocxReader(_Reader):
-    extension = ".docx"
+_WHOLE = (0.0, 0.0, 1.0, 1.0)
 
-    def rows(self, path):
-        with open(path, "rb") as f:
-            d = parse_docx(f.read())
-        yield (path, os.path.splitext(os.path.basename(path))[0], d["text"], 0.9, d["blocks"], d["tables"], d["images"], None)
 
-    def error_row(self, path, error):
-        return (path, os.path.splitext(os.path.basename(path))[0], "", 0.0, [], [], 0, error)
+def docx_rows(files: DataFrame) -> DataFrame:
+    """One row a Word file. ``files``: path, content."""
 
+    def parse(path, content):
+        d = parse_docx(content)
+        place = dict(zip(("x", "y", "width", "height"), _WHOLE))
+        blocks = [{"text": t, "position": place, "block_type": k, "confidence": c} for t, k, c in d["blocks"]]
+        tables = [{"headers": h, "rows": r, "position": place, "confidence": c} for h, r, c in d["tables"]]
+        yield path, stem_of_path(path), d["text"], 0.9, blocks, tables, d["images"], None
 
-class DocxSource(DataSource):
-    """spark.read.format("docx").load(path): one row a file."""
+    return each_file(files.select("path", "content"), parse, lambda path, error: (path, stem_of_path(path), "", 0.0, [], [], 0, error), DOCX)
 
-    @classmethod
-    def name(cls):
-        return "docx"
 
-    def schema(self):
-        return "path string, document_id string, text string, confidence double, text_blocks array<struct<text:string,block_type:string,confidence:double>>, tables array<struct<headers:array<string>,rows:array<array<string>>,confidence:double>>, n_images int, error string"
-
-    def reader(self, schema: StructType):
-        return DocxReader(self.options)
+def docx_profiles(rows: DataFrame) -> DataFrame:
+    """(path, doc_type, total_pages, text_coverage, has_images, has_tables, confidence) of Word files; one that can't be read is unknown."""
+    ok = F.col("error").isNull()
+    said = F.exists("text_blocks", lambda b: F.length(b["text"]) > 0)
+    return rows.select(
+        "path", F.when(ok, "docx").otherwise("unknown").alias("doc_type"), ok.cast("int").alias("total_pages"), (ok & said).cast("double").alias("text_coverage"),
+        (F.col("n_images") > 0).alias("has_images"), (F.size("tables") > 0).alias("has_tables"), F.when(ok, 0.85).otherwise(0.3).alias("confidence"),
+    )
 
 
 def _column(ref: str) -> int:
@@ -137,39 +153,31 @@ def parse_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
     return out
 
 
-class XlsxReader(_Reader):
-    extension = (".xlsx", ".xls")
+def parse_csv(data: bytes) -> list[list[str]]:
+    """Rows of a comma-separated file, UTF-8 or Latin-1, quotes doubled."""
+    try:
+        text = data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+
 
-    def rows(self, path):
-        stem = os.path.splitext(os.path.basename(path))[0]
-        if path.lower().endswith(".xls"):
-            yield self.error_row(path, "the binary workbook format needs a backend that isn't there")
-            return
-        with open(path, "rb") as f:
-            sheets = parse_xlsx(f.read())
-        if not sheets:
-            yield self.error_row(path, "no sheets")
+def sheet_rows(files: DataFrame) -> DataFrame:
+    """One row a sheet row of CSV and Excel files, cells as strings; a CSV file is one sheet called ``default``. ``files``: path, content."""
+
+    def parse(path, content):
+        stem, kind = stem_of_path(path), path.lower().rsplit(".", 1)[-1]
+        if kind == "xls":
+            raise ValueError("the binary workbook format needs a backend that isn't there")
+        sheets = [("default", parse_csv(content))] if kind == "csv" else parse_xlsx(content)
+        if not any(rows for _, rows in sheets):
+            raise ValueError("no sheets, or all of them empty")
         for name, rows in sheets:
             headers = rows[0] if rows else []
             for i, row in enumerate(rows[1:]):
-                yield (path, stem, name, i, headers, (row + [""] * len(headers))[: max(len(headers), len(row))], None)
-
-    def error_row(self, path, error):
-        return (path, os.path.splitext(os.path.basename(path))[0], None, None, [], [], error)
-
-
-class XlsxSource(DataSource):
-    """spark.read.format("xlsx").load(path): one row a sheet row, cells as strings."""
+                yield path, stem, name, i, headers, (row + [""] * len(headers))[: max(len(headers), len(row))], None
 
-    @classmethod
-    def name(cls):
-        return "xlsx"
-
-    def schema(self):
-        return "path string, stem string, sheet string, row_index int, headers array<string>, cells array<string>, error string"
-
-    def reader(self, schema: StructType):
-        return XlsxReader(self.options)
+    return each_file(files.select("path", "content"), parse, lambda path, error: (path, stem_of_path(path), None, None, [], [], error), SHEETS)
 
 
 _KINDS = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
@@ -245,18 +253,16 @@ def read_dbf(data: bytes) -> tuple[list[str], list[list[str]]]:
     return [f[0] for f in fields], rows
 
 
-class ShapeReader(_Reader):
-    extension = ".shp"
+def shape_rows(files: DataFrame) -> DataFrame:
+    """One row a feature, geometry as well-known binary. ``files``: path, content of .shp files and of the .dbf and .prj beside them."""
+    base, kind = F.regexp_replace("path", r"\.[^.]+$", ""), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
+    each = files.select("path", base.alias("base"), kind.alias("kind"), "content")
+    side = lambda k: each.filter(F.col("kind") == k).select("base", F.col("content").alias(k))
+    joined = each.filter("kind = 'shp'").join(side("dbf"), "base", "left").join(side("prj"), "base", "left").select("path", "content", "dbf", "prj")
 
-    def rows(self, path):
-        base = os.path.splitext(path)[0]
-        with open(path, "rb") as f:
-            shp = f.read()
-        names, attrs = [], []
-        if os.path.exists(f"{base}.dbf"):
-            with open(f"{base}.dbf", "rb") as f:
-                names, attrs = read_dbf(f.read())
-        crs = open(f"{base}.prj").read().strip() if os.path.exists(f"{base}.prj") else None
+    def parse(path, shp, dbf, prj):
+        names, attrs = read_dbf(dbf) if dbf is not None else ([], [])
+        crs = prj.decode("latin-1").strip() if prj is not None else None
         at, i = 100, 0
         while at + 12 <= len(shp):
             (words,) = struct.unpack_from(">i", shp, at + 4)
@@ -265,27 +271,7 @@ class ShapeReader(_Reader):
             flat = kind % 10 if kind > 10 else kind  # shapes with z or m keep x and y
             wkb, valid = _wkb(flat, raw)
             row = attrs[i] if i < len(attrs) else []
-            yield (path, i, dict(zip(names, row)), _KINDS.get(flat), wkb, valid, crs, None)
+            yield path, i, list(zip(names, row)), _KINDS.get(flat), wkb, valid, crs, None
             at, i = at + 8 + 2 * words, i + 1
 
-    def error_row(self, path, error):
-        return (path, None, {}, None, None, None, None, error)
-
-
-class ShapeSource(DataSource):
-    """spark.read.format("shapefile").load(path): one row a feature, geometry as well-known binary."""
-
-    @classmethod
-    def name(cls):
-        return "shapefile"
-
-    def schema(self):
-        return "path string, feature int, attributes map<string,string>, geometry_type string, geometry binary, valid boolean, crs string, error string"
-
-    def reader(self, schema: StructType):
-        return ShapeReader(self.options)
-
-
-def register(spark) -> None:
-    for s in (DocxSource, XlsxSource, ShapeSource):
-        spark.dataSource.register(s)
+    return each_file(joined, parse, lambda path, error: (path, None, [], None, None, None, None, error), SHAPES)

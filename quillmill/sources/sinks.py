@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 _POS = "position:struct<x:double,y:double,width:double,height:double>"
 DOCUMENTS = (
@@ -18,10 +21,18 @@ META = "document_id string, doc_type_enriched string, jurisdiction string, title
 CHUNKS = "document_id string, chunk_index int, start_char int, end_char int, text string, content_type string, has_redaction boolean"
 
 
-def conform(df: DataFrame, schema: str) -> DataFrame:
-    """Exactly the schema's columns in its order; those that are missing become null."""
-    want = df.sparkSession.createDataFrame([], schema).schema
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields])
+def schema_of(spark: SparkSession, ddl: str) -> StructType:
+    return spark.createDataFrame([], ddl).schema
+
+
+def conform(df: DataFrame, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Exactly the schema's columns in its order, and those to keep; those that are missing become null."""
+    want = schema_of(df.sparkSession, schema)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want.fields], *keep)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_table(df: DataFrame, path: str, schema: str, mode: str = "overwrite") -> str:
@@ -45,14 +56,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENTS).parquet(path)
 
 
-def extraction_rows(df: DataFrame) -> DataFrame:
+def extraction_rows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Results to document rows; without metadata the method and zeros stand in."""
+    df = df if "metadata" in df.columns else df.withColumn("metadata", F.lit(None).cast(schema_of(df.sparkSession, DOCUMENTS)["metadata"].dataType))
     m = lambda f, default: F.coalesce(F.col(f"metadata.{f}"), default)
     meta = F.struct(
         m("extraction_strategy", F.col("method")).alias("extraction_strategy"), m("confidence", F.lit(0.0)).alias("confidence"), m("processing_time", F.lit(0.0)).alias("processing_time"),
         m("page_count", F.lit(0)).cast("int").alias("page_count"), m("text_coverage", F.lit(0.0)).alias("text_coverage"), F.col("metadata.preprocessing_steps"), F.col("metadata.content_mix"),
     )
-    return conform(df.withColumn("metadata", meta), DOCUMENTS)
+    return conform(df.withColumn("metadata", meta), DOCUMENTS, keep)
 
 
 def write_enrichment(enriched: DataFrame, chunks: DataFrame, out: str) -> dict[str, str]:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 SCHEMA_VERSION = "2024.11"
-_OF_CODES = "(?i)^" + "_".join(["authority", "code", "(.+?_aut)", "psv"]) + "$"
-_OF_STATE = "(?i)^" + "_".join(["([a-z]{2}[a-z]?)", "(.+)", "psv"]) + "$"
+_OF_CODES = r"(?i)^authority_code_(.+?_aut)_psv$"
+_OF_STATE = r"(?i)^([a-z]{2}[a-z]?)_(.+)_psv$"
 _CODES = """ADDRESS_ALIAS_TYPE ADDRESS_CHANGE_TYPE ADDRESS_TYPE FLAT_TYPE GEOCODED_LEVEL_TYPE GEOCODE_RELIABILITY GEOCODE_TYPE LEVEL_TYPE
 LOCALITY_ALIAS_TYPE LOCALITY_CLASS MB_MATCH_CODE PS_JOIN_TYPE STREET_CLASS STREET_LOCALITY_ALIAS_TYPE STREET_SUFFIX STREET_TYPE"""
 # "@" stands for the two dates of a record's life, "<x>" for x with its prefix and suffix, a leading "=" for the table's own id
