@@ -27,6 +27,11 @@ SCHEME = r"(?U)http(?!://)[_IlL/.:\s]+(?=[Ww])"
 _QUOTED = [(q + gap + sign, q + "s") for q, gap, sign in (("’", " ", "$"), ("’", "", "$"), ("'", " ", "$"), ("'", "", "$"), ("’", "", "€"), ("'", "", "€"))]
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, SPACE, "")
 
@@ -162,12 +167,18 @@ def metric_form(s: pd.Series) -> pd.Series:
 
 
 def word_distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """Edits of whole words, a row of the table at a time."""
+    import numpy as np
+
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (a, b))
+    at = np.arange(len(y) + 1)
+    row = at.copy()
+    for i, word in enumerate(x.tolist(), 1):
+        # the best without a word of b put in, then the running best of putting in words
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != word))
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - at) + at
+    return int(row[-1])
 
 
 @F.pandas_udf(DoubleType())

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmill.functions.text import character_error_rate, metric_form
 
@@ -27,13 +28,14 @@ def spatial_text(words: list[tuple[str, Box]], tolerance: float = 0.5) -> str:
     return "\n".join(" ".join(t for _, t in sorted(line, key=lambda w: w[0])) for line in lines)
 
 
-def _box_iou(one: Box, other: Box) -> float:
-    (left, top, right, bottom), (l2, t2, r2, b2) = one, other
-    width, height = min(right, r2) - max(left, l2), min(bottom, b2) - max(top, t2)
-    if width <= 0 or height <= 0:
-        return 0.0
-    both = width * height
-    return both / ((right - left) * (bottom - top) + (r2 - l2) * (b2 - t2) - both)
+def box_ious(one: Box, boxes: np.ndarray) -> np.ndarray:
+    """Overlap of a box with each of many, as a share of what they cover together."""
+    left, top, right, bottom = one
+    w = np.maximum(0, np.minimum(right, boxes[:, 2]) - np.maximum(left, boxes[:, 0]))
+    h = np.maximum(0, np.minimum(bottom, boxes[:, 3]) - np.maximum(top, boxes[:, 1]))
+    both = w * h
+    union = (right - left) * (bottom - top) + (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) - both
+    return np.where(both > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
 def concordance(order: list[int]) -> float:
@@ -41,27 +43,28 @@ def concordance(order: list[int]) -> float:
     n = len(order)
     if n < 2:
         return 1.0
-    good = sum(order[i] < order[j] for i in range(n) for j in range(i + 1, n))
+    x = np.array(order)
+    good = sum(int((x[i] < x[i + 1 :]).sum()) for i in range(n - 1))
     return good / (n * (n - 1) / 2)
 
 
 def match_words(reference, hypothesis, least: float = 0.3) -> list[int]:
-    """Greedily, each reference word's best free partner by overlap; the partners' places in the hypothesis."""
-    free, out = set(range(len(hypothesis))), []
+    """Greedily, each reference word's best free partner by overlap, the first of equal ones; the partners' places in the hypothesis."""
+    boxes = np.array([b for _, b in hypothesis], float).reshape(-1, 4)
+    free, out = np.ones(len(boxes), bool), []
     for _, box in reference:
-        best, score = None, least
-        for k in sorted(free):
-            s = _box_iou(box, hypothesis[k][1])
-            if s >= score and (best is None or s > score):
-                best, score = k, s
-        if best is not None:
-            free.discard(best)
+        if not free.any():
+            break
+        score = np.where(free, box_ious(box, boxes), -1.0)
+        best = int(score.argmax())
+        if score[best] >= least:
+            free[best] = False
             out.append(best)
     return out
 
 
 def _pairs(pdf: pd.DataFrame):
-    return [(r.text, (r.x0, r.y0, r.x1, r.y1)) for r in pdf.sort_values("ord").itertuples()]
+    return [(r.text, (r.x0, r.y0, r.x1, r.y1)) for r in pdf.sort_values(["ord", "y0", "x0", "text"]).itertuples()]
 
 
 def spatial_sort(words: DataFrame, tolerance: float = 0.5) -> DataFrame:
@@ -93,16 +96,18 @@ def match_layout(predicted: DataFrame, truth: DataFrame, least: float = 0.3) ->
     """(label, tp, fp, fn): greedy matching in the predictions' order; a wrong label counts against both."""
 
     def run(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        free, rows = list(t.sort_values("ord").itertuples()), []
+        t = t.sort_values("ord")
+        labels, boxes = t["label"].tolist(), t[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        free, rows = np.ones(len(labels), bool), []
         for r in p.sort_values("ord").itertuples():
-            scored = [(_box_iou((r.x0, r.y0, r.x1, r.y1), (g.x0, g.y0, g.x1, g.y1)), -k) for k, g in enumerate(free)]
-            best = max(scored, default=(0.0, 0))
-            if best[0] >= least and scored:
-                g = free.pop(-best[1])
-                rows += [(r.label, 1, 0, 0)] if g.label == r.label else [(r.label, 0, 1, 0), (g.label, 0, 0, 1)]
+            score = np.where(free, box_ious((r.x0, r.y0, r.x1, r.y1), boxes), -1.0)
+            best = int(score.argmax()) if free.any() else -1
+            if best >= 0 and score[best] >= least:
+                free[best] = False
+                rows += [(r.label, 1, 0, 0)] if labels[best] == r.label else [(r.label, 0, 1, 0), (labels[best], 0, 0, 1)]
             else:
                 rows.append((r.label, 0, 1, 0))
-        rows += [(g.label, 0, 0, 1) for g in free]
+        rows += [(labels[k], 0, 0, 1) for k in np.flatnonzero(free)]
         return pd.DataFrame(rows, columns=["label", "tp", "fp", "fn"])
 
     matched = predicted.groupBy("document_id").cogroup(truth.groupBy("document_id")).applyInPandas(run, "label string, tp bigint, fp bigint, fn bigint")
@@ -138,9 +143,3 @@ def page_confidence(regions: DataFrame) -> DataFrame:
     """Mean of page means, not weighted by regions. ``regions``: document_id, page_number, confidence, steps."""
     page = regions.groupBy("document_id", "page_number").agg(F.avg("confidence").alias("c"), F.flatten(F.collect_list("steps")).alias("s"))
     return page.groupBy("document_id").agg(F.avg("c").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("steps"))
-
-
-def mean_box_iou(a: Column, b: Column) -> Column:
-    from quillmill.functions.text import iou
-
-    return iou(a, b)

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from quillmill.functions import spans as S
 
 
-def clean(df: DataFrame, text_col: str = "text", out_col: str = "text_clean", entities=("PERSON",), threshold: float = 0.35, scorer=S.hashed_context_score) -> DataFrame:
+def clean(df: DataFrame, text_col: str = "text", out_col: str = "text_clean", entities=("PERSON",), threshold: float = 0.35, scorer=S.hashed_context_scores) -> DataFrame:
     """Adds the cleaned text and ``pii_count``; the raw text, to which offsets refer, stays."""
     found = S.keep_first(S.find_candidates(F.col(text_col), entities, threshold, scorer))
     return df.withColumn("__found", found).withColumns({out_col: S.splice(F.col(text_col), F.col("__found")), "pii_count": F.size("__found")}).drop("__found")
 
 
-def clean_with_known(df: DataFrame, known_col: str, offset_col: str, text_col: str = "text", out_col: str = "text_clean", entities=("PERSON",), threshold: float = 0.35, scorer=S.hashed_context_score) -> DataFrame:
+def clean_with_known(df: DataFrame, known_col: str, offset_col: str, text_col: str = "text", out_col: str = "text_clean", entities=("PERSON",), threshold: float = 0.35, scorer=S.hashed_context_scores) -> DataFrame:
     """As ``clean``, with spans known for the whole document; the higher score wins where starts tie.
 
     ``known_col``: array of structs start, end, entity_type in the document's coordinates.
@@ -47,8 +47,15 @@ def tag_counts(df: DataFrame, text_col: str = "text_clean") -> DataFrame:
 
 
 def cleaning_scores(truth: DataFrame, raw_col: str = "raw", clean_col: str = "clean", span_col: str = "span_text", supported=("PERSON", "ADDRESS")) -> DataFrame:
-    """One row: recall of true spans (in the raw text, no longer in the clean one), tags, coverage. Zero where nothing can be counted."""
+    """One row: recall, precision, coverage and their counts.
+
+    ``truth``: document_id, raw and cleaned text, span_text, entity_type, one row a true span.  A span is found if the
+    raw text has it and the clean one no longer does; precision is found spans to tags, a document's tags counted once;
+    coverage is the share of the spans whose kind is supported.  Zero where nothing can be counted.
+    """
     gone = F.col(raw_col).contains(F.col(span_col)) & ~F.col(clean_col).contains(F.col(span_col))
-    return truth.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.count_if(gone), F.lit(0)).alias("found"), F.coalesce(F.count_if(F.col("entity_type").isin(*supported)), F.lit(0)).alias("covered")).select(
-        F.coalesce(F.try_divide("found", "n"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide("covered", "n"), F.lit(0.0)).alias("coverage"), "n", "found"
-    )
+    tags = F.size(F.regexp_extract_all(F.col(clean_col), F.lit("<([A-Z_]+)>"), F.lit(1)))
+    per = truth.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("found"), F.count_if(F.col("entity_type").isin(*supported)).alias("covered"), F.max(tags).alias("tags"))
+    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n", "found", "covered", "tags")])
+    rate = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return total.select(rate("found", "n").alias("recall"), rate("found", "tags").alias("precision"), rate("covered", "n").alias("coverage"), "n", "found", "tags")
