@@ -11,7 +11,6 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmill.functions.text import table_to_markdown
@@ -99,26 +98,33 @@ def _merge(ranges, size, tokens) -> list[tuple[int, int]]:
     return out
 
 
-def chunks_of(text: Column, size: int, count: Callable[[str], int] = word_count, overlap: float = 0) -> Column:
-    """Array of chunks of a text; blank texts have none."""
+def split_texts(df: DataFrame, size: int, count: Callable[[str], int] = word_count, overlap: float = 0) -> DataFrame:
+    """``all``: for each of a row's ``texts`` an array of chunks. Blank texts have none, and only the first text's chunks overlap. Other columns stay."""
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"chunk_index": i, "start_char": a, "end_char": b, "text": t[a:b]} for i, (a, b) in enumerate(split_text(t, size, count, overlap))] if t else [])
+    def one(t, extra):
+        return [{"chunk_index": i, "start_char": a, "end_char": b, "text": t[a:b]} for i, (a, b) in enumerate(split_text(t, size, count, extra))]
 
-    return run(F.coalesce(text, F.lit("")))
+    def run(batches):
+        for pdf in batches:
+            pdf["all"] = [[one(t, 0 if k else overlap) for k, t in enumerate(ts)] for ts in pdf["texts"]]
+            yield pdf.drop(columns="texts")
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "texts"]
+    return df.mapInPandas(run, ", ".join([*kept, f"all array<array<{CHUNK}>>"]))
 
 
 def chunk_documents(docs: DataFrame, size: int, count: Callable[[str], int] = word_count, overlap: float = 0, tables_col: str | None = None) -> DataFrame:
     """(document_id, chunk_index, start_char, end_char, text, content_type, has_redaction): narrative chunks, then those of the tables' markdown, numbered through per document."""
-    parts = docs.select("document_id", F.lit("narrative").alias("content_type"), F.lit(-1).alias("part"), F.explode(chunks_of(F.col("text"), size, count, overlap)).alias("c"))
+    kept = lambda chunks, kind: F.transform(chunks, lambda c: F.struct(c["start_char"].alias("start_char"), c["end_char"].alias("end_char"), c["text"].alias("text"), F.lit(kind).alias("content_type"), F.lit(False).alias("has_redaction")))
+    # the splitter sees a document's text and the markdown of all its tables as one array, so nothing is shuffled
+    texts = F.array(F.coalesce("text", F.lit("")))
     if tables_col:
-        tables = docs.select("document_id", F.posexplode(tables_col).alias("part", "t")).select("document_id", "part", table_to_markdown(F.col("t.headers"), F.col("t.rows")).alias("md"))
-        parts = parts.unionByName(tables.filter("md <> ''").select("document_id", F.lit("table").alias("content_type"), "part", F.explode(chunks_of(F.col("md"), size, count)).alias("c")))
-    rows = parts.select("document_id", "content_type", "part", "c.*")
-    per = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("part", "chunk_index", "start_char", "end_char", "text", "content_type"))).alias("all"))
-    fixed = per.select("document_id", F.posexplode(repair_splits(F.transform("all", lambda c: F.struct(c["start_char"].alias("start_char"), c["end_char"].alias("end_char"), c["text"].alias("text"), c["content_type"].alias("content_type"), F.lit(False).alias("has_redaction"))))).alias("chunk_index", "c"))
-    return fixed.select("document_id", "chunk_index", "c.*")
+        markdown = F.transform(F.coalesce(tables_col, F.array()), lambda t: table_to_markdown(t["headers"], t["rows"]))
+        texts = F.concat(texts, markdown)
+    split = split_texts(docs.select("document_id", texts.alias("texts")), size, count, overlap)
+    own = F.concat(kept(F.col("all")[0], "narrative"), F.flatten(F.transform(F.slice("all", F.lit(2), F.size("all")), lambda cs: kept(cs, "table"))))
+    # marks are mended before rows become chunks
+    return split.select("document_id", F.posexplode(repair_splits(own)).alias("chunk_index", "c")).select("document_id", "chunk_index", "c.*")
 
 
 def _torn(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillmill.functions.text import decode_span
 
@@ -55,12 +55,15 @@ def _flat(field: str, make) -> Column:
     return F.flatten(F.transform(F.coalesce(F.col(f"e.{field}"), F.array()), make))
 
 
-def _explode(enriched: DataFrame, *arrays: Column) -> DataFrame:
+def _explode(enriched: DataFrame, *arrays: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """All entity kinds of a document in one pass over the table."""
-    return enriched.select("document_id", F.explode(F.concat(*arrays)).alias("r")).select("document_id", "r.*")
+    return enriched.select("document_id", *keep, F.explode(F.concat(*arrays)).alias("r")).select("document_id", *keep, "r.*")
 
 
-def _mention_rows(enriched: DataFrame) -> DataFrame:
+_MENTION = ("document_id", "entity_id", "entity_label", "name", "entity_type", "role", "mention_start", "mention_end")
+
+
+def _mention_rows(enriched: DataFrame, *keep: str) -> DataFrame:
     def of(field: str, label: str) -> Column:
         def one(x: Column) -> Column:
             kind = F.lit("") if label == "term" else x["type"]
@@ -72,17 +75,19 @@ def _mention_rows(enriched: DataFrame) -> DataFrame:
 
         return _flat(field, one)
 
-    return _explode(enriched, *[of(f, label) for f, label in _NAMED.items()])
+    return _explode(enriched, *[of(f, label) for f, label in _NAMED.items()], keep=keep)
 
 
 def entity_mentions(enriched: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row a mention, with the first chunk it lies in."""
-    rows = _mention_rows(enriched).withColumns({"start": F.col("mention_start"), "end": F.col("mention_end")})
-    spans = rows.select("document_id", "start", "end").distinct()
-    where = first_chunk(spans, chunks, ["document_id", "start", "end"])
-    return rows.join(where, ["document_id", "start", "end"], "left").select(
-        "document_id", "entity_id", "entity_label", "name", "entity_type", "role", "mention_start", "mention_end", "chunk_index"
-    )
+    """One row a mention, with the first narrative chunk it lies in, or -1.
+
+    A document's chunk bounds come to its mentions as one array, in order: one shuffle and no join of spans.
+    """
+    c = chunks.filter("content_type = 'narrative'") if "content_type" in chunks.columns else chunks
+    bounds = c.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "start_char", "end_char"))).alias("b"))
+    met = F.filter("b", lambda x: (x["start_char"] < F.col("mention_end")) & (F.col("mention_start") < x["end_char"]))
+    rows = _mention_rows(enriched.join(bounds, "document_id", "left"), "b")
+    return rows.select(*_MENTION, F.coalesce(F.try_element_at(met, F.lit(1))["chunk_index"], F.lit(-1)).cast("int").alias("chunk_index"))
 
 
 def enrichment_meta(enriched: DataFrame) -> DataFrame:
@@ -107,11 +112,11 @@ _NONE = lambda: F.create_map().cast("map<string,string>")
 
 
 def nodes(enriched: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(document_id, node_id, label, props); of several nodes with one id the last kind wins."""
-    node = lambda i, rank, label, props: F.struct(i.alias("node_id"), F.lit(rank).alias("rank"), F.lit(label).alias("label"), props.alias("props"))
+    """(document_id, node_id, label, props); of several nodes with one id the last kind wins, and of one kind the last in its list."""
+    node = lambda i, rank, label, props, at=F.lit(0): F.struct(at.cast("int").alias("at"), i.alias("node_id"), F.lit(rank).alias("rank"), F.lit(label).alias("label"), props.alias("props"))
 
     def of(field: str, rank: int, label: str, props) -> Column:
-        return F.transform(F.coalesce(F.col(f"e.{field}"), F.array()), lambda x: node(_id(x["id"]), rank, label, props(x)))
+        return F.transform(F.coalesce(F.col(f"e.{field}"), F.array()), lambda x, k: node(_id(x["id"]), rank, label, props(x), k))
 
     named = lambda x: {"name": _span_text(x["name"])}
     rows = _explode(
@@ -124,8 +129,8 @@ def nodes(enriched: DataFrame, chunks: DataFrame) -> DataFrame:
         of("external_documents", 6, "external_document", lambda x: _props(**named(x), type=x["type"], jurisdiction=x["jurisdiction"], reception=x["reception"])),
     )
     c = {k: F.col(k) for k in ("text", "start_char", "end_char", "content_type", "chunk_index")}
-    of_chunks = chunks.select("document_id", _id(F.lit("chunk"), F.col("chunk_index").cast("string")).alias("node_id"), F.lit(1).alias("rank"), F.lit("chunk").alias("label"), _props(**c).alias("props"))
-    return rows.unionByName(of_chunks).groupBy("document_id", "node_id").agg(F.max_by(F.struct("label", "props"), "rank").alias("n")).select("document_id", "node_id", "n.label", "n.props")
+    of_chunks = chunks.select("document_id", _id(F.lit("chunk"), F.col("chunk_index").cast("string")).alias("node_id"), F.lit(1).alias("rank"), F.lit("chunk").alias("label"), _props(**c).alias("props"), F.col("chunk_index").cast("int").alias("at"))
+    return rows.unionByName(of_chunks).groupBy("document_id", "node_id").agg(F.max_by(F.struct("label", "props"), F.struct("rank", "at")).alias("n")).select("document_id", "node_id", "n.label", "n.props")
 
 
 def edges(enriched: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -201,6 +206,27 @@ def dangling(e: DataFrame, n: DataFrame) -> DataFrame:
     return ends.join(n.select("document_id", "node_id"), ["document_id", "node_id"], "left_anti")
 
 
+def load_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """Stored mentions; a role that is null becomes ''."""
+    return spark.read.parquet(path).withColumn("role", F.coalesce("role", F.lit("")))
+
+
+def nodes_by_label(n: DataFrame, label: str) -> DataFrame:
+    return n.filter(F.col("label") == label)
+
+
+def edges_by_relation(e: DataFrame, relation: str) -> DataFrame:
+    return e.filter(F.col("relation") == relation)
+
+
+def edges_from(e: DataFrame, node_id: str) -> DataFrame:
+    return e.filter(F.col("source_id") == node_id)
+
+
+def edges_to(e: DataFrame, node_id: str) -> DataFrame:
+    return e.filter(F.col("target_id") == node_id)
+
+
 def mentions_for_document(mentions: DataFrame, document_id: str, label: str | None = None) -> DataFrame:
     out = mentions.filter(F.col("document_id") == document_id)
     return out.filter(F.col("entity_label") == label) if label else out

@@ -28,21 +28,28 @@ def flatten_metadata(df: DataFrame) -> DataFrame:
     return df
 
 
-def structural(df: DataFrame, rules: VerifyRules = VerifyRules()) -> DataFrame:
-    """One row: missing columns, duplicate ids, values out of range, in a single pass."""
+def _structure(df: DataFrame, rules: VerifyRules) -> dict:
     missing = sorted(set(rules.required) - set(df.columns))
     has = lambda c: c in df.columns
     zero = F.lit(0).cast("bigint")
     count_if = lambda c: F.coalesce(F.count_if(c), zero)
     # an id that is null counts as a value of its own
     keyed = F.struct(F.col("document_id")) if has("document_id") else None
-    return df.agg(
-        F.lit(",".join(missing)).alias("missing_columns"),
-        (F.count(F.lit(1)) - F.countDistinct(keyed) if keyed is not None else zero).alias("duplicate_ids"),
-        (count_if((F.col("confidence") < 0) | (F.col("confidence") > 1)) if has("confidence") else zero).alias("bad_confidence"),
-        (count_if(F.col("page_count") < 0) if has("page_count") else zero).alias("bad_page_count"),
-        F.count(F.lit(1)).alias("total_docs"),
-    ).withColumn("structural_passed", F.expr("missing_columns = '' AND duplicate_ids = 0 AND bad_confidence = 0 AND bad_page_count = 0"))
+    return {
+        "missing_columns": F.lit(",".join(missing)),
+        "duplicate_ids": F.count(F.lit(1)) - F.countDistinct(keyed) if keyed is not None else zero,
+        "bad_confidence": count_if((F.col("confidence") < 0) | (F.col("confidence") > 1)) if has("confidence") else zero,
+        "bad_page_count": count_if(F.col("page_count") < 0) if has("page_count") else zero,
+        "total_docs": F.count(F.lit(1)),
+    }
+
+
+_PASSED = "missing_columns = '' AND duplicate_ids = 0 AND bad_confidence = 0 AND bad_page_count = 0"
+
+
+def structural(df: DataFrame, rules: VerifyRules = VerifyRules()) -> DataFrame:
+    """One row: missing columns, duplicate ids, values out of range, in a single pass."""
+    return df.agg(*[c.alias(name) for name, c in _structure(df, rules).items()]).withColumn("structural_passed", F.expr(_PASSED))
 
 
 def with_signals(df: DataFrame, rules: VerifyRules = VerifyRules()) -> DataFrame:
@@ -56,9 +63,9 @@ def weak_signal_scan(df: DataFrame, rules: VerifyRules = VerifyRules()) -> DataF
 
 
 def status(df: DataFrame, rules: VerifyRules = VerifyRules()) -> DataFrame:
-    """One row: overall status, counts.  A structural failure decides before any scan counts."""
-    flagged = with_signals(df, rules).agg(F.coalesce(F.count_if(F.size("signals") > 0), F.lit(0)).alias("flagged"))
-    both = structural(df, rules).crossJoin(flagged)
+    """One row: overall status, counts, in a single pass.  A structural failure decides before any scan counts."""
+    flagged = F.coalesce(F.count_if(F.size("signals") > 0), F.lit(0)).alias("flagged")
+    both = with_signals(df, rules).agg(*[c.alias(name) for name, c in _structure(df, rules).items()], flagged).withColumn("structural_passed", F.expr(_PASSED))
     ratio = F.when(F.col("total_docs") > 0, F.col("flagged") / F.col("total_docs")).otherwise(F.lit(0.0))
     overall = (
         F.when(~F.col("structural_passed"), "failed").when(F.col("flagged") == 0, "passed").when(ratio > rules.fail_ratio, "failed").otherwise("warning")

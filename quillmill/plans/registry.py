@@ -137,8 +137,8 @@ def duplicate_keys(spark, d):
 @_query
 def lineitem_integrity(spark, d):
     """Cells of two large tables aligned by position: rows are numbered without a single-partition window."""
-    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]
-    li = fidelity.with_row_index(T.table(spark, d, "lineitem").select(*cols), *cols)
+    df = T.table(spark, d, "lineitem")
+    li = fidelity.with_row_index(df, "l_orderkey", "l_linenumber", *[c for c in df.columns if c not in ("l_orderkey", "l_linenumber")])
     copy = li.withColumns({"l_returnflag": F.when(F.col("row_index") % 1000 == 7, "?").otherwise(F.col("l_returnflag")), "l_quantity": F.when(F.col("row_index") % 500 == 3, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))})
     return fidelity.data_integrity(li, copy).withColumn("score", F.round("score", 9))
 
@@ -167,7 +167,7 @@ def span_chunk_overlap(spark, d):
 @_query
 def mention_first_chunk(spark, d):
     spans = T.line_spans(spark, d).select("document_id", "start", "end")
-    return graph.first_chunk(spans, T.windows(spark, d).filter("chunk_index > 0"), ["document_id", "start", "end"])
+    return graph.first_chunk(spans, T.windows(spark, d), ["document_id", "start", "end"])
 
 
 @_query
@@ -235,9 +235,8 @@ def clean_known_spans(spark, d):
 
 @_query
 def cer_pairs(spark, d):
-    """Every benchmark text against its neighbour's, ASCII letters only, so that both engines count alike."""
-    plain = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
-    b = T.table(spark, d, "benchmark").select("item_id", plain.alias("reference"))
+    """Every benchmark text against its neighbour's; accented letters get capitals as names, since the other engine counts bytes."""
+    b = T.table(spark, d, "benchmark").select("item_id", F.translate(F.lower("text"), *T.ACCENTS).alias("reference"))
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("reference").alias("hypothesis"))
     return b.join(other, "item_id").select("item_id", F.round(X.character_error_rate(F.col("reference"), F.col("hypothesis")), 6).alias("cer"))
 
@@ -308,9 +307,11 @@ def region_words(spark, d):
 
 @_query
 def layout_scores(spark, d):
-    """Labels of quality as predictions of toxicity: counts, then precision, recall and F1."""
-    lab = T.table(spark, d, "labels").select(F.col("quality").cast("string").alias("label"), "toxic")
-    counts = lab.groupBy("label").agg(F.count_if(F.col("toxic") == 1).alias("tp"), F.count_if(F.col("toxic") == 0).alias("fp"), F.lit(3).cast("bigint").alias("fn"))
+    """Lines as regions labelled by their first letter, against the same with every fifth label changed and every seventh moved away."""
+    s = T.line_spans(spark, d)
+    letter = F.lower(F.left("line", F.lit(1)))
+    box = lambda label, shift: s.select("document_id", "ord", label.alias("label"), (F.col("start") + shift).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("end") + shift).cast("double").alias("x1"), F.lit(1.0).alias("y1"))
+    counts = metrics.match_layout(box(letter, F.lit(0)), box(F.when(F.col("ord") % 5 == 0, "?").otherwise(letter), F.when(F.col("ord") % 7 == 0, 10_000_000).otherwise(0)))
     return metrics.precision_recall(counts).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -337,36 +338,52 @@ def events_by_window(spark, d):
     return w.select(F.col("window_start").cast("string").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-# == not expressible in SQL: tests hold these against brute force
+@_query
+def metric_forms(spark, d):
+    return T.documents(spark, d).select("document_id", X.metric_form("text").alias("form"))
 
 
 @_query
-def chunk_documents(spark, d):
-    return chunking.chunk_documents(T.documents(spark, d), 200, overlap=0.1)
+def chunk_source_pages(spark, d):
+    """The lines that every window covers, as pages."""
+    pages = T.line_spans(spark, d).select("document_id", F.col("ord").alias("page_number"), F.col("start").alias("page_start"), F.col("end").alias("page_end"))
+    got = chunking.source_pages(T.windows(spark, d), pages)
+    return got.select("document_id", "chunk_index", _text(F.col("source_pages").cast("array<string>")).alias("pages"))
 
 
 @_query
-def chunk_summary(spark, d):
-    return chunking.chunk_counts(chunking.chunk_documents(T.documents(spark, d), 200))
+def redacted_chunks(spark, d):
+    """Windows on redacted pages: every line that begins with a vowel is one."""
+    lines = T.line_spans(spark, d)
+    pages = lines.select("document_id", F.col("ord").alias("page_number"), F.col("start").alias("page_start"), F.col("end").alias("page_end"))
+    affected = lines.filter(F.lower(F.left("line", F.lit(1))).isin(*"aeiou")).groupBy("document_id").agg(F.collect_set("ord").alias("pages"))
+    chunks = chunking.source_pages(T.windows(spark, d), pages).withColumn("page_number", F.lit(None).cast("int"))
+    return chunking.flag_redacted(chunks, affected).select("document_id", "chunk_index", "has_redaction")
 
 
 @_query
-def pii_clean(spark, d):
-    return pii.clean(T.documents(spark, d), entities=("PERSON", "ADDRESS")).select("document_id", "text_clean", "pii_count")
+def page_structure(spark, d):
+    """Detected tables and form fields, from the tables' own counts: lines by bars, short lines as labels."""
+    lines = F.split("text", "\n")
+    shape = F.array(F.struct(F.size(F.filter(lines, lambda t: t.contains(" | "))).alias("rows"), F.lit(2).alias("cols")))
+    docs = T.documents(spark, d)
+    return docs.select("document_id", classify.has_structural_tables(shape).alias("has_table"), classify.has_form_structure((F.col("doc_id") % 3).cast("int"), lines).alias("has_form"))
 
 
 @_query
-def word_errors(spark, d):
-    b = T.table(spark, d, "benchmark").select("item_id", "text")
-    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hypothesis"))
-    return b.join(other, "item_id").select("item_id", X.word_error_rate(X.metric_form("text"), X.metric_form("hypothesis")).alias("wer"))
+def graph_edges_from(spark, d):
+    e = graph.edges(T.enriched(spark, d), T.windows(spark, d))
+    out = graph.edges_from(e, "7:p1").withColumn("way", F.lit("from")).unionByName(graph.edges_to(e, "7:p1").withColumn("way", F.lit("to"))).unionByName(graph.edges_by_relation(e, "cites").withColumn("way", F.lit("cites")))
+    return out.select("way", "source_id", "target_id", "relation")
 
 
-def _word_boxes(spark, d, shift: float):
-    w = F.posexplode(F.filter(F.split("text", r"(?U)\s+"), lambda t: t != "")).alias("ord", "text")
-    b = T.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("document_id"), w)
-    x, y = F.col("ord") % 10 * 12.0 + shift, F.floor(F.col("ord") / 10) * 15.0
-    return b.select("document_id", "ord", "text", x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 10).alias("y1"))
+@_query
+def first_bad_keys(spark, d):
+    """The report's first missing and repeated keys."""
+    a, b = T.customer_sheet(spark, d), T.customer_copy(spark, d)
+    kinds = (("missing", fidelity.missing_keys(a, b, "c_custkey")), ("repeated", fidelity.duplicate_keys(b, "c_custkey")))
+    one, two = (fidelity.first_keys(df).withColumn("kind", F.lit(kind)) for kind, df in kinds)
+    return one.unionByName(two)
 
 
 @_query
@@ -376,12 +393,15 @@ def spatial_sort(spark, d):
 
 @_query
 def spatial_errors(spark, d):
-    return metrics.cer_spatial(_word_boxes(spark, d, 0.0), _word_boxes(spark, d, 2.0).filter("ord % 17 <> 3"))
+    named = lambda df: df.withColumn("text", F.translate(F.lower("text"), *T.ACCENTS))
+    got = metrics.cer_spatial(named(_word_boxes(spark, d, 0.0)), named(_word_boxes(spark, d, 2.0)).filter("ord % 17 <> 3"))
+    return got.select("document_id", F.round("cer", 6).alias("cer"))
 
 
 @_query
 def reading_order(spark, d):
-    return metrics.reading_order(_word_boxes(spark, d, 0.0), _word_boxes(spark, d, 2.0).withColumn("ord", F.when(F.col("ord") % 5 == 0, F.col("ord") + 2).otherwise(F.col("ord"))))
+    got = metrics.reading_order(_word_boxes(spark, d, 0.0), _word_boxes(spark, d, 2.0).withColumn("ord", F.when(F.col("ord") % 5 == 0, F.col("ord") + 2).otherwise(F.col("ord"))))
+    return got.select("document_id", F.round("accuracy", 6).alias("accuracy"))
 
 
 @_query
@@ -389,4 +409,44 @@ def redaction_detect(spark, d):
     """A page a document, with as many dark boxes as its id says, found again in the raster."""
     from quillmill.plans.rasters import pages_with_boxes
 
-    return redaction.redaction_reports(pages_with_boxes(T.documents(spark, d))).select("document_id", "total", _text(F.col("affected_pages").cast("array<string>")).alias("pages"))
+    reports = redaction.redaction_reports(pages_with_boxes(T.documents(spark, d)))
+    return reports.select("document_id", "total", _text(F.col("affected_pages").cast("array<string>")).alias("pages"), _text(redaction.redaction_warnings(F.col("report"))).alias("warnings"))
+
+
+@_query
+def redacted_count(spark, d):
+    from quillmill.plans.rasters import pages_with_boxes
+
+    return redaction.redacted_documents(redaction.redaction_reports(pages_with_boxes(T.documents(spark, d))))
+
+
+# == not expressible in SQL: tests hold these against brute force over the whole tables
+
+
+@_query
+def chunk_documents(spark, d):
+    return chunking.chunk_documents(T.documents(spark, d), 200, overlap=0.1)
+
+
+@_query
+def chunk_summary(spark, d):
+    return chunking.chunk_counts(chunking.chunk_documents(T.documents(spark, d), 200))
+
+
+@_query
+def pii_clean(spark, d):
+    return pii.clean(T.documents(spark, d), entities=("PERSON", "ADDRESS")).select("document_id", "text_clean", "pii_count")
+
+
+@_query
+def word_errors(spark, d):
+    b = T.table(spark, d, "benchmark").select("item_id", "text")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hypothesis"))
+    return b.join(other, "item_id").select("item_id", X.word_error_rate(X.metric_form("text"), X.metric_form("hypothesis")).alias("wer"))
+
+
+def _word_boxes(spark, d, shift: float):
+    w = F.posexplode(F.filter(F.split("text", r"(?U)\s+"), lambda t: t != "")).alias("ord", "text")
+    b = T.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("document_id"), w)
+    x, y = F.col("ord") % 10 * 12.0 + shift, F.floor(F.col("ord") / 10) * 15.0
+    return b.select("document_id", "ord", "text", x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 10).alias("y1"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from quillmill.plans.tables import ACCENTS
+
+_WORDS = r"""w0 AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS ws FROM benchmark),
+w AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w0)"""
+
 _DOCS = """docs AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, source || '/' || doc_id || '.txt' AS source_path, text, doc_id, lang, source, n_chars,
   0.5 + (doc_id % 50) / 100.0 AS confidence, CAST(floor(n_chars / 100.0) AS INTEGER) AS page_count FROM documents)"""
 
@@ -134,14 +139,14 @@ ORACLE: dict[str, str] = {
       (SELECT count(DISTINCT c_custkey) FROM sheet WHERE c_custkey NOT IN (SELECT c_custkey FROM copy)) AS missing_keys, (SELECT count(*) FROM (SELECT c_custkey FROM copy GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys,
       (SELECT count(*) FROM (SELECT c_custkey FROM copy GROUP BY 1 HAVING count(*) > 1)) = 0 AND (SELECT count(*) FROM sheet WHERE c_custkey NOT IN (SELECT c_custkey FROM copy)) = 0 AS passed""",
     "duplicate_keys": f'WITH {_SHEET} SELECT c_custkey AS "key", count(*) AS copies FROM copy GROUP BY 1 HAVING count(*) > 1',
-    "lineitem_integrity": """WITH r AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag) - 1 AS i, l_returnflag AS f FROM lineitem),
+    "lineitem_integrity": """WITH r AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS i, l_returnflag AS f FROM lineitem),
       b AS (SELECT CASE WHEN i % 1000 = 7 AND f <> '?' THEN 1 ELSE 0 END + CASE WHEN i % 500 = 3 THEN 1 ELSE 0 END AS b FROM r)
-      SELECT sum(b) = 0 AS passed, count(*) * 5 AS total_cells, CAST(sum(b) AS BIGINT) AS mismatched_cells, round(1 - sum(b) / (count(*) * 5)::DOUBLE, 9) AS score FROM b""",
+      SELECT sum(b) = 0 AS passed, count(*) * 11 AS total_cells, CAST(sum(b) AS BIGINT) AS mismatched_cells, round(1 - sum(b) / (count(*) * 11)::DOUBLE, 9) AS score FROM b""",
     "resume_anti_join": f"WITH {_DOCS} SELECT document_id, source_path FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "batch_summary": f"WITH {_DOCS} SELECT source, count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality <> 1) AS failed, count(*) FILTER (quality IS NULL) AS pending FROM docs LEFT JOIN labels USING (doc_id) GROUP BY source",
     "span_chunk_overlap": f'WITH {_DOCS}, {_LINES}, {_WINDOWS} SELECT s.document_id, s.start, s."end", w.chunk_index FROM spans s JOIN win w ON w.document_id = s.document_id AND w.start_char < s."end" AND s.start < w.end_char',
     "mention_first_chunk": f"""WITH {_DOCS}, {_LINES}, {_WINDOWS} SELECT s.document_id, s.start, s."end", CAST(coalesce(min(w.chunk_index), -1) AS INTEGER) AS chunk_index
-      FROM spans s LEFT JOIN win w ON w.document_id = s.document_id AND w.chunk_index > 0 AND w.start_char < s."end" AND s.start < w.end_char GROUP BY 1, 2, 3""",
+      FROM spans s LEFT JOIN win w ON w.document_id = s.document_id AND w.start_char < s."end" AND s.start < w.end_char GROUP BY 1, 2, 3""",
     "entity_mentions": f"WITH {_MENTIONS} SELECT * FROM mentions",
     "graph_edges_flat": f"WITH {_EDGES} SELECT * FROM edges",
     "graph_nodes": f"""WITH {_DOCS}, {_WINDOWS}, {_ENTITIES}
@@ -154,7 +159,7 @@ ORACLE: dict[str, str] = {
     "pii_spans": f"WITH {_MENTIONS} SELECT document_id, mention_start, mention_end, entity_label FROM mentions WHERE mention_start >= 0 AND mention_end > mention_start AND entity_label IN ('person', 'location')",
     "enrichment_meta": f"""WITH {_DOCS} SELECT document_id, 'decision' AS doc_type_enriched, 'au' AS jurisdiction, left(text, 10) AS title, 2 AS segment_count, 2 AS person_count, 1 AS location_count, 1 AS term_count, 1 AS external_doc_count, 1 AS date_count, 1 AS heading_count, 0 AS junk_span_count FROM docs""",
     "known_pii_spans": f'WITH {_KNOWN} SELECT document_id, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", entity_type FROM known',
-    "cer_pairs": """WITH b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS t FROM benchmark)
+    "cer_pairs": f"""WITH b AS (SELECT item_id, translate(lower(text), '{ACCENTS[0]}', '{ACCENTS[1]}') AS t FROM benchmark)
       SELECT a.item_id, round(CASE WHEN length(a.t) > 0 THEN levenshtein(a.t, o.t) / length(a.t)::DOUBLE WHEN length(o.t) > 0 THEN 1 ELSE 0 END, 6) AS cer FROM b a JOIN b o ON o.item_id - 1 = a.item_id""",
     "bbox_iou": """WITH l AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS k, l_quantity AS q FROM lineitem),
       i AS (SELECT *, greatest(0, least(k + q, 25) - greatest(k, 5)) * greatest(0, least(k + 10, 3 + q) - greatest(k, 3)) AS ov FROM l)
@@ -176,9 +181,40 @@ ORACLE: dict[str, str] = {
       u AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS word_no FROM w),
       t AS (SELECT *, sum(length(word)) OVER (PARTITION BY item_id) AS total, sum(length(word)) OVER (PARTITION BY item_id ORDER BY word_no ROWS UNBOUNDED PRECEDING) AS upto FROM u)
       SELECT CAST(item_id AS VARCHAR) AS document_id, word_no, word, round(100.0::DOUBLE * (upto - length(word)) / total, 5) AS x0, round(100.0::DOUBLE * upto / total, 5) AS x1 FROM t""",
-    "layout_scores": """WITH c AS (SELECT CAST(quality AS VARCHAR) AS label, count(*) FILTER (toxic = 1)::DOUBLE AS tp, count(*) FILTER (toxic = 0)::DOUBLE AS fp, 3.0::DOUBLE AS fn FROM labels GROUP BY 1),
-      r AS (SELECT label, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q FROM c)
+    "layout_scores": f"""WITH {_DOCS}, {_LINES}, s AS (SELECT ord, lower(left(line, 1)) AS p, CASE WHEN ord % 5 = 0 THEN '?' ELSE lower(left(line, 1)) END AS t FROM spans),
+      c AS (SELECT p AS label, CASE WHEN ord % 7 > 0 AND p = t THEN 1 ELSE 0 END AS tp, CASE WHEN ord % 7 > 0 AND p = t THEN 0 ELSE 1 END AS fp, 0 AS fn FROM s
+        UNION ALL SELECT t, 0, 0, CASE WHEN ord % 7 > 0 AND p = t THEN 0 ELSE 1 END FROM s),
+      g AS (SELECT label, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn FROM c GROUP BY label),
+      r AS (SELECT label, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q FROM g)
       SELECT label, round(p, 6) AS precision, round(q, 6) AS recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) AS f1 FROM r""",
+    "metric_forms": f"""WITH {_DOCS} SELECT document_id, array_to_string(list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '\\s+'), lambda t: t <> ''), ' ') AS form FROM docs""",
+    "chunk_source_pages": f"""WITH {_DOCS}, {_LINES}, {_WINDOWS} SELECT w.document_id, w.chunk_index, string_agg(CAST(s.ord AS VARCHAR), ',' ORDER BY s.ord) AS pages
+      FROM win w LEFT JOIN spans s ON w.document_id = s.document_id AND w.start_char < s."end" AND s.start < w.end_char GROUP BY 1, 2""",
+    "redacted_chunks": f"""WITH {_DOCS}, {_LINES}, {_WINDOWS} SELECT w.document_id, w.chunk_index, coalesce(bool_or(lower(left(s.line, 1)) IN ('a', 'e', 'i', 'o', 'u')), false) AS has_redaction
+      FROM win w LEFT JOIN spans s ON w.document_id = s.document_id AND w.start_char < s."end" AND s.start < w.end_char GROUP BY 1, 2""",
+    "page_structure": f"""WITH {_DOCS}, p AS (SELECT document_id, doc_id, string_split(text, chr(10)) AS l FROM docs)
+      SELECT document_id, len(list_filter(l, lambda t: contains(t, ' | '))) * 2 >= 4 AS has_table, doc_id % 3 >= 2 OR len(list_filter(l, lambda t: length(trim(t)) BETWEEN 1 AND 30)) >= 10 AS has_form FROM p""",
+    "graph_edges_from": f"""WITH {_EDGES} SELECT 'from' AS way, source_id, target_id, relation FROM e0 WHERE source_id = '7:p1' UNION ALL SELECT 'to', source_id, target_id, relation FROM e0 WHERE target_id = '7:p1'
+      UNION ALL SELECT 'cites', source_id, target_id, relation FROM e0 WHERE relation = 'cites'""",
+    "first_bad_keys": f"""WITH {_SHEET}, m AS (SELECT DISTINCT c_custkey AS k FROM sheet WHERE c_custkey NOT IN (SELECT c_custkey FROM copy)), r AS (SELECT c_custkey AS k FROM copy GROUP BY 1 HAVING count(*) > 1)
+      (SELECT k AS "key", 'missing' AS kind FROM m ORDER BY k LIMIT 20) UNION ALL (SELECT k, 'repeated' FROM r ORDER BY k LIMIT 20)""",
+    "spatial_sort": f"""WITH {_WORDS}, l AS (SELECT item_id, i // 10 AS line, string_agg(word, ' ' ORDER BY i) AS t FROM w GROUP BY 1, 2) SELECT CAST(item_id AS VARCHAR) AS document_id, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY item_id""",
+    "spatial_errors": f"""WITH {_WORDS}, t AS (SELECT item_id, translate(lower(nfc_normalize(string_agg(word, ' ' ORDER BY i))), '{ACCENTS[0]}', '{ACCENTS[1]}') AS r,
+      translate(lower(nfc_normalize(string_agg(word, ' ' ORDER BY i) FILTER (i % 17 <> 3))), '{ACCENTS[0]}', '{ACCENTS[1]}') AS h FROM w GROUP BY item_id)
+      SELECT CAST(item_id AS VARCHAR) AS document_id, round(levenshtein(r, coalesce(h, '')) / length(r)::DOUBLE, 6) AS cer FROM t""",
+    "reading_order": f"""WITH {_WORDS}, o AS (SELECT item_id, i, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN i % 5 = 0 THEN i + 2 ELSE i END, i // 10, i) AS k FROM w),
+      p AS (SELECT a.item_id, count(*) AS n, count(*) FILTER (a.k < b.k) AS good FROM o a JOIN o b ON a.item_id = b.item_id AND a.i < b.i GROUP BY 1)
+      SELECT CAST(i.item_id AS VARCHAR) AS document_id, round(coalesce(good / n::DOUBLE, 1), 6) AS accuracy FROM (SELECT DISTINCT item_id FROM o) i LEFT JOIN p USING (item_id)""",
+    "redaction_detect": f"""WITH {_DOCS} SELECT document_id, CAST(doc_id % 4 AS INTEGER) AS total, CASE WHEN doc_id % 4 > 0 THEN '0' ELSE '' END AS pages,
+      CASE WHEN doc_id % 4 > 0 THEN 'page 0: ' || doc_id % 4 || ' redacted region(s) detected' ELSE '' END AS warnings FROM docs""",
+    "redacted_count": "SELECT count(*) FILTER (doc_id % 4 > 0) AS redacted_documents FROM documents",
+    "clean_known_spans": f"""WITH RECURSIVE {_KNOWN}, {_WINDOWS}, o AS (SELECT w.document_id, w.chunk_index, greatest(0, start - start_char) AS s, least(length(w.text), "end" - start_char) AS e, entity_type,
+        row_number() OVER (PARTITION BY w.document_id, w.chunk_index ORDER BY start, "end", entity_type) AS ord FROM known k JOIN win w ON w.document_id = k.document_id WHERE least(length(w.text), "end" - start_char) > greatest(0, start - start_char)),
+      r AS (SELECT document_id, chunk_index, s, e, entity_type, ord FROM o QUALIFY row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY s, ord) = 1
+        UNION ALL SELECT n.document_id, n.chunk_index, n.s, n.e, n.entity_type, n.ord FROM (SELECT o.*, row_number() OVER (PARTITION BY o.document_id, o.chunk_index ORDER BY o.s, o.ord) AS rn FROM r JOIN o ON o.document_id = r.document_id AND o.chunk_index = r.chunk_index AND o.s >= r.e) n WHERE rn = 1),
+      p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY document_id, chunk_index ORDER BY s), 0) AS prev FROM r)
+      SELECT w.document_id, w.chunk_index, count(p.s) AS n, coalesce(string_agg(substring(w.text, CAST(prev + 1 AS BIGINT), CAST(p.s - prev AS BIGINT)) || '<' || entity_type || '>', '' ORDER BY p.s), '') || substring(w.text, CAST(coalesce(max(p.e), 0) + 1 AS BIGINT)) AS text_clean
+      FROM win w LEFT JOIN p ON p.document_id = w.document_id AND p.chunk_index = w.chunk_index GROUP BY w.document_id, w.chunk_index, w.text""",
     "ocr_confidence": """WITH p AS (SELECT l_orderkey, l_linenumber, avg(l_discount) AS c, list(l_returnflag) || list(l_linestatus) AS s FROM lineitem GROUP BY 1, 2)
       SELECT CAST(l_orderkey AS VARCHAR) AS document_id, round(avg(c), 6) AS confidence, array_to_string(list_sort(list_distinct(flatten(list(s)))), ',') AS steps FROM p GROUP BY l_orderkey""",
     "common_word_filter": f"""WITH {_DOCS}, {_LINES.split(', spans0')[0].split('spans0 AS')[0].rstrip().rstrip(',')}, l AS (SELECT document_id, line FROM lines WHERE line <> ''),

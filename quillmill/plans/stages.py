@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmill import config as C
 from quillmill.functions import text as X
@@ -44,9 +44,10 @@ def chunk(docs: DataFrame, cfg: C.Chunking, count: Callable[[str], int] = chunki
     chunks = chunking.chunk_documents(done, cfg.chunk_size, count, cfg.overlap, tables)
     if "affected_pages" not in docs.columns or "pages" not in docs.columns:
         return chunks
-    upto = lambda i: F.aggregate(F.slice("pages", F.lit(1), i), F.lit(0), lambda s, p: s + F.when(p["text"] == "", 0).otherwise(F.length(p["text"]) + 2))
-    at = F.transform("pages", lambda p, i: F.struct(p["page_number"].alias("page_number"), upto(i).alias("page_start"), (upto(i) + F.length(p["text"])).alias("page_end")))
-    offsets = done.select("document_id", F.explode(at).alias("o")).select("document_id", "o.*")
+    size = F.when(F.col("p.text") == "", 0).otherwise(F.length("p.text") + 2)
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("document_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = done.select("document_id", F.posexplode("pages").alias("at", "p")).withColumn("page_start", before)
+    offsets = each.select("document_id", F.col("p.page_number").alias("page_number"), "page_start", (F.col("page_start") + F.length("p.text")).alias("page_end"))
     affected = done.select("document_id", F.col("affected_pages").alias("pages"))
     return chunking.flag_redacted(chunking.source_pages(chunks, offsets).withColumn("page_number", F.lit(None).cast("int")), affected).drop("page_number")
 

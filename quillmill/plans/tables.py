@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+
+#: Accented letters and the capitals that stand for them where texts are compared letter by letter in lower case.
+ACCENTS = ("éßóçäñèíêüöáâàùûôîïúë", "ABCDEFGHIJKLMNOPQRSTU")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +43,10 @@ def windows(spark: SparkSession, sf_dir: str, size: int = 700) -> DataFrame:
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document as a span: document_id, ord, start, end, line."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.split("text", "\n").alias("lines"))
-    upto = lambda i: F.aggregate(F.slice("lines", F.lit(1), i), F.lit(0), lambda s, t: s + F.length(t) + 1)
-    spans = F.filter(F.transform("lines", lambda t, i: F.struct(i.alias("ord"), upto(i).alias("start"), (upto(i) + F.length(t)).alias("end"), t.alias("line"))), lambda s: s["end"] > s["start"])
-    return docs.select("document_id", F.explode(spans).alias("s")).select("document_id", "s.*")
+    # the place of every line is found by one running sum a document
+    each = docs.select("document_id", F.posexplode("lines").alias("ord", "line")).withColumn("size", F.length("line") + 1)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return each.withColumn("start", before).select("document_id", "ord", "start", (F.col("start") + F.col("size") - 1).alias("end"), "line").filter("end > start")
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
