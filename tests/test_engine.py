@@ -287,18 +287,20 @@ def make_shape(base, rings):
 
 
 def test_office_and_shapes(spark, tmp_path):
-    office.register(spark)
     make_docx(tmp_path / "a.docx")
     (tmp_path / "bad.docx").write_bytes(b"no zip")
-    got = {r["document_id"]: r for r in spark.read.format("docx").load(str(tmp_path)).collect()}
+    words = office.docx_rows(office.contents(spark, str(tmp_path), "*.docx"))
+    got = {r["document_id"]: r for r in words.collect()}
     assert got["a"]["text"] == "Title\n\nBody text" and [b["block_type"] for b in got["a"]["text_blocks"]] == ["heading", "paragraph"] and got["a"]["tables"][0]["rows"] == [["1", "2"]] and "BadZipFile" in got["bad"]["error"]
+    kinds = {r["path"].rsplit("/", 1)[-1]: tuple(r)[1:] for r in office.docx_profiles(words).collect()}
+    assert kinds["a.docx"] == ("docx", 1, 1.0, False, True, 0.85) and kinds["bad.docx"][0] == "unknown" and kinds["bad.docx"][1] == 0 and kinds["bad.docx"][-1] == 0.3
     make_xlsx(tmp_path / "b.xlsx")
-    r = spark.read.format("xlsx").load(str(tmp_path / "b.xlsx")).collect()
+    r = office.sheet_rows(office.contents(spark, str(tmp_path / "b.xlsx"))).collect()
     assert len(r) == 1 and r[0]["headers"] == ["id", "name", "note"] and r[0]["cells"] == ["7", "", "True"] and r[0]["sheet"] == "S1"
     square = [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)]
     bow = [(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]
     make_shape(str(tmp_path / "s"), [square, bow])
-    s = spark.read.format("shapefile").load(str(tmp_path / "s.shp")).orderBy("feature").collect()
+    s = office.shape_rows(office.contents(spark, str(tmp_path), "s.*")).orderBy("feature").collect()
     assert [x["valid"] for x in s] == [True, False] and s[0]["attributes"] == {"NAME": "f0"} and s[0]["geometry_type"] == "Polygon" and s[0]["crs"] == "GEOGCS[]"
     assert struct.unpack_from("<BIII", s[0]["geometry"]) == (1, 3, 1, 5)
 
@@ -349,7 +351,7 @@ def test_decoders(spark):
     class Decoder:
         def pages(self, content):
             if not content:
-                raise ValueError("empty file")
+                raise RuntimeError("empty file")
             yield backends.DecodedPage(0, "own text " * 20)
             yield backends.DecodedPage(1, "", np.full((30, 30), 255, np.uint8))
 
@@ -359,8 +361,8 @@ def test_decoders(spark):
 
     pages = backends.decode_pages(files_, "hybrid", Decoder, Ocr)
     docs = {r["document_id"]: r for r in backends.collect_documents(pages).collect()}
-    assert docs["a"]["status"] == "completed" and docs["a"]["text"].endswith("seen") and docs["a"]["content_mix"] == {"native": 0.5, "scanned": 0.5} and docs["bad"]["status"] == "error"
-    assert {r["error"] for r in backends.decode_pages(files_, "hybrid").collect()} == {"backend unavailable: page decoder"}
+    assert docs["a"]["status"] == "completed" and docs["a"]["text"].endswith("seen") and docs["a"]["metadata"]["content_mix"] == {"native": 0.5, "scanned": 0.5} and docs["bad"]["status"] == "error" and "empty file" in docs["bad"]["error"]
+    assert {r["error"] for r in backends.decode_pages(files_, "hybrid").collect()} == {"ValueError: backend unavailable: page decoder"}
     assert "manual review" in backends.decode_pages(files_, "non_textual").first()["error"]
 
 
@@ -426,11 +428,12 @@ def test_run_and_resume(spark, tmp_path):
     cfg.write_text(f"paths:\n  input_root: {src}\n  output_root: {tmp_path}/out\n  checkpoint_dir: {tmp_path}/cp\n")
     out = cli.run(spark, config.load(str(cfg)))
     docs = spark.read.parquet(out["documents"])
-    assert {r["document_id"] for r in docs.collect()} == {"t:1", "t:2", "a"}
+    # two columns and few rows make a form, which is one document
+    assert {r["document_id"] for r in docs.collect()} == {"t", "a"}
     assert spark.read.parquet(out["chunks"]).count() >= 3
-    (src / "u.csv").write_text("id,name\n9,Gamma\n")
+    (src / "u.csv").write_text("id,name,note\n9,Gamma,x\n")
     cli.run(spark, config.load(str(cfg)))
-    assert sorted(r["document_id"] for r in spark.read.parquet(out["documents"]).collect()) == ["a", "t:1", "t:2", "u:9"]
+    assert sorted(r["document_id"] for r in spark.read.parquet(out["documents"]).collect()) == ["a", "t", "u:9"]
 
 
 def test_streaming_ingest_and_windows(spark, tmp_path, small):

@@ -58,7 +58,7 @@ def test_boxes_and_vectors(spark):
 
 
 def test_finders():
-    spans = lambda t, e=("PERSON", "ADDRESS"): [(t[a:b], k) for a, b, k, *_ in S.candidates_in(t, e, scorer=lambda c: 1.0)]
+    spans = lambda t, e=("PERSON", "ADDRESS"): [(t[a:b], k) for a, b, k, *_ in S.candidates_in([t], e, scorer=lambda c: [1.0] * len(c))[0]]
     assert spans("Dr Jane O'Brien spoke") == [("Dr Jane O'Brien", "PERSON")]
     assert spans("met John Smith today") == [("John Smith", "PERSON")]
     assert spans("the Department Secretary and New South Wales") == []
@@ -90,7 +90,7 @@ def test_resolved_spans_never_overlap(spark, raw):
 
 def test_clean_and_known_spans(spark):
     df = spark.createDataFrame([("1", "Dr Jane Doe wrote to the clerk", 100), ("2", "", 0), ("3", None, 0)], "document_id string, text string, off int")
-    got = {r["document_id"]: (r["text_clean"], r["pii_count"]) for r in pii.clean(df, scorer=lambda c: 1.0).collect()}
+    got = {r["document_id"]: (r["text_clean"], r["pii_count"]) for r in pii.clean(df, scorer=lambda c: [1.0] * len(c)).collect()}
     assert got["1"] == ("<PERSON> wrote to the clerk", 1) and got["2"] == ("", 0)
     known = spark.createDataFrame([("1", "the clerk came in", 100, [(90, 102, "PERSON"), (104, 109, "PERSON"), (115, 400, "EMAIL"), (500, 510, "EMAIL")])], "document_id string, text string, off int, known array<struct<start:int,end:int,entity_type:string>>")
     r = pii.clean_with_known(known, "known", "off").first()
