@@ -9,8 +9,9 @@ a fixed order.
 Defined cases: a null turn number sorts first; a null role counts as the
 empty role and is no assistant; a null text is rendered as empty; turns with a
 null conversation id belong to no conversation and are left out; an assistant
-turn without a turn before it has an empty context; an empty table gives an
-empty result; other columns of the input are never looked at.
+turn without a turn before it has an empty context; very long texts stand whole
+in every example that they are context of; ids keep their type; an empty table
+gives an empty result; other columns of the input are never looked at.
 """
 
 from __future__ import annotations

@@ -1,54 +1,10 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Names and types of columns; intermediate tables are the engine's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
-    where = spark.conf.get(CHECKPOINT_CONF, "") or ""
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"on a cluster {CHECKPOINT_CONF} has to name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-        spark.conf.set(CHECKPOINT_CONF, where)
-    return where
-
-
-#: Paths of the tables that this driver has written, in order.
-_made: list[str] = []
-
-
-def made_since(mark: int) -> list[str]:
-    return _made[mark:]
-
-
-def mark() -> int:
-    return len(_made)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables of ours that nothing will read again."""
-    for p in paths:
-        if p in _made:
-            _made.remove(p)
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillmill.storage import discard, made_since, mark, shared_dir, written
 
 
 def unused(name: str, columns: list[str]) -> str:
@@ -59,5 +15,26 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def resolved(df: DataFrame, name: str) -> str:
+    """The table's own name of a column, found as Spark finds it; an error where there is none, or more than one."""
+    same = str(df.sparkSession.conf.get("spark.sql.caseSensitive")).lower() == "true"
+    found = [c for c in df.columns if c == name or not same and c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} column {name!r} among {df.columns}")
+    return found[0]
+
+
+def type_of(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["column", "discard", "made_since", "mark", "read_table", "resolved", "shared_dir", "type_of", "unused", "written"]
