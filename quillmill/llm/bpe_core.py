@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _NONE = np.int32(2**31 - 1)
+#: Bytes of a sequence beyond which it is merged by ranks over linked arrays.
+LONG_BYTES = 256
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -112,6 +115,31 @@ def distinct(buf: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.frombuffer(data, np.uint8)[: o[-1]], o, d.indices.to_numpy().astype(np.int64)
 
 
+def _leftmost(at: np.ndarray, nxt: np.ndarray | None = None) -> np.ndarray:
+    """Of ascending places that follow each other only every other one; ``nxt``: the place after each, if not the next number."""
+    if at.size > 1:
+        brk = np.concatenate([[True], (nxt[at[:-1]] if nxt is not None else at[:-1] + 1) != at[1:]])
+        if not brk.all():
+            k = np.arange(at.size)
+            at = at[(k - np.maximum.accumulate(np.where(brk, k, 0))) % 2 == 0]
+    return at
+
+
+def _in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, n+1 offsets) from parts of (sequence numbers, their ids, how many each has)."""
+    count = np.zeros(n, np.int64)
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+    who = np.concatenate([p[0] for p in parts])
+    size = np.concatenate([p[2] for p in parts])
+    count[who] = size
+    at = np.zeros(n, np.int64)
+    at[who] = np.arange(len(who))
+    have = np.flatnonzero(count)
+    flat, _ = ragged_take(np.concatenate([p[1] for p in parts]), np.concatenate([[0], np.cumsum(size)]), at[have])
+    return flat, np.concatenate([[0], np.cumsum(count)])
+
+
 class Ranks:
     """A byte-level vocabulary whose ids are its merge ranks."""
 
@@ -134,6 +162,8 @@ class Ranks:
                 if a is not None and (b := get(t[k:])) is not None:
                     self.pairs[a << 20 | b] = r
         self._hash()
+        both = np.arange(1 << 16)
+        self.byte_rank = self.lookup(self.byte_id[both >> 8], self.byte_id[both & 255])
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.blob_offs = np.concatenate([[0], np.cumsum([len(t) for t in self.tokens])]).astype(np.int64)
 
@@ -195,51 +225,108 @@ class Ranks:
     def merge_all(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every sequence of bytes: rank-synchronous rounds over the ragged arrays.
 
-        In a round each sequence applies its own lowest-rank pair at all its
-        places, leftmost first where they overlap; a sequence without a pair
-        leaves the arrays.
+        In a round each sequence applies its own lowest-rank pair, the leftmost
+        of equal ones; a sequence without a pair is done.  Symbols are linked, so
+        that only the pairs next to a merge are looked up again.
+        Sequences over ``LONG_BYTES`` go by ranks instead of rounds, so that a
+        round never walks the untouched part of a long one.
         """
-        n = len(offs) - 1
         lens = np.diff(offs)
-        seq = np.repeat(np.arange(n, dtype=np.int64), lens)
-        sym = self.byte_id[raw]
-        done_seq, done_sym = [], []
-        while sym.size:
-            m = sym.size
-            rank = np.full(m, _NONE, np.int32)
-            if m > 1:
-                same = seq[1:] == seq[:-1]
-                rank[:-1] = np.where(same, self.lookup(sym[:-1], sym[1:]), _NONE)
-            first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
-            low = np.minimum.reduceat(rank, first)
-            count = np.diff(np.append(first, m))
-            each = np.repeat(low, count)
-            alive = each != _NONE
-            if not alive.all():
-                done_seq.append(seq[~alive])
-                done_sym.append(sym[~alive])
-                seq, sym, rank, each = seq[alive], sym[alive], rank[alive], each[alive]
-                if not sym.size:
+        long = lens > LONG_BYTES
+        if not long.any():
+            return self._merge_short(raw, offs)
+        parts = []
+        for pick, merge in ((np.flatnonzero(~long), self._merge_short), (np.flatnonzero(long), self._merge_long)):
+            ids, io = merge(*ragged_take(raw, offs, pick))
+            parts.append((pick, ids, np.diff(io)))
+        return _in_order(parts, len(lens))
+
+    def _merge_short(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, lens = len(raw), np.diff(offs)
+        some = np.flatnonzero(lens)
+        own, count = offs[:-1][some], lens[some]
+        sym = np.append(self.byte_id[raw], np.int32(-1))
+        nxt, prv = np.arange(1, m + 2, dtype=np.int32), np.arange(-1, m, dtype=np.int32)
+        nxt[own + count - 1] = prv[own] = m
+        rank = np.full(m, _NONE, np.int32)
+        if m > 1:
+            rank[:-1] = self.byte_rank[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+            rank[own + count - 1] = _NONE
+        key = rank.astype(np.int64) << 32 | np.arange(m)  # (rank, place); places keep their numbers when keys are packed
+        none, starts = np.int64(_NONE) << 32, own
+        while own.size:
+            # between the sequences that are left only keys without a rank lie
+            low = np.minimum.reduceat(key, starts)
+            left = low < none
+            if not left.all():
+                low, own, count, starts = low[left], own[left], count[left], starts[left]
+                if not own.size:
                     break
-            hit = rank == each
-            # where hits follow each other, only every other one counts
-            idx = np.flatnonzero(hit)
-            if idx.size > 1:
-                brk = np.concatenate([[True], np.diff(idx) != 1])
-                begin = np.maximum.accumulate(np.where(brk, np.arange(idx.size), 0))
-                idx = idx[(np.arange(idx.size) - begin) % 2 == 0]
-            sym = sym.copy()
-            sym[idx] = rank[idx]
-            keep = np.ones(sym.size, bool)
-            keep[idx + 1] = False
-            seq, sym = seq[keep], sym[keep]
-        if not done_seq:
-            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-        s, v = np.concatenate(done_seq), np.concatenate(done_sym)
-        order = np.argsort(s, kind="stable")
-        out = np.zeros(n + 1, np.int64)
-        np.cumsum(np.bincount(s, minlength=n), out=out[1:])
-        return v[order], out
+                if 2 * (size := int(count.sum())) < len(key):
+                    packed = np.cumsum(count) - count
+                    key = key[np.arange(size) + np.repeat(starts - packed, count)]
+                    starts = packed
+            shift = starts - own
+            r, at = (low >> 32).astype(np.int32), low & 0xFFFFFFFF
+            gone = nxt[at]
+            after, before = nxt[gone], prv[at]
+            sym[at], sym[gone], nxt[at] = r, -1, after
+            prv[after] = at
+            key[gone + shift] = none
+            ranks = np.where(after < m, self.lookup(r, sym[after]), _NONE)
+            key[at + shift] = ranks.astype(np.int64) << 32 | at
+            has = np.flatnonzero(before < m)
+            p = before[has]
+            key[p + shift[has]] = self.lookup(sym[p], r[has]).astype(np.int64) << 32 | p
+        keep = sym[:m] >= 0
+        return sym[:m][keep], np.concatenate([[0], np.cumsum(keep)])[offs]
+
+    def _merge_long(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest rank of all sequences at all its places at once, over linked arrays; places wait in a queue of ranks."""
+        n = len(raw)
+        sym = np.append(self.byte_id[raw], np.int32(-1))
+        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        nxt[offs[1:] - 1] = n
+        prv[offs[:-1]] = n
+        nxt[n] = prv[n] = n
+        rank = np.full(n + 1, _NONE, np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def look(at):
+            """Ranks of the pairs that begin at the places, which are queued."""
+            to = nxt[at]
+            got = np.where(to < n, self.lookup(sym[at], sym[to]), _NONE)
+            rank[at] = got
+            some = got != _NONE
+            at, got = at[some], got[some]
+            order = np.argsort(got, kind="stable")
+            at, got = at[order], got[order]
+            cuts = np.flatnonzero(got[1:] != got[:-1]) + 1
+            for r, part in zip(got[np.concatenate([[0], cuts])].tolist() if got.size else [], np.split(at, cuts)):
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(queue, r)
+                waiting[r].append(part)
+
+        look(np.arange(n))
+        while queue:
+            r = heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not at.size:
+                continue
+            at = _leftmost(at, nxt)
+            gone = nxt[at]
+            after = nxt[gone]
+            sym[at], sym[gone], rank[gone] = r, -1, _NONE
+            nxt[at] = after
+            prv[after] = at
+            prv[n] = n
+            before = prv[at]
+            look(np.unique(np.concatenate([at, before[before < n]])))
+        keep = sym[:n] >= 0
+        return sym[:n][keep], np.concatenate([[0], np.cumsum(keep)])[offs]
 
     def encode_slice(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice: (ids, n+1 offsets)."""
