@@ -4,17 +4,23 @@ A rolling hash over the last ``WINDOW`` ids cuts each document's id stream
 where its top bits are zero, so equal passages give equal chunks wherever
 they stand.  A chunk is stored once under its SHA-256, a document becomes a
 recipe (the ordered chunk digests), and a Merkle tree over the digests gives
-the document's root; manifests hash the roots of a shard of documents in
-order.  Verification recomputes every chunk's digest from its bytes and every
-root from the chunks that are really stored.
+the document's root.  A shard's manifest is the root of a Merkle tree over its
+documents: their leaves in order of digest, in buckets of about ``LEAVES``, whose
+roots are the leaves of the upper tree.  Verification recomputes every chunk's
+digest from its bytes and every root from the chunks that are really stored; a
+manifest is verified if all its documents are, and ``check_manifests`` holds
+stored manifests against the documents that are there.
 
 Ids are little-endian in digest and payload, two bytes wide where the
 vocabulary allows, and payloads are compressed by zstandard.  One shuffle groups equal chunks, one more small one checks recipes.
 
 Defined cases: a null or empty text has an empty recipe, 0 ids and the root
-of the empty tree; repeated rows (same id, same text) share one recipe whose
-``refs`` counts them; a null id makes a recipe with a null id; an empty table
-gives no rows; other columns of the input are never looked at.
+of the empty tree; very long texts are whole streams of many chunks; repeated
+rows (same id, same text) share one recipe whose ``refs`` counts them; two texts
+of one id are two documents; a null id makes a recipe with a null id; ids keep
+their type; nothing depends on ties or partitions, chunks and documents go by
+digest; an empty table gives no rows; other columns of the input are never
+looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmill.llm.arrays import mix64, text_slices
 from quillmill.llm.bpe_core import DEFAULT_VOCAB, Ranks
@@ -36,7 +43,8 @@ CUT_BITS = 8
 LEAST, MOST = 64, 4096
 #: Documents of one manifest: those whose id hashes alike modulo this.
 SHARDS = 64
-SCHEMA = "kind string, doc_id bigint, shard int, digest binary, payload binary, recipe array<binary>, n_ids bigint, stream binary, refs bigint"
+#: Leaves of a lower tree of a manifest, on average.
+LEAVES = 4096
 EMPTY_ROOT = hashlib.sha256(b"").digest()
 
 
@@ -84,7 +92,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _emit(vocab: str):
+def _emit(vocab: str, id_type: pa.DataType):
     def run(batches):
         import zstandard
 
@@ -92,10 +100,10 @@ def _emit(vocab: str):
         wide = np.dtype(ranks.kind).itemsize
         comp = zstandard.ZstdCompressor(level=1).compress
         schema = pa.schema(
-            [("kind", pa.string()), ("doc_id", pa.int64()), ("shard", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("recipe", pa.list_(pa.binary())), ("n_ids", pa.int64()), ("stream", pa.binary()), ("refs", pa.int64())]
+            [("kind", pa.string()), ("doc_id", id_type), ("shard", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("recipe", pa.list_(pa.binary())), ("n_ids", pa.int64()), ("stream", pa.binary()), ("refs", pa.int64())]
         )
         for batch in batches:
-            doc_ids, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, shards = batch.column(0), batch.column(1).to_pylist()
             for i, j, buf, offs in text_slices(batch, "text"):
                 ids, io = ranks.encode_slice(buf, offs)
                 ends = cut_points(ids, io)
@@ -119,7 +127,7 @@ def _emit(vocab: str):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(["chunk"] * k + ["document"] * n),
-                        pa.array([None] * k + doc_ids[i:j], pa.int64()),
+                        pa.concat_arrays([pa.nulls(k, id_type), doc_ids.slice(i, n).cast(id_type)]),
                         pa.array([None] * k + shards[i:j], pa.int32()),
                         pa.array([*chunks, *(merkle_root(x[0]) for x in docs)], pa.binary()),
                         pa.array([*(c[0] for c in chunks.values()), *[None] * n], pa.binary()),
@@ -139,12 +147,9 @@ def build_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``refs`` counts how often a chunk stands in the recipes of all rows, or the repeated rows of a document.
     """
-    src = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(shards)).cast("int").alias("shard"),
-        F.col(text_col).cast("string").alias("text"),
-    )
-    rows = src.mapInArrow(_emit(vocab), SCHEMA)
+    src = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int").alias("shard"), F.col(text_col).cast("string").alias("text"))
+    kind = src.schema["doc_id"].dataType
+    rows = src.mapInArrow(_emit(vocab, to_arrow_type(kind)), f"kind string, doc_id {kind.simpleString()}, shard int, digest binary, payload binary, recipe array<binary>, n_ids bigint, stream binary, refs bigint")
     # one row for each chunk digest and each (document, root); only chunks carry payloads
     one = rows.groupBy("kind", "doc_id", "digest").agg(
         F.first("shard").alias("shard"), F.first("payload").alias("payload"), F.first("recipe").alias("recipe"), F.first("n_ids").alias("n_ids"), F.first("stream").alias("stream"), F.sum("refs").alias("refs")
@@ -175,30 +180,56 @@ def _chunk_facts(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
 
 
 def verify(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
-    """(doc_id, root, verified): every chunk of the recipe is stored and sound, the lengths add up, the root follows from the recipe."""
+    """(doc_id, shard, root, verified): every chunk of the recipe is stored and sound, the lengths add up, the root follows from the recipe."""
+    kind = store.schema["doc_id"].dataType.simpleString()
 
     def roots(batches):
         for batch in batches:
-            ok = [merkle_root(r or []) == d for r, d in zip(batch.column("recipe").to_pylist(), batch.column("digest").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), batch.column("n_ids"), batch.column("recipe"), pa.array(ok, pa.bool_())], names=["doc_id", "root", "n_ids", "recipe", "root_ok"])
+            ok = [merkle_root(r or []) == d for r, d in zip(batch.column("recipe").to_pylist(), batch.column("root").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], names=[*batch.schema.names, "root_ok"])
 
-    docs = store.filter("kind = 'document'").select("doc_id", "digest", "n_ids", "recipe").mapInArrow(roots, "doc_id bigint, root binary, n_ids bigint, recipe array<binary>, root_ok boolean")
-    parts = docs.select("doc_id", "root", "n_ids", "root_ok", F.explode_outer("recipe").alias("digest"))
+    docs = store.filter("kind = 'document'").select("doc_id", "shard", F.col("digest").alias("root"), "n_ids", "recipe").mapInArrow(roots, f"doc_id {kind}, shard int, root binary, n_ids bigint, recipe array<binary>, root_ok boolean")
+    parts = docs.select("doc_id", "shard", "root", "n_ids", "root_ok", F.explode_outer("recipe").alias("digest"))
     return (
         parts.join(_chunk_facts(store, vocab), "digest", "left")
-        .groupBy("doc_id", "root", "n_ids", "root_ok")
+        .groupBy("doc_id", "shard", "root", "n_ids", "root_ok")
         .agg(F.min(F.coalesce("sound", F.col("digest").isNull())).alias("all_sound"), F.sum(F.coalesce("stored_ids", F.lit(0))).alias("got"))
-        .select("doc_id", "root", (F.col("root_ok") & F.col("all_sound") & (F.col("got") == F.col("n_ids"))).alias("verified"))
+        .select("doc_id", "shard", "root", (F.col("root_ok") & F.col("all_sound") & (F.col("got") == F.col("n_ids"))).alias("verified"))
     )
 
 
-def manifests(store: DataFrame) -> DataFrame:
-    """(shard, root, n_docs): a Merkle root over the document roots of a shard, ordered by id and root."""
-    leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.col("digest"), F.col("refs").cast("string").cast("binary")), 256)
-    docs = store.filter("kind = 'document'").select("shard", "doc_id", leaf.alias("leaf"))
-    # two levels, so that no array holds more than a bucket's leaves
-    buckets = docs.groupBy("shard", F.pmod(F.xxhash64("doc_id"), F.lit(1009)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("leaf"))), 256).alias("h"))
-    return buckets.groupBy("shard").agg(F.sum("n").alias("n_docs"), F.unhex(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"])), 256)).alias("root"))
+def leaf_bytes(doc_id, root: bytes, refs: int) -> bytes:
+    """What a manifest's leaf is the SHA-256 of; ``doc_id`` as a string, or None."""
+    return ("0" if doc_id is None else f"1{doc_id}").encode() + b"\x00" + root + str(refs).encode()
+
+
+def manifests(store: DataFrame, leaves: int = LEAVES) -> DataFrame:
+    """(shard, n_docs, root): for each shard the Merkle root over its documents, in two levels, so that no array grows with the shard."""
+    docs = store.filter("kind = 'document'")
+    per_shard = docs.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    buckets = max(1, -(-per_shard // leaves))
+    name = F.coalesce(F.concat(F.lit("1"), F.col("doc_id").cast("string")), F.lit("0"))
+    leaf = F.sha2(F.concat(name.cast("binary"), F.unhex(F.lit("00")), F.col("digest"), F.col("refs").cast("string").cast("binary")), 256)
+    # by the leaf's own hash, so that one id, or none, can't fill a bucket
+    lower = docs.select("shard", leaf.alias("leaf")).select("shard", (F.conv(F.substring("leaf", 1, 12), 16, 10).cast("bigint") % buckets).alias("bucket"), F.unhex("leaf").alias("leaf"))
+
+    def trees(names: list[str]):
+        def run(batches):
+            for batch in batches:
+                roots = [merkle_root([x["leaf"] if isinstance(x, dict) else x for x in leaf]) for leaf in batch.column("leaves").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(roots, pa.binary())], names=[*names, "leaf"])
+
+        return run
+
+    roots = lower.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("leaf")).alias("leaves")).mapInArrow(trees(["shard", "bucket", "n"]), "shard int, bucket bigint, n bigint, leaf binary")
+    upper = roots.groupBy("shard").agg(F.sum("n").alias("n_docs"), F.array_sort(F.collect_list(F.struct("bucket", "leaf"))).alias("leaves"))
+    return upper.mapInArrow(trees(["shard", "n_docs"]), "shard int, n_docs bigint, leaf binary").withColumnRenamed("leaf", "root")
+
+
+def check_manifests(store: DataFrame, stored: DataFrame, leaves: int = LEAVES) -> DataFrame:
+    """(shard, intact): whether the documents that are in the store give the stored manifest."""
+    now = manifests(store, leaves).select("shard", F.col("root").alias("now"))
+    return stored.select("shard", "root").join(now, "shard", "full").select("shard", F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("intact"))
 
 
 def reconstruct(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
@@ -221,22 +252,25 @@ def reconstruct(store: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
                 exact.append(hashlib.sha256(raw).digest() == stream)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string()), pa.array(exact, pa.bool_())], names=["doc_id", "token_ids", "text", "exact"])
 
-    return whole.mapInArrow(run, "doc_id bigint, token_ids array<int>, text string, exact boolean")
+    return whole.mapInArrow(run, f"doc_id {store.schema['doc_id'].dataType.simpleString()}, token_ids array<int>, text string, exact boolean")
 
 
 def content_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCAB, shards: int = SHARDS) -> DataFrame:
     """Chunks, verified document recipes and shard manifests in one table."""
     store = build_store(docs, id_col, text_col, vocab, shards)
-    checked = verify(store, vocab).select(F.col("doc_id").alias("_d"), F.col("root").alias("_r"), "verified")
+    checked = written(verify(store, vocab), "verified")
     none = lambda kind: F.lit(None).cast(kind)
+    id_type = store.schema["doc_id"].dataType
     chunk = store.filter("kind = 'chunk'").select("kind", "doc_id", "shard", F.hex("digest").alias("digest"), "payload", none("array<string>").alias("recipe"), "n_ids", "refs", none("boolean").alias("verified"))
     documents = (
         store.filter("kind = 'document'")
-        .join(checked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_r")), "left")
+        .join(checked.select(F.col("doc_id").alias("_d"), F.col("root").alias("_r"), "verified"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_r")), "left")
         .select("kind", "doc_id", "shard", F.hex("digest").alias("digest"), none("binary").alias("payload"), F.transform("recipe", F.hex).alias("recipe"), "n_ids", "refs", "verified")
     )
-    manifest = manifests(store).select(
-        F.lit("manifest").alias("kind"), none("bigint").alias("doc_id"), "shard", F.hex("root").alias("digest"), none("binary").alias("payload"), none("array<string>").alias("recipe"), F.col("n_docs").alias("n_ids"), F.lit(1).cast("bigint").alias("refs"), none("boolean").alias("verified")
+    manifest = (
+        manifests(store)
+        .join(checked.groupBy("shard").agg(F.min("verified").alias("verified")), "shard", "left")
+        .select(F.lit("manifest").alias("kind"), none(id_type).alias("doc_id"), "shard", F.hex("root").alias("digest"), none("binary").alias("payload"), none("array<string>").alias("recipe"), F.col("n_docs").alias("n_ids"), F.lit(1).cast("bigint").alias("refs"), "verified")
     )
     return chunk.unionByName(documents).unionByName(manifest)
 
