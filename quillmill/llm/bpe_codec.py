@@ -7,8 +7,10 @@ Distinct pre-tokens of a batch are encoded once, and each Python worker keeps
 the results of recent ones; the kept ones never change a result.
 
 Defined cases: a null or empty text has no ids and decodes to null or the
-empty text; a null id passes through; repeated rows stay; an empty table
-gives an empty result; other columns of the input are never looked at.
+empty text; a null id passes through and ids keep their type; repeated rows
+stay; very long texts are encoded whole, also where they are one pre-token; of
+equal ranks the leftmost pair merges first; an empty table gives an empty
+result; other columns of the input are never looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm.arrays import list_array, ragged_take, text_column, text_slices
 from quillmill.llm.bpe_core import DEFAULT_VOCAB, Ranks, pretokens
-from quillmill.llm.shared import read_table
+from quillmill.llm.shared import read_table, type_of
 
 #: Pre-tokens whose ids a worker keeps before it starts afresh.
 KEPT = 250_000
@@ -119,8 +121,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["doc_id", "n_tokens", "token_ids", "decoded"],
                 )
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, n_tokens bigint, token_ids array<int>, decoded string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"doc_id {type_of(src, 'doc_id')}, n_tokens bigint, token_ids array<int>, decoded string")
 
 
 def text_null(batch: pa.RecordBatch) -> np.ndarray:
@@ -138,8 +140,8 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids"
             texts = [None if ids is None else b"".join(ranks.tokens[k] for k in ids).decode("utf-8", "replace") for ids in col.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    src = tokens.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("token_ids"))
-    return src.mapInArrow(run, "doc_id bigint, text string")
+    src = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("token_ids"))
+    return src.mapInArrow(run, f"doc_id {type_of(src, 'doc_id')}, text string")
 
 
 QUERIES = {"op8_bpe_encode_decode": lambda spark, sf_dir: encode_decode(read_table(spark, sf_dir, "documents"))}
