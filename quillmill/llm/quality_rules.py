@@ -6,10 +6,13 @@ compresses at all (encoded or random data).  Fixed chunks of the text are held
 to the band of the chunk's own length, so that a bad stretch inside a long
 document counts too.  Everything is one pass without a shuffle.
 
-Defined cases: a null text or one of white space only is rejected as
-``empty``; texts shorter than the first band's bound cannot be judged by
-compression and stay; repeated rows are judged alike, each for itself; a null
-id passes through; an empty table gives an empty result.
+Defined cases: a null text or one of white space only, Unicode's included, is
+rejected as ``empty``; texts shorter than the first band's bound cannot be
+judged by compression and stay; very long texts are compressed whole; a ratio on
+a bound lies inside the band; repeated rows are judged alike, each for itself; a
+null id passes through and ids keep their type; a text column that isn't there
+is an error, one in another case is found as Spark finds it; an empty table
+gives an empty result; other columns pass through the stage untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm.arrays import text_column
-from quillmill.llm.shared import read_table
+from quillmill.llm.shared import read_table, resolved, type_of
 
 LEVEL = 3
 #: (bytes below which the band holds, least ratio, greatest ratio); the last one holds for all longer texts.
@@ -47,7 +50,8 @@ def band(n: int, bands=BANDS) -> tuple[float, float]:
 def judge(raw: bytes, compress, level_bands=BANDS, chunk: int = CHUNK_BYTES, share: float = BAD_CHUNK_SHARE) -> tuple[float, float, str | None]:
     """(ratio of the whole, share of bytes in bad chunks, reason or None) of one text."""
     n = len(raw)
-    if not raw.strip():
+    rest = raw.lstrip()
+    if not rest or rest[0] >= 0x80 and rest.decode("utf-8", "replace").isspace():
         return 0.0, 0.0, "empty"
     ratio = n / len(compress(raw))
     bad = 0
@@ -88,16 +92,17 @@ def compression_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "ratio", "bad_chunk_share", "keep", "reason"],
             )
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, ratio double, bad_chunk_share double, keep boolean, reason string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"doc_id {type_of(src, 'doc_id')}, ratio double, bad_chunk_share double, keep boolean, reason string")
 
 
 def keep_by_compression(docs: DataFrame, text_col: str = "text", bands=BANDS, chunk: int = CHUNK_BYTES, share: float = BAD_CHUNK_SHARE) -> DataFrame:
     """The rows that stay, with all their columns."""
+    name = resolved(docs, text_col)
 
     def run(batches):
         for batch in batches:
-            why = _verdicts(batch, text_col, (bands, chunk, share))[2]
+            why = _verdicts(batch, name, (bands, chunk, share))[2]
             yield batch.filter(pa.array(np.array([w is None for w in why], bool)))
 
     return docs.mapInArrow(run, docs.schema)
