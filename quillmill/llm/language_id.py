@@ -11,15 +11,18 @@ laid out in lanes of ``LANE`` words, every lane's transfer matrix is computed
 for all entry states at once, the matrices are chained per document, and a
 second run over the lanes recovers the path.
 
-Model: fitted on at most ``TRAIN_ROWS`` labelled rows, those with the least
-hash of (id, seed); this bound is a parameter.  Everything else reads all data.
+Model: fitted on at most ``TRAIN_ROWS`` labelled rows, as many of each language,
+those with the least hash of (id, text, seed); this bound is a parameter.  Their
+trigrams are counted on the executors, and only the counts reach the driver.
+Everything else reads all data.
 
 Defined cases: a null or empty text, or one without letters, has language
 ``und`` and no span; letters of scripts without a language are ``und``; rows
-with a null label or text don't train; a null id passes through; repeated rows
-are labelled alike, each for itself; without labelled rows only scripts decide;
-ties go to the language first in alphabetical order; an empty table gives an
-empty result; other columns of the input are never looked at.
+with a null label or text don't train; a null id passes through and ids keep
+their type; repeated rows are labelled alike, each for itself; very long texts
+are labelled whole; without labelled rows only scripts decide; ties go to the
+language first in alphabetical order; an empty table gives an empty result;
+other columns of the input are never looked at.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmill.llm.arrays import buffers, slices, text_column, trim
 from quillmill.llm.bpe_core import byte_classes
-from quillmill.llm.shared import read_table
+from quillmill.llm.shared import read_table, type_of
 
 #: Upper bound on the labelled rows that a model is fitted on, and their seed.
 TRAIN_ROWS, SEED = 1500, 17
@@ -160,24 +163,27 @@ class Model:
         return s
 
 
-def fit(texts: pa.Array, langs: list[str]) -> Model:
-    """Trigram model of labelled texts."""
+def tally(texts: pa.Array, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the language in alphabetical order, key, count): trigrams by their hash, letters by 2**17 + script."""
     names = sorted({x for x in langs if x})
-    counts = np.zeros((1 << _BITS, len(names)), np.float64)
-    letters = np.zeros((len(_NAMES), len(names)))
     buf, offs = buffers(pc.utf8_lower(texts))
     label = np.array([names.index(x) if x else -1 for x in langs], np.int64)
+    got = [np.zeros(0, np.int64)]
+    wide = (1 << _BITS) + len(_NAMES)
     for i, j in slices(offs):
         w = words_of(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        if not len(w.starts):
-            continue
-        lab = label[i + w.doc]
-        lens = np.diff(w.gram_offs)
-        each = np.repeat(lab, lens)
-        m = each >= 0
-        np.add.at(counts, (w.grams[m], each[m]), 1)
-        m = lab >= 0
-        np.add.at(letters, (w.script[m], lab[m]), lens[m])
+        lab, lens = label[i + w.doc], np.diff(w.gram_offs)
+        for key, of in ((w.grams.astype(np.int64), np.repeat(lab, lens)), (np.repeat(w.script, lens) + (1 << _BITS), np.repeat(lab, lens))):
+            got.append((of * wide + key)[of >= 0])
+    both, n = np.unique(np.concatenate(got), return_counts=True)
+    return both // wide, both % wide, n
+
+
+def model_of(names: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray) -> Model:
+    """The trigram model from tallies; ``names`` in alphabetical order."""
+    all_counts = np.zeros(((1 << _BITS) + len(_NAMES), len(names)), np.float64)
+    np.add.at(all_counts, (key, lang), n)
+    counts, letters = all_counts[: 1 << _BITS], all_counts[1 << _BITS :]
     total = counts.sum(axis=0)
     seen = max(1, int((counts.sum(axis=1) > 0).sum()))
     table = np.log((counts + 0.5) / (total + 0.5 * (seen + 1))).astype(np.float32)
@@ -191,18 +197,44 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
     return Model(states, [states.index(n) for n in names], table, allowed)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = SEED) -> Model:
-    """Fit on at most ``rows`` labelled rows: those with the least hash of (id, seed).
+def fit(texts: pa.Array, langs: list[str]) -> Model:
+    """Trigram model of labelled texts."""
+    return model_of(sorted({x for x in langs if x}), *tally(texts, langs))
+
+
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
+    """(l, t): of each of n languages the rows // n labelled rows with the least hash of (id, text, seed), one at least.
 
-    The labelled rows are counted first, so that a bound on the hash leaves
-    about twice the rows wanted, and no task sends more than its part of these.
+    A histogram of the hashes gives each language the bound below which it has
+    enough rows, so that hardly more than these are ordered.
     """
-    named = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL AND l <> ''")
-    n = named.count()
-    h = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 40))
-    bound = 1 << 40 if n <= 2 * rows else int((1 << 40) * (2 * rows / n))
-    some = named.filter(h < bound).orderBy(h, "i", "t").limit(rows).collect()
-    return fit(pa.array([r["t"] for r in some], pa.large_string()), [r["l"] for r in some])
+    named = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL AND l <> ''")
+    named = named.withColumn("h", F.xxhash64("i", "t", F.lit(seed)))
+    bars = named.groupBy("l", F.shiftright("h", 48).cast("int").alias("bar")).count()
+    n_langs = named.select("l").distinct().count()
+    quota = max(1, rows // max(1, n_langs))
+    before = Window.partitionBy("l").orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)
+    needed = bars.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).filter(F.col("before") < quota).groupBy("l").agg(F.max("bar").alias("bound"))
+    some = named.join(F.broadcast(needed), "l").filter(F.shiftright("h", 48) <= F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))
+    return some.withColumn("rank", rank).filter(F.col("rank") <= quota).select("l", "t")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = SEED) -> Model:
+    """Fit on ``training_rows``; what the driver gets is at most 2**17 numbers a language."""
+
+    def count(batches):
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            lang, key, n = tally(text_column(batch, "t"), langs)
+            names = np.array(sorted(set(langs)), object)
+            yield pa.RecordBatch.from_arrays([pa.array(names[lang].tolist(), pa.string()), pa.array(key, pa.int32()), pa.array(n, pa.int64())], names=["l", "key", "n"])
+
+    counts = training_rows(docs, id_col, text_col, lang_col, rows, seed).mapInArrow(count, "l string, key int, n bigint").groupBy("l", "key").agg(F.sum("n").alias("n")).toArrow()
+    langs = counts["l"].to_pylist()
+    names = sorted(set(langs))
+    at = {x: k for k, x in enumerate(names)}
+    return model_of(names, np.array([at[x] for x in langs], np.int64), counts["key"].to_numpy().astype(np.int64), counts["n"].to_numpy())
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH, lane: int = LANE) -> np.ndarray:
@@ -330,8 +362,8 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             del buf, offs
             trim()
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, lang string, n_spans int, spans array<struct<start:int,end:int,lang:string>>")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"doc_id {type_of(src, 'doc_id')}, lang string, n_spans int, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def document_languages(docs: DataFrame, **options) -> DataFrame:
