@@ -5,16 +5,18 @@ digits, and cue words of identifiers, secrets, streets and phones.  At each
 anchor a small deterministic parser reads the characters around it, decides
 where the item begins and ends and validates it:
 
-    EMAIL    local part to the left, host labels to the right of an at-sign
+    EMAIL    local part to the left, host labels to the right of an at-sign, letters of any script
     URL      after a scheme: host and path; taken only with user info, an IP host or an e-mail in it
     IP       four numbers up to 255; eight groups of hexadecimal digits, or fewer around '::'
-    PHONE    '+' or parentheses, or a cue word, also with "number", "no", "is" and the like after it; 7 to 15 digits in groups
-    ACCOUNT  13 to 19 digits of a card (16 plain ones, or a right check digit), an IBAN with a right
-             remainder, or 6 to 20 letters and digits after a cue such as "account", "iban", "ssn";
-             up to three words without a digit may stand between
+    PHONE    '+' or parentheses, or a cue word, also with "number", "no", "is" and the like after it; 7 to 15 digits
+             in groups; without these ddd-ddd-dddd, with blanks only where both codes begin with 2 to 9
+    ACCOUNT  13 to 19 digits with a right check digit or after "card", or 16 without a gap (the tables' card numbers
+             have no check digit); an IBAN with a right remainder; or letters and digits after a cue such as
+             "account", "iban", "ssn", as far as words with a digit go; up to three words without one may stand between
     SSN      ddd-dd-dddd outside the ranges never given out
-    SECRET   the value after a cue such as "token", "password", "api_key" and '=' or ':'
-    ADDRESS  house number, one to four capitalised words and a street word
+    SECRET   the value after a cue such as "token", "password", "api_key" and '=' or ':', or after "bearer"
+    ADDRESS  house number, capitalised words and a street word; number, "rue" or the like and a name; a name in
+             -straße, -weg and the like and a number; "Calle" or the like, a name and a number
 
 Cues and the words that join them to a value are read in any case.
 
@@ -23,9 +25,12 @@ replaced by its kind in angle brackets; a secret's cue and quotes stay.  The
 scan is one pass without a shuffle.
 
 Defined cases: a null text stays null and an empty one empty, both with no
-item; a null id passes through; repeated rows are treated alike, each for
-itself; other columns of a stage's input pass through, ``n_chars`` is counted
-anew where there is one; an empty table gives an empty result.
+item; very long texts are read whole, and so is an item, however long; a null id
+passes through and ids keep their type; repeated rows are treated alike, each
+for itself; a text column that isn't there is an error, one in another case is
+found as Spark finds it; other columns of a stage's input pass through,
+``n_chars`` is counted anew where there is one; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -35,29 +40,42 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillmill.llm.shared import read_table
+from quillmill.llm.shared import read_table, resolved, type_of
 
-SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "private_key", "client_secret", "bearer")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "private_key", "secret_key", "api key", "access key", "private key", "secret key", "client_secret")
 ACCOUNT_CUES = ("account", "acct", "acct.", "iban", "ssn", "passport", "konto", "cuenta", "compte", "licence no", "licence no.", "license no", "license no.", "customer no", "customer no.", "member id", "national id", "tax id", "bsb")
 PHONE_CUES = ("phone", "tel", "mobile", "fax", "call", "telephone", "telefax", "telefon", "téléphone", "teléfono", "cell", "cellphone", "cellular", "mob", "hotline", "whatsapp")
 STREETS = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "Court", "Square", "Terrace", "Highway", "Parade", "Crescent", "Place", "Way", "St", "Ave", "Rd", "Ln", "Blvd", "Dr", "Ct")
 
-_LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.!#$%&'*+/=?^_`{|}~-")
-_HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+#: Endings of German street names and first words of Spanish ones, as anchors.
+ROADS = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse")
+CALLES = ("calle", "c/", "avenida", "avda", "paseo", "plaza de")
+
+_LOCAL = set(".!#$%&'*+/=?^_`{|}~-")
+_HOST = re.compile(r"(?:[^\W_](?:[^\W_]|-)*\.)+(?:xn--[A-Za-z0-9-]+|[^\W\d_]{2,})(?![^\W_])")
 _IPV4 = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\d.]*\d)")
 _IPV6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?")
-_DIGITS = re.compile(r"\d(?:[ -]?\d){12,18}(?!\d)")
+_PLAIN = re.compile(r"\d{13,19}(?![\d\w])")
+_GROUPED = re.compile(r"\d{4}(?:([ -])\d{4}\1\d{4}\1\d{1,7}|([ -])\d{6}\2\d{4,5})(?![\d\w])")
 _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?![\d-])")
-_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)")
+#: Blanks may come before other signs between the groups, but not after them unless the number is short.
+_PHONE = re.compile(r"(?:\+\d{1,3}[ ./-]?)?(?:\(\d{1,5}\)[ ./-]?)?\d+(?: \d{2,})*(?:[./-]\d{2,})*")
+_PHONE_MORE = re.compile(r"(?:[ ./-]\d{2,5})+(?!\d)")
 _PHONE_GAP = re.compile(r"[\s.:#]*(?:(?:number|num|no|nr|id|is)\b[\s.:#]*){0,3}", re.I)
 _URL_END = re.compile(r"[^\s<>\"'|]+")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
 #: Between an account cue and its value: connecting words, and up to three other words without a digit on the same line.
 _CUE_GAP = re.compile(r"[\s:=#]*(?:(?:number|num|no|nr|id)\b\.?[\s:=#]*|[^\W\d_]+(?:[^\S\n]*[:=#][^\S\n]*|[^\S\n]+)){0,3}", re.I)
-_CUE_VALUE = re.compile(r"(?=[A-Za-z]*\d)([A-Za-z0-9](?:[A-Za-z0-9 -]{4,38})[A-Za-z0-9])")
+_CUE_VALUE = re.compile(r"[A-Za-z0-9-]*\d[A-Za-z0-9-]*(?: [A-Za-z0-9-]*\d[A-Za-z0-9-]*)*")
 _SECRET_VALUE = re.compile(r"[\"']?\s*[:=]\s*(?:Bearer\s+)?([\"']?)([^\s\"'<>]{6,})\1")
-_STREET = re.compile(r"\d{1,5}[A-Za-z]?(?:[-/]\d{1,5})?(?:[^\n\S]+[A-Z][\w'’.-]*){1,4}?[^\n\S]+(?:" + "|".join(STREETS) + r")\b\.?")
-_NATIONAL = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])")
+_BEARER_VALUE = re.compile(r"[\"']?\s*[:=]?\s*[\"']?((?=[^\s\"'<>]*\d)[\w.~+/=-]{16,})")
+_STREET = re.compile(r"\d{1,5}[A-Za-z]?(?:[-/]\d{1,5})?(?:[^\n\S]+[A-Z][\w'’.-]*)+?[^\n\S]+(?:" + "|".join(STREETS) + r")\b\.?")
+_SMALL = r"(?:(?:de|du|des|del|la|le|les|las|los|el|et|y|aux?)[^\n\S]+|[ld]['’])"
+_RUE = re.compile(r"\d{1,4}(?:[^\n\S]?(?:bis|ter))?,?[^\n\S]+(?i:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours|route)[^\n\S]+" + _SMALL + r"*[^\W\d_a-zß-öø-ÿ][\w'’-]*(?:[^\n\S]+" + _SMALL + r"*[^\W\d_a-zß-öø-ÿ][\w'’-]*)*")
+_CALLE = re.compile(r"\.?(?:[^\n\S]+" + _SMALL + r"*[^\W\d_a-zß-öø-ÿ][\w'’-]*)+")
+_NUMBER_AFTER = re.compile(r",?[^\n\S]+(?:n[.º°]{0,2}[^\n\S]*)?\d{1,3}(?:[^\n\S]?[A-Za-z])?(?![\w])(?![.,]?\d)")
+_NATIONAL = re.compile(r"(\d{3})([ .-])(\d{3})\2\d{4}(?![\d-])")
+_CARD = re.compile(r"card(?:\s+(?:number|num|no|nr|is)\b)*[\s.:#]*$", re.I)
 
 _automaton = None
 
@@ -69,7 +87,7 @@ def automaton():
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for kind, words in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("phone", PHONE_CUES)):
+        for kind, words in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("phone", PHONE_CUES), ("bearer", ("bearer",)), ("road", ROADS), ("calle", CALLES)):
             for w in words:
                 a.add_word(w, (kind, len(w)))
         for d in "0123456789":
@@ -99,9 +117,9 @@ def iban_ok(s: str) -> bool:
 
 def parse_email(t: str, at: int):
     a = at
-    while a > 0 and at - a < 64 and t[a - 1] in _LOCAL:
+    while a > 0 and (t[a - 1].isalnum() or t[a - 1] in _LOCAL):
         a -= 1
-    while a < at and t[a] in ".!#$%&'*+/=?^`{|}~-":
+    while a < at and t[a] in _LOCAL and t[a] != "_":
         a += 1
     if a == at or t[at - 1] == "." or ".." in t[a:at]:
         return None
@@ -111,7 +129,7 @@ def parse_email(t: str, at: int):
 
 def parse_url(t: str, at: int):
     a = at
-    while a > 0 and at - a < 12 and (t[a - 1].isascii() and (t[a - 1].isalnum() or t[a - 1] in "+.-")):
+    while a > 0 and (t[a - 1].isascii() and (t[a - 1].isalnum() or t[a - 1] in "+.-")):
         a -= 1
     if a == at or not t[a].isalpha():
         return None
@@ -132,6 +150,23 @@ def _ipv4(t: str, at: int):
     return m if m and all(int(g) <= 255 for g in m.groups()) else None
 
 
+def _phone(t: str, at: int) -> int:
+    """Where a telephone number of 7 to 15 digits that begins at ``at`` ends, at the end of a group, or 0."""
+    m = _PHONE.match(t, at)
+    if not m:
+        return 0
+    end, digits = m.end(), sum(c.isdigit() for c in m[0])
+    if digits < 10 and (more := _PHONE_MORE.match(t, end)) and digits + sum(c.isdigit() for c in more[0]) <= 15:
+        end, digits = more.end(), digits + sum(c.isdigit() for c in more[0])
+    while digits > 15:
+        last = max(t.rfind(c, at, end) for c in " ./-)")
+        if last < at:
+            return 0
+        digits -= sum(c.isdigit() for c in t[last:end])
+        end = last
+    return end if digits >= 7 else 0
+
+
 def parse_digits(t: str, at: int):
     """The item that a number at ``at`` begins (``at`` is the first digit of its run)."""
     before = t[at - 1] if at else ""
@@ -144,10 +179,10 @@ def parse_digits(t: str, at: int):
         if m and before != "-" and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             return at, m.end(), "SSN"
     if not glued:
-        m = _DIGITS.match(t, at)
-        if m and not t[m.end() : m.end() + 1].isalpha():
+        m = _PLAIN.match(t, at) or _GROUPED.match(t, at)
+        if m:
             d = re.sub(r"[ -]", "", m[0])
-            if 13 <= len(d) <= 19 and (luhn(d) or (len(d) == 16 and d == m[0])):
+            if 13 <= len(d) <= 19 and (luhn(d) or len(d) == 16 and d == m[0] or _CARD.search(t[max(0, at - 32) : at])):
                 return at, m.end(), "ACCOUNT"
     # telephone: a plus or an opening parenthesis before the digits
     a = at
@@ -158,14 +193,13 @@ def parse_digits(t: str, at: int):
     if before == "+":
         a = at - 1
     if a < at:
-        m = _PHONE.match(t, a)
-        if m and 7 <= sum(c.isdigit() for c in m[0]) <= 15:
-            return a, m.end(), "PHONE"
+        if end := _phone(t, a):
+            return a, end, "PHONE"
     if not glued and before not in ("-", "."):
         m = _NATIONAL.match(t, at)
-        if m:
+        if m and (m[2] != " " or m[1] > "2" and m[3] > "2"):
             return at, m.end(), "PHONE"
-        m = _STREET.match(t, at)
+        m = _STREET.match(t, at) or _RUE.match(t, at)
         if m:
             return at, m.end(), "ADDRESS"
         m = _IPV6.match(t, at)
@@ -207,25 +241,56 @@ def parse_account(t: str, end: int, start: int):
     m = _CUE_VALUE.match(t, _CUE_GAP.match(t, end).end())
     if not m:
         return None
-    value = m[1]
-    # the value ends before the first word without a digit
-    words, size = value.split(" "), 0
-    for w in words:
-        if not any(c.isdigit() for c in w):
-            break
-        size += len(w) + 1
-    value = value[: max(0, size - 1)].rstrip("-")
+    value = m[0].strip("-")
     if sum(c.isdigit() for c in value) < 4 or len(value) < 6:
         return None
-    return m.start(1), m.start(1) + len(value), "ACCOUNT"
+    begin = m.start() + len(m[0]) - len(m[0].lstrip("-"))
+    return begin, begin + len(value), "ACCOUNT"
+
+
+def parse_bearer(t: str, end: int, start: int):
+    m = None if start and t[start - 1].isalnum() else _BEARER_VALUE.match(t, end)
+    return (m.start(1), m.end(1), "SECRET") if m and m.start(1) > end else None
+
+
+def parse_road(t: str, end: int, start: int):
+    """A German street: the word that ends here, or it and the one before, begins with a capital; a house number follows."""
+    m = _NUMBER_AFTER.match(t, end)
+    if not m:
+        return None
+    a = start
+    while a and (t[a - 1].isalnum() or t[a - 1] in "-'’."):
+        a -= 1
+    if a == start:
+        b = a
+        while b and t[b - 1] in " \t":
+            b -= 1
+        c = b
+        while c and (t[c - 1].isalnum() or t[c - 1] in "-'’."):
+            c -= 1
+        if b == a or c == b or not t[a].isupper():
+            return None
+        a = c
+    return (a, m.end(), "ADDRESS") if t[a].isupper() else None
+
+
+def parse_calle(t: str, end: int, start: int):
+    """A Spanish street; where none is found, how far was read."""
+    if start and t[start - 1].isalnum() or not t[start].isupper():
+        return None
+    m = _CALLE.match(t, end)
+    if not m:
+        return None
+    n = _NUMBER_AFTER.match(t, m.end())
+    return (start, n.end(), "ADDRESS") if n else m.end()
 
 
 def parse_phone(t: str, end: int, start: int):
     if start and t[start - 1].isalnum() or t[end : end + 1].isalpha():
         return None
     m = _PHONE_GAP.match(t, end)
-    p = _PHONE.match(t, m.end())
-    return (m.end(), p.end(), "PHONE") if p and 7 <= sum(c.isdigit() for c in p[0]) <= 15 else None
+    stop = _phone(t, m.end())
+    return (m.end(), stop, "PHONE") if stop else None
 
 
 def iban_at(t: str, at: int):
@@ -256,7 +321,7 @@ def find_items(t: str) -> list[tuple[int, int, str]]:
     if not t:
         return []
     found = []
-    digits_to = -1
+    digits_to = read_to = secret_to = -1
     for last, (kind, size) in automaton().iter(lower(t)):
         start = last - size + 1
         if kind == "digit":
@@ -272,9 +337,19 @@ def find_items(t: str) -> list[tuple[int, int, str]]:
         elif kind == "colons":
             item = parse_colons(t, start)
         elif kind == "secret":
-            item = parse_secret(t, last + 1, start)
+            item = parse_secret(t, last + 1, start) if start >= secret_to else None
+            secret_to = item[1] if item else secret_to
         elif kind == "account":
             item = parse_account(t, last + 1, start)
+        elif kind == "bearer":
+            item = parse_bearer(t, last + 1, start)
+        elif kind == "road":
+            item = parse_road(t, last + 1, start)
+        elif kind == "calle":
+            # names that an earlier anchor read in vain have no number for this one either
+            item = parse_calle(t, last + 1, start) if start >= read_to else None
+            if isinstance(item, int):
+                item, read_to = None, item
         else:
             item = parse_phone(t, last + 1, start)
         if item:
@@ -314,22 +389,23 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "n_items", "items", "text"],
             )
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, n_items int, items array<struct<start:int,end:int,kind:string>>, text string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"doc_id {type_of(src, 'doc_id')}, n_items int, items array<struct<start:int,end:int,kind:string>>, text string")
 
 
 def redact_private(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """The same rows with redacted texts and, where there is such a column, new character counts."""
 
+    k = docs.columns.index(resolved(docs, text_col))
+    counts = [i for i, c in enumerate(docs.columns) if c.lower() == count_col.lower()]
+
     def run(batches):
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
             texts = batch.column(k).to_pylist()
             clean = [redact(t, x) if t and (x := find_items(t)) else t for t in texts]
             cols = [*batch.columns]
             cols[k] = pa.array(clean, batch.schema.field(k).type)
-            c = batch.schema.get_field_index(count_col)
-            if c >= 0:
+            for c in counts[:1]:
                 old = batch.column(c).to_pylist()
                 cols[c] = pa.array([o if a is b else len(b) for o, a, b in zip(old, texts, clean)], batch.schema.field(c).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
