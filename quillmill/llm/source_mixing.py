@@ -15,13 +15,16 @@
 4. Slots and blocks are joined on (source, index).
 
 Nothing depends on how the input is partitioned.  What reaches the driver is
-one number a source.
-
-Defined cases: a null or empty text packs as a lone end-of-text token; a null
-source counts as the source ''; a null id packs first; repeated rows are packed
-each for itself; weights of sources without blocks are left out and the others
-scaled up; a table without rows gives an empty result; other columns of the
-input are never looked at.
+one number a source; every shard's draw knows all sources, so these are meant to
+be few next to the documents.
+
+Defined cases: a null or empty text packs as a lone end-of-text token; a very
+long one is cut over as many blocks as it takes; a null source counts as the
+source ''; rows without an id are spread over the lanes by their texts and pack
+first in them; repeated rows are packed each for itself, and ties have the order
+of their tokens; weights of sources without blocks are left out and the others
+scaled up; ids keep their type; a table without rows gives an empty result;
+``mix_sources`` never looks at other columns, ``mix_documents`` returns them.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from quillmill.llm.arrays import mix64, text_slices
 from quillmill.llm.bpe_core import DEFAULT_VOCAB, Ranks
-from quillmill.llm.shared import read_table, written
+from quillmill.llm.shared import column, read_table, resolved, written
 
 BLOCK_TOKENS = 2048
 #: Blocks of an output shard.
@@ -45,13 +50,10 @@ REST_LANES = 1024
 SEED = 20240
 #: Default weights: block counts to this power, scaled to 1.
 TEMPER = 0.7
-#: Slots up to which their table (about 48 bytes a row) is broadcast; beyond, both sides shuffle.
-BROADCAST_ROWS = 1_000_000
-
-_PACKED = "source string, lane int, k bigint, rest boolean, n_tokens int, ids binary, doc_ids array<bigint>, lens array<int>, langs array<string>, texts array<string>"
-_PACKED_ARROW = pa.schema(
-    [("source", pa.string()), ("lane", pa.int32()), ("k", pa.int64()), ("rest", pa.bool_()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("langs", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))]
-)
+#: Rows up to which a table of lanes or slots is broadcast, at about 160 bytes a row some 64 MB; beyond, both sides shuffle.
+BROADCAST_ROWS = 400_000
+#: Neighbours that are summed up by one task before the sums are.
+NEIGHBOURS = 4096
 
 
 def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -82,8 +84,8 @@ def _key(*parts: int) -> int:
 class _Packer:
     """Pieces in, blocks out, in order."""
 
-    def __init__(self, size: int, compress):
-        self.size, self.compress = size, compress
+    def __init__(self, size: int, compress, schema: pa.Schema):
+        self.size, self.compress, self.schema = size, compress, schema
         self.rows: list[tuple] = []
         self.open(None, 0)
 
@@ -92,9 +94,9 @@ class _Packer:
         self.clear()
 
     def clear(self):
-        self.ids, self.docs, self.lens, self.langs, self.texts, self.have = [], [], [], [], [], 0
+        self.ids, self.docs, self.lens, self.texts, self.meta, self.have = [], [], [], [], [], 0
 
-    def add(self, doc, lang, ids: np.ndarray, text):
+    def add(self, doc, meta, ids: np.ndarray, text):
         """``text``: a function from a range of ids to its text, or None."""
         at = 0
         while at < len(ids):
@@ -102,8 +104,9 @@ class _Packer:
             self.ids.append(ids[at : at + n])
             self.docs.append(doc)
             self.lens.append(n)
-            self.langs.append(lang)
-            self.texts.append(text(at, at + n) if text else None)
+            if text:
+                self.texts.append(text(at, at + n))
+                self.meta.append(meta)
             self.have += n
             at += n
             if self.have == self.size:
@@ -115,28 +118,45 @@ class _Packer:
         ids = np.concatenate(self.ids).astype("<u4")
         if fill is not None:
             ids = np.concatenate([ids, np.full(self.size - self.have, fill, "<u4")])
-        self.rows.append((self.source, self.lane, self.k, rest, self.have, self.compress(ids.tobytes()), self.docs, self.lens, self.langs, self.texts))
+        self.rows.append((self.source, self.lane, self.k, rest, self.have, self.compress(ids.tobytes()), self.docs, self.lens, self.texts, self.meta))
         self.k += 1
         self.clear()
 
     def take(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows)) if self.rows else [[] for _ in _PACKED_ARROW]
+        cols = list(zip(*self.rows)) if self.rows else [[] for _ in range(10)]
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PACKED_ARROW)], schema=_PACKED_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, self.schema)], schema=self.schema)
+
+
+def _packed(id_type: DataType, meta: DataType | None) -> StructType:
+    """Blocks as they are written; texts and other columns of the pieces where they are wanted."""
+    kinds = {"source": StringType(), "lane": IntegerType(), "k": LongType(), "rest": BooleanType(), "n_tokens": IntegerType(), "ids": BinaryType(), "doc_ids": ArrayType(id_type), "lens": ArrayType(IntegerType())}
+    if meta is not None:
+        kinds |= {"texts": ArrayType(StringType()), "meta": ArrayType(meta)}
+    return StructType([StructField(name, kind) for name, kind in kinds.items()])
 
 
-def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lane_docs: int = LANE_DOCS, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str | None = "lang", vocab: str = DEFAULT_VOCAB, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The blocks of all sources as written tables; (source, lane, k) names a block."""
+def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lane_docs: int = LANE_DOCS, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocab: str = DEFAULT_VOCAB, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The blocks of all sources as written tables; (source, lane, k) names a block.
+
+    ``with_text``: with the text of each piece and, as ``meta``, all other columns of its document.
+    """
+    own = [resolved(docs, c) for c in (id_col, text_col)]
+    rest_cols = [c for c in docs.columns if c not in own] if with_text else []
     plain = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
+        column(own[0]).alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        (F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")).alias("lang"),
-        F.col(text_col).cast("string").alias("text"),
+        (F.struct(*map(column, rest_cols)) if rest_cols else F.struct(F.lit(None).cast("int").alias("none"))).alias("meta"),
+        column(own[1]).cast("string").alias("text"),
     )
     lanes = written(plain.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / lane_docs).alias("lanes")), "lanes")
     if lanes.count() <= broadcast_rows:
         lanes = F.broadcast(lanes)
-    src = plain.join(lanes, "source").select("doc_id", "source", "lang", F.pmod(F.xxhash64("doc_id"), F.col("lanes")).cast("int").alias("lane"), "text")
+    spread = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("text")), "doc_id")
+    src = plain.join(lanes, "source").select("doc_id", "source", "meta", F.pmod(spread, F.col("lanes")).cast("int").alias("lane"), "text")
+    id_type, meta_type = plain.schema["doc_id"].dataType, plain.schema["meta"].dataType
+    layout = _packed(id_type, meta_type if with_text else None)
+    arrow = to_arrow_schema(layout)
 
     def tokenise(batches):
         import zstandard
@@ -147,23 +167,24 @@ def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lane_docs: int = LAN
                 ids, io = ranks.encode_slice(buf, offs)
                 raw, io = ids.astype("<u4").tobytes(), (io * 4).tolist()
                 blobs = [comp(raw[io[d] : io[d + 1]]) for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(4)), pa.array(blobs, pa.binary())], names=["doc_id", "source", "lang", "lane", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(4)), pa.array(blobs, pa.binary())], names=["doc_id", "source", "meta", "lane", "ids"])
 
     def pack(batches):
         import zstandard
 
         ranks, un = Ranks.load(vocab), zstandard.ZstdDecompressor().decompress
         eos = ranks.size
-        p = _Packer(block, zstandard.ZstdCompressor(level=1).compress)
+        p = _Packer(block, zstandard.ZstdCompressor(level=1).compress, arrow)
         key = None
         for batch in batches:
-            for d, s, lang, lane, blob in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            meta = batch.column(2).to_pylist() if with_text else [None] * batch.num_rows
+            for d, s, m, lane, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), meta, *(batch.column(c).to_pylist() for c in (3, 4))):
                 if (s, lane) != key:
                     p.emit(True)
                     key = (s, lane)
                     p.open(s, lane)
                 ids = np.frombuffer(un(blob), "<u4")
-                p.add(d, lang, np.append(ids, np.uint32(eos)), _texts(ranks, ids) if with_text else None)
+                p.add(d, m, np.append(ids, np.uint32(eos)), _texts(ranks, ids) if with_text else None)
                 if len(p.rows) >= 256:
                     yield p.take()
         p.emit(True)
@@ -174,26 +195,29 @@ def pack_blocks(docs: DataFrame, block: int = BLOCK_TOKENS, lane_docs: int = LAN
 
         ranks, un = Ranks.load(vocab), zstandard.ZstdDecompressor().decompress
         eos = ranks.size
-        p = _Packer(block, zstandard.ZstdCompressor(level=1).compress)
+        p = _Packer(block, zstandard.ZstdCompressor(level=1).compress, arrow)
         key = None
         for batch in batches:
-            for s, group, blob, docs_, lens, langs in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            meta = batch.column(5).to_pylist() if with_text else [None] * batch.num_rows
+            for s, group, blob, docs_, lens, m in zip(*(batch.column(c).to_pylist() for c in range(5)), meta):
                 if (s, group) != key:
                     p.emit(False, eos)
                     key = (s, group)
                     p.open(s, -1 - group)
                 ids, at = np.frombuffer(un(blob), "<u4"), 0
-                for d, n, lang in zip(docs_, lens, langs):
+                for d, n, x in zip(docs_, lens, m or [None] * len(lens)):
                     piece = ids[at : at + n]
-                    p.add(d, lang, piece, _texts(ranks, piece[piece != eos]) if with_text else None)
+                    p.add(d, x, piece, _texts(ranks, piece[piece != eos]) if with_text else None)
                     at += n
+                if len(p.rows) >= 256:
+                    yield p.take()
         p.emit(False, eos)
         yield p.take()
 
-    tokens = src.mapInArrow(tokenise, "doc_id bigint, source string, lang string, lane int, ids binary")
-    packed = written(tokens.repartition("source", "lane").sortWithinPartitions("source", "lane", "doc_id", "ids").mapInArrow(pack, _PACKED), "packed-blocks")
-    rest = packed.filter("rest").select("source", F.floor(F.col("lane") / REST_LANES).cast("int").alias("group"), "ids", "doc_ids", "lens", "langs", "lane").repartition("source", "group").sortWithinPartitions("source", "group", "lane")
-    last = written(rest.drop("lane").mapInArrow(pack_rest, _PACKED), "packed-rest")
+    tokens = src.mapInArrow(tokenise, StructType([StructField(c, kind) for c, kind in (("doc_id", id_type), ("source", StringType()), ("meta", meta_type), ("lane", IntegerType()), ("ids", BinaryType()))]))
+    packed = written(tokens.repartition("source", "lane").sortWithinPartitions("source", "lane", "doc_id", "ids").mapInArrow(pack, layout), "packed-blocks")
+    rest = packed.filter("rest").select("source", F.floor(F.col("lane") / REST_LANES).cast("int").alias("group"), "ids", "doc_ids", "lens", *["meta"] * with_text, "lane").repartition("source", "group").sortWithinPartitions("source", "group", "lane")
+    last = written(rest.drop("lane").mapInArrow(pack_rest, layout), "packed-rest")
     return packed.filter("NOT rest").unionByName(last)
 
 
@@ -245,18 +269,15 @@ def draw_slots(spark, sizes: dict[str, int], weights: dict[str, float] | None =
                 yield pa.RecordBatch.from_arrays([pa.array([names[s]] * taken, pa.string()), pa.array(index), pa.array(epoch), pa.array(np.full(taken, shard, np.int64)), pa.array(slot)], names=["source", "index", "epoch", "shard", "slot"])
 
     drawn = spark.range(shards).mapInArrow(draw, "shard bigint, s int, taken bigint, before bigint")
-    run = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = drawn.withColumn("start", F.coalesce(F.sum("taken").over(run), F.lit(0)))
-    return placed.select("shard", "s", "taken", "before", "start").mapInArrow(expand, "source string, index bigint, epoch bigint, shard bigint, slot bigint")
+    return sums_before(drawn, "s", "shard", "taken", "start").select("shard", "s", "taken", "before", "start").mapInArrow(expand, "source string, index bigint, epoch bigint, shard bigint, slot bigint")
 
 
 def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, lane_docs: int = LANE_DOCS, seed: int = SEED, temper: float = TEMPER, with_text: bool = False, broadcast_rows: int = BROADCAST_ROWS, **columns) -> DataFrame:
     """Every slot of every shard with its block (ids still compressed)."""
     spark = docs.sparkSession
     blocks = pack_blocks(docs, block, lane_docs, with_text, broadcast_rows=broadcast_rows, **columns)
-    per_lane = blocks.groupBy("source", "lane").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    base = written(per_lane.withColumn("base", F.coalesce(F.sum("n").over(run), F.lit(0))), "lane-bases")
+    per_lane = written(blocks.groupBy("source", "lane").agg(F.count(F.lit(1)).alias("n")), "lane-blocks")
+    base = written(sums_before(per_lane, "source", "lane", "n", "base"), "lane-bases")
     sizes = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     n_bases = base.count()
     slots = draw_slots(spark, sizes, weights, epochs, shard_blocks, seed, temper)
@@ -266,7 +287,20 @@ def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     if sum(sizes.values()) * epochs <= broadcast_rows:
         slots = F.broadcast(slots)
     indexed = blocks.join(bases, ["source", "lane"]).withColumn("index", F.col("base") + F.col("k"))
-    return indexed.join(slots, ["source", "index"]).select("shard", "slot", "source", F.col("index").alias("block_index"), "epoch", "n_tokens", "doc_ids", "lens", "langs", "texts", "ids")
+    return indexed.join(slots, ["source", "index"]).select("shard", "slot", "source", F.col("index").alias("block_index"), "epoch", "n_tokens", "doc_ids", "lens", *["texts", "meta"] * with_text, "ids")
+
+
+def sums_before(df: DataFrame, group: str, order: str, value: str, name: str, wide: int = NEIGHBOURS) -> DataFrame:
+    """``df`` and the sum of ``value`` over the rows before each of its group: first in runs of ``wide``, then over the runs, so that no task orders a large group."""
+    near = df.withColumn("_run", F.floor(F.col(order) / wide))
+    runs = near.groupBy(group, "_run").agg(F.sum(value).alias("_sum"))
+
+    def before(column, at, *keys):
+        return F.coalesce(F.sum(column).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    runs = runs.withColumn("_before", before("_sum", "_run", group)).drop("_sum")
+    inside = before(value, order, group, "_run")
+    return near.withColumn(name, inside).join(runs, [group, "_run"]).withColumn(name, F.col(name) + F.col("_before")).drop("_run", "_before")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -284,19 +318,23 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
             cols = [batch.column(c) for c in range(batch.num_columns) if c != k] + [ids]
             yield pa.RecordBatch.from_arrays(cols, names=["shard", "slot", "source", "block_index", "epoch", "n_tokens", "doc_ids", "lens", "token_ids"])
 
-    return mixed_blocks(docs, **options).drop("langs", "texts").mapInArrow(
-        run, "shard bigint, slot bigint, source string, block_index bigint, epoch bigint, n_tokens int, doc_ids array<bigint>, lens array<int>, token_ids array<int>"
-    )
+    slots = mixed_blocks(docs, **options)
+    schema = StructType([f for f in slots.schema if f.name != "ids"]).add("token_ids", ArrayType(IntegerType()))
+    return slots.mapInArrow(run, schema)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as documents: each slot's pieces with the columns doc_id, text, lang, source and n_chars.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", **options) -> DataFrame:
+    """The mixture as documents: each slot's pieces, with the columns of ``docs``.
 
-    A piece is the part of a document that lies in the block; pieces of end-of-text tokens only are left out.
+    A piece is the part of a document that lies in the block, with the document's
+    other columns as they are; ``count_col``, where there is one, has the piece's
+    characters.  Pieces of end-of-text tokens only are left out.
     """
-    piece = F.explode(F.arrays_zip("doc_ids", "langs", "texts")).alias("p")
-    rows = mixed_blocks(docs, with_text=True, **options).select("source", piece)
-    return rows.filter("p.texts <> ''").select(F.col("p.doc_ids").alias("doc_id"), F.col("p.texts").alias("text"), F.col("p.langs").alias("lang"), "source", F.length("p.texts").cast("bigint").alias("n_chars"))
+    own = {resolved(docs, id_col): "p.doc_ids", resolved(docs, text_col): "p.texts"}
+    same = [c for c in docs.columns if c.lower() == count_col.lower()]
+    rows = mixed_blocks(docs, with_text=True, id_col=id_col, text_col=text_col, **options).select(F.explode(F.arrays_zip("doc_ids", "meta", "texts")).alias("p")).filter("p.texts <> ''")
+    kept = [F.col(own[c]).alias(c) if c in own else F.length("p.texts").cast(docs.schema[c].dataType).alias(c) if c in same[:1] else F.col("p.meta")[c].alias(c) for c in docs.columns]
+    return rows.select(*kept)
 
 
 QUERIES = {"op10_source_mixing": lambda spark, sf_dir: mix_sources(read_table(spark, sf_dir, "documents"))}
