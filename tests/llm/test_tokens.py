@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings, strategies as st
 
 from quillmill.llm import bpe_codec, source_mixing, token_counts, token_store
@@ -31,7 +33,7 @@ def both(texts):
 def test_both_encoders_match_the_reference_on_odd_texts(reference):
     rnd = random.Random(3)
     parts = ["a", "'", "s", "'re", "'ll", "ve", " ", "  ", "\n", "\t", "7", "é", "中", " ", "　", "!", "😀", "=", "E", "don't", "'S"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 40))) for _ in range(1500)] + ["=" * 3000, "ab" * 999, " " * 500, ""]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 40))) for _ in range(1500)] + ["=" * 3000, "ab" * 999, " " * 500, "", "abab" * 70 + "a", "".join(rnd.choice("ACGT") for _ in range(5000)), "é" * 1001]
     want = [reference(t) for t in texts]
     for got in both(texts):
         assert got == want
@@ -59,6 +61,7 @@ def test_counts_and_codec_on_nasty_rows(spark, reference):
 
 def test_empty_tables(spark):
     e = empty(spark)
+    assert token_store.check_manifests(token_store.build_store(e), token_store.manifests(token_store.build_store(e))).count() == 0
     assert token_counts.token_counts(e).count() == 0
     assert bpe_codec.encode_decode(e).count() == 0
     assert token_store.content_store(e).count() == 0
@@ -134,6 +137,94 @@ def test_verification_sees_a_lost_and_a_changed_chunk(spark):
         assert seen[1] is False and seen[2] is False and seen[7] is True
 
 
+def store_by_hand(data, reference):
+    """Chunks, recipes and roots one document at a time: {digest: (ids, refs)}, {(id, root): (recipe, ids, refs)}."""
+    chunks: dict = {}
+    docs: dict = {}
+    for i, t in data:
+        ids = reference(t or "")
+        recipe, start = [], 0
+        for end in cuts_by_hand(ids):
+            part = ids[start:end]
+            digest = hashlib.sha256(np.array(part, "<u2").tobytes()).digest()
+            chunks[digest] = (part, chunks.get(digest, (None, 0))[1] + 1)
+            recipe.append(digest)
+            start = end
+        level = recipe or [b""]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\x01" + level[k] + level[k + 1]).digest() if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        root = level[0] if recipe else hashlib.sha256(b"").digest()
+        docs[i, root] = (recipe, len(ids), docs.get((i, root), (None, None, 0))[2] + 1)
+    return chunks, docs
+
+
+def test_store_query_against_a_plain_version(spark, reference, tmp_path):
+    rnd = random.Random(21)
+    passage = " ".join(rnd.choice(["alpha", "beta", "gamma", "river", "stone", "écoute"]) for _ in range(1500))
+    data = [(r[0], r[1]) for r in rows()] + [(20 + i, f"{passage} {'x' * i} {passage}" if i % 2 else passage) for i in range(8)] + [(20, "another text of the same id")]
+    spark.createDataFrame(data, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks, docs = store_by_hand(data, reference)
+    got = token_store.QUERIES["op5_token_store"](spark, str(tmp_path)).collect()
+    un = zstandard.ZstdDecompressor().decompress
+    assert {bytes.fromhex(r["digest"]): (np.frombuffer(un(r["payload"]), "<u2").tolist(), r["refs"]) for r in got if r["kind"] == "chunk"} == chunks
+    mine = [r for r in got if r["kind"] == "document"]
+    assert {(r["doc_id"], bytes.fromhex(r["digest"])): ([bytes.fromhex(c) for c in r["recipe"]], r["n_ids"], r["refs"]) for r in mine} == docs and len(mine) == len(docs)
+    assert all(r["verified"] for r in got if r["kind"] != "chunk")
+    by_shard: dict = {}
+    for r in mine:
+        leaf = hashlib.sha256(token_store.leaf_bytes(None if r["doc_id"] is None else str(r["doc_id"]), bytes.fromhex(r["digest"]), r["refs"])).digest()
+        by_shard.setdefault(r["shard"], []).append(leaf)
+    want = {s: (len(x), token_store.merkle_root(sorted(x)).hex().upper()) for s, x in by_shard.items()}
+    assert {r["shard"]: (r["n_ids"], r["digest"]) for r in got if r["kind"] == "manifest"} == want
+
+
+def test_manifests_in_buckets_see_lost_added_and_changed_documents(spark):
+    store = token_store.build_store(spark.createDataFrame([(f"d{i}", f"text number {i} " * (i % 7)) for i in range(200)] + [(None, f"no id {i}") for i in range(50)], "doc_id string, text string"), shards=4)
+    kept = token_store.manifests(store, leaves=8).cache()
+    assert kept.count() == 4 and kept.agg({"n_docs": "sum"}).first()[0] == 250
+    assert {r["root"] for r in kept.collect()} != {r["root"] for r in token_store.manifests(store).collect()}
+    assert all(r["intact"] for r in token_store.check_manifests(store, kept, leaves=8).collect())
+    one = store.filter("doc_id = 'd17'")
+    shard = one.first()["shard"]
+    from pyspark.sql import functions as F
+
+    for bad in (store.filter("doc_id IS NULL OR doc_id <> 'd17'"), store.unionByName(one.withColumn("doc_id", F.lit("d17b"))), store.withColumn("refs", F.when(F.col("doc_id") == "d17", 9).otherwise(F.col("refs")))):
+        assert {r["shard"]: r["intact"] for r in token_store.check_manifests(bad, kept, leaves=8).collect()} == {s: s != shard for s in range(4)}
+
+
+def test_a_lost_chunk_shows_in_its_documents_and_manifests(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    build = token_store.build_store
+
+    def lossy(*args):
+        store = build(*args)
+        return store.filter((F.col("kind") != "chunk") | (F.col("digest") != F.lit(whole)))
+
+    whole = build(nasty(spark)).filter("kind = 'document' AND doc_id = 1").first()["recipe"][0]
+    monkeypatch.setattr(token_store, "build_store", lossy)
+    got = token_store.content_store(nasty(spark)).collect()
+    bad = {r["shard"] for r in got if r["kind"] == "document" and not r["verified"]}
+    assert {r["doc_id"] for r in got if r["kind"] == "document" and not r["verified"]} == {1, 2}
+    assert {r["shard"] for r in got if r["kind"] == "manifest" and not r["verified"]} == bad
+
+
+def test_long_pretokens_take_seconds(reference):
+    import time
+
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abcdefghij") for _ in range(1_000_000))
+    buf, offs = buffers(pa.array([text], pa.large_string()))
+    began = time.time()
+    ids, _ = Ranks.load().encode_slice(buf, offs)
+    assert time.time() - began < 20
+    assert b"".join(Ranks.load().tokens[k] for k in ids.tolist()).decode() == text
+    for n in (255, 256, 257, 20_000):
+        buf, offs = buffers(pa.array([text[:n], f"{text[-n:]} short"], pa.large_string()))
+        ids, o = Ranks.load().encode_slice(buf, offs)
+        assert [ids[a:b].tolist() for a, b in zip(o, o[1:])] == [reference(text[:n]), reference(f"{text[-n:]} short")]
+
+
 def test_permutations_are_permutations():
     for n in (1, 2, 3, 5, 8, 1000, 1025):
         for key in (0, 1, 2**60):
@@ -204,6 +295,86 @@ def test_mixture_against_a_plain_version(spark):
         assert len(seen) == len(set(seen)) and max(e for e, _ in seen) == (len(seen) - 1) // sizes[s]
 
 
+def blocks_by_hand(spark, data, reference, block, lane_docs):
+    """{source: blocks in order of their index}, each a list of (id, ids); ``data``: (id, text, source, ...)."""
+    eos = Ranks.load().size
+    sizes: dict = {}
+    for r in data:
+        sizes[r[2] or ""] = sizes.get(r[2] or "", 0) + 1
+    spread = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(data)], "k int, doc_id bigint, text string").selectExpr("k", "xxhash64(IF(doc_id IS NULL, text, NULL), doc_id) AS h").collect()
+    lanes: dict = {}
+    for r in spread:
+        i, t, s = data[r["k"]][:3]
+        lane = r["h"] % -(-sizes[s or ""] // lane_docs)
+        lanes.setdefault((s or "", lane), []).append((i is not None, i or 0, reference(t or "") + [eos], i))
+    out: dict = {}
+    rests: dict = {}
+    for (s, lane), docs in sorted(lanes.items()):
+        stream = [(i, x) for _, _, ids, i in sorted(docs, key=lambda d: (d[0], d[1], zstd_ids(d[2][:-1]))) for x in ids]
+        whole = len(stream) // block * block
+        out.setdefault(s, []).extend(stream[k : k + block] for k in range(0, whole, block))
+        rests.setdefault(s, []).extend(stream[whole:])
+    for s, stream in rests.items():
+        out[s] = [stream[k : k + block] for k in range(0, len(stream), block)] + out.get(s, [])
+    return out
+
+
+def zstd_ids(ids):
+    return zstandard.ZstdCompressor(level=1).compress(np.array(ids, "<u4").tobytes())
+
+
+def test_mixing_query_against_a_plain_version(spark, reference):
+    rnd = random.Random(41)
+    word = lambda: rnd.choice(["river", "stone", "écoute", "green", "中文", "😀", "1234"])
+    data = [(i, " ".join(word() for _ in range(rnd.randrange(0, 80))), rnd.choice(["hot", "hot", "hot", "a", "b", None])) for i in range(150)] + [(None, f"no id {i}", "hot") for i in range(20)] + [(r[0], r[1], r[3]) for r in rows() if r[0] != 6]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(6)
+    blocks = blocks_by_hand(spark, data, reference, 32, 8)
+    weights = {"hot": 1.0, "a": 2.0, "": 1.5, "nothing": 9.0}
+    sizes = {s: len(b) for s, b in blocks.items()}
+    for epochs, w in ((1.0, None), (2.5, weights)):
+        got = source_mixing.mix_sources(df, block=32, lane_docs=8, shard_blocks=16, epochs=epochs, weights=w).collect()
+        slots = {(r["shard"], r["slot"]): (r["source"], r["index"], r["epoch"]) for r in source_mixing.draw_slots(spark, sizes, w, epochs, 16).collect()}
+        assert len(got) == len(slots) == round(sum(sizes.values()) * epochs)
+        eos = Ranks.load().size
+        for r in got:
+            s, index, epoch = slots[r["shard"], r["slot"]]
+            assert (r["source"], r["block_index"], r["epoch"]) == (s, index, epoch)
+            want = blocks[s][index]
+            assert r["token_ids"] == [x for _, x in want] + [eos] * (32 - len(want)) and r["n_tokens"] == len(want)
+            assert [i for i, n in zip(r["doc_ids"], r["lens"]) for _ in range(n)] == [i for i, _ in want]
+
+
+def test_pieces_of_the_mixture_are_the_drawn_tokens_texts(spark):
+    rnd = random.Random(43)
+    data = [(f"d{i}", " ".join(rnd.choice(["river", "stone", "green", "hill"]) for _ in range(rnd.randrange(0, 90))), "ab"[i % 2], f"http://x/{i}", [i, i + 1]) for i in range(80)]
+    df = spark.createDataFrame(data, "Doc_Id string, TEXT string, source string, `url.of` string, k array<int>")
+    want: dict = {}
+    blocks = source_mixing.mix_sources(df, block=32, lane_docs=8, shard_blocks=16).collect()
+    ranks = Ranks.load()
+    for r in blocks:
+        at = 0
+        for d, n in zip(r["doc_ids"], r["lens"]):
+            t = b"".join(ranks.tokens[x] for x in r["token_ids"][at : at + n] if x != ranks.size).decode()
+            at += n
+            if t:
+                want[d, t] = want.get((d, t), 0) + 1
+    out = source_mixing.mix_documents(df, block=32, lane_docs=8, shard_blocks=16)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    got: dict = {}
+    table = {r[0]: r for r in data}
+    for r in out.collect():
+        got[r[0], r[1]] = got.get((r[0], r[1]), 0) + 1
+        assert tuple(r)[2:] == table[r[0]][2:]
+    assert got == want and len(want) > 80
+
+
+def test_running_sums_over_many_neighbours(spark):
+    data = [(g, k * 3 - 50, (k * 7 + g) % 11) for g in range(3) for k in range(200)]
+    for wide in (1, 7, 4096):
+        got = source_mixing.sums_before(spark.createDataFrame(data, "g int, at bigint, n bigint"), "g", "at", "n", "start", wide).collect()
+        assert {(r["g"], r["at"]): r["start"] for r in got} == {(g, at): sum(n for g2, a2, n in data if g2 == g and a2 < at) for g, at, _ in data} and len(got) == 600
+
+
 def test_mixing_does_not_depend_on_partitions_or_broadcasts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     key = lambda df: sorted((r["shard"], r["slot"], r["source"], r["block_index"], tuple(r["token_ids"])) for r in df.collect())
