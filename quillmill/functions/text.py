@@ -129,10 +129,6 @@ def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def mode_ratio_score(c: Column) -> Column:
-    return clamp01((c - 0.3) / 0.4)
-
-
 def variation_score(c: Column, low: float = 0.1, span: float = 0.4) -> Column:
     """1 for an even quantity, 0 for a scattered one, by its coefficient of variation."""
     return clamp01(1 - (c - low) / span)
@@ -148,12 +144,6 @@ def iou(a: Column, b: Column) -> Column:
     return F.when((both > 0) & (union > 0), both / union).otherwise(F.lit(0.0))
 
 
-def normalised_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
-    """Pixels to shares of the page; 0 where the page has no extent."""
-    share = lambda v, whole: F.when(whole > 0, v / whole).otherwise(F.lit(0.0))
-    return F.struct(share(x0, width).alias("x"), share(y0, height).alias("y"), share(x1 - x0, width).alias("width"), share(y1 - y0, height).alias("height"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,17 +25,41 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
-def _measure(text: str, count: Callable[[str], int]) -> Callable[[int, int], int]:
+def remembered(count: Callable[[str], int], most: int | None = 65536) -> Callable[[str], int]:
+    """A counter that keeps the counts of recent texts; ``most``: how many, None for all."""
+    return lru_cache(maxsize=most)(count)
+
+
+def token_count_of(path: str) -> Callable[[str], int]:
+    """Counter by a tokenizer file of the public library, which is read once in each worker; the path has to be readable there."""
+    made: list = []
+
+    def count(text: str) -> int:
+        if not made:
+            from tokenizers import Tokenizer
+
+            made.append(Tokenizer.from_file(path))
+            made[0].encode_special_tokens = True
+        return len(made[0].encode(text, add_special_tokens=False).ids)
+
+    return count
+
+
+def _measure(text: str, count: Callable[[str], int], size: int, longest: int | None) -> Callable[[int, int], int]:
     """Tokens of text[a:b]; words are counted from their places, without slicing."""
     if count is not word_count:
-        return lambda a, b: count(text[a:b])
+        # a text longer than ``size`` of the longest tokens needs no counting
+        return lambda a, b: size + 1 if longest and b - a > size * longest else count(text[a:b])
     starts = [m.start() for m in re.finditer(r"\S+", text)]
     inside = lambda a: 0 < a < len(text) and not text[a].isspace() and not text[a - 1].isspace()
     return lambda a, b: bisect_left(starts, b) - bisect_left(starts, a) + (a < b and inside(a))
 
 
-def split_text(text: str, size: int, count: Callable[[str], int] = word_count, overlap: float = 0) -> list[tuple[int, int]]:
-    """Ranges [start, end) of at most ``size`` tokens; ``overlap`` under 1 is a share of the size, from 1 on a number of tokens."""
+def split_text(text: str, size: int, count: Callable[[str], int] = word_count, overlap: float = 0, longest: int | None = None) -> list[tuple[int, int]]:
+    """Ranges [start, end) of at most ``size`` tokens; ``overlap`` under 1 is a share of the size, from 1 on a number of tokens.
+
+    ``longest``: characters of the longest token, where known.
+    """
     if size < 1:
         raise ValueError("chunk_size has to be 1 at least")
     extra = int(overlap * size) if overlap < 1 else int(overlap)
@@ -42,7 +67,7 @@ def split_text(text: str, size: int, count: Callable[[str], int] = word_count, o
         raise ValueError("the overlap has to be less than the chunk size")
     if not text or not text.strip():
         return []
-    tokens = _measure(text, count)
+    tokens = _measure(text, count, size, longest)
     out: list[tuple[int, int]] = []
     for a, b in _merge(_cut(text, 0, len(text), size - extra, tokens, 0), size - extra, tokens):
         while a < b and text[a].isspace():

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillmill.functions.text import decode_span
+from quillmill.functions.text import decode_span, spans_overlap
 
 EDGE = ["document_id", "source_id", "target_id", "relation", "props"]
 _NAMED = {"persons": "person", "locations": "location", "terms": "term", "external_documents": "external_document"}
@@ -32,7 +32,7 @@ def span_chunks(spans: DataFrame, chunks: DataFrame, narrative_only: bool = True
     c = chunks.filter("content_type = 'narrative'") if narrative_only and "content_type" in chunks.columns else chunks
     c = c.select(F.col("document_id").alias("__d"), "chunk_index", "start_char", "end_char", bins("start_char", "end_char").alias("__c"))
     first = F.floor(F.greatest("start", "start_char") / bin_chars)
-    on = (F.col("document_id") == F.col("__d")) & (F.col("__b") == F.col("__c")) & (F.col("start_char") < F.col("end")) & (F.col("start") < F.col("end_char")) & (first == F.col("__b"))
+    on = (F.col("document_id") == F.col("__d")) & (F.col("__b") == F.col("__c")) & spans_overlap(F.col("start_char"), F.col("end_char"), F.col("start"), F.col("end")) & (first == F.col("__b"))
     return spans.withColumn("__b", bins("start", "end")).join(c, on).drop("__d", "__b", "__c", "start_char", "end_char")
 
 
@@ -85,7 +85,7 @@ def entity_mentions(enriched: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     c = chunks.filter("content_type = 'narrative'") if "content_type" in chunks.columns else chunks
     bounds = c.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "start_char", "end_char"))).alias("b"))
-    met = F.filter("b", lambda x: (x["start_char"] < F.col("mention_end")) & (F.col("mention_start") < x["end_char"]))
+    met = F.filter("b", lambda x: spans_overlap(x["start_char"], x["end_char"], F.col("mention_start"), F.col("mention_end")))
     rows = _mention_rows(enriched.join(bounds, "document_id", "left"), "b")
     return rows.select(*_MENTION, F.coalesce(F.try_element_at(met, F.lit(1))["chunk_index"], F.lit(-1)).cast("int").alias("chunk_index"))
 

@@ -164,6 +164,14 @@ def span_chunk_overlap(spark, d):
     return graph.span_chunks(spans, T.windows(spark, d)).select("document_id", "start", "end", "chunk_index")
 
 
+@_query
+def span_containment(spark, d):
+    """Whether a window that a line overlaps holds all of it."""
+    w = T.windows(spark, d).select("document_id", "chunk_index", "start_char", "end_char")
+    pairs = graph.span_chunks(T.line_spans(spark, d), T.windows(spark, d)).join(w, ["document_id", "chunk_index"])
+    return pairs.select("document_id", "ord", "chunk_index", X.span_contains(F.col("start_char"), F.col("end_char"), F.col("start"), F.col("end")).alias("whole"))
+
+
 @_query
 def mention_first_chunk(spark, d):
     spans = T.line_spans(spark, d).select("document_id", "start", "end")

@@ -145,6 +145,8 @@ ORACLE: dict[str, str] = {
     "resume_anti_join": f"WITH {_DOCS} SELECT document_id, source_path FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "batch_summary": f"WITH {_DOCS} SELECT source, count(*) FILTER (quality = 1) AS succeeded, count(*) FILTER (quality <> 1) AS failed, count(*) FILTER (quality IS NULL) AS pending FROM docs LEFT JOIN labels USING (doc_id) GROUP BY source",
     "span_chunk_overlap": f'WITH {_DOCS}, {_LINES}, {_WINDOWS} SELECT s.document_id, s.start, s."end", w.chunk_index FROM spans s JOIN win w ON w.document_id = s.document_id AND w.start_char < s."end" AND s.start < w.end_char',
+    "span_containment": f"""WITH {_DOCS}, {_LINES}, {_WINDOWS} SELECT s.document_id, s.ord, w.chunk_index, w.start_char <= s.start AND s."end" <= w.end_char AS whole
+      FROM spans s JOIN win w ON w.document_id = s.document_id AND w.start_char < s."end" AND s.start < w.end_char""",
     "mention_first_chunk": f"""WITH {_DOCS}, {_LINES}, {_WINDOWS} SELECT s.document_id, s.start, s."end", CAST(coalesce(min(w.chunk_index), -1) AS INTEGER) AS chunk_index
       FROM spans s LEFT JOIN win w ON w.document_id = s.document_id AND w.start_char < s."end" AND s.start < w.end_char GROUP BY 1, 2, 3""",
     "entity_mentions": f"WITH {_MENTIONS} SELECT * FROM mentions",

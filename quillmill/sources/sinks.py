@@ -67,10 +67,14 @@ def extraction_rows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return conform(df.withColumn("metadata", meta), DOCUMENTS, keep)
 
 
-def write_enrichment(enriched: DataFrame, chunks: DataFrame, out: str) -> dict[str, str]:
-    """Mentions, edges and counts of enriched documents."""
+def write_enrichment(enriched: DataFrame, chunks: DataFrame, out: str) -> dict[str, str] | None:
+    """Mentions, edges and counts of the documents that have an enrichment; None where none has."""
     from quillmill.operators import graph
 
+    enriched = enriched.filter(F.col("e").isNotNull())
+    if enriched.isEmpty():
+        return None
+    chunks = chunks.join(enriched.select("document_id").distinct(), "document_id", "left_semi")
     tables = {"entities": (graph.entity_mentions(enriched, chunks), MENTIONS), "graph_edges": (graph.edges_to_rows(graph.edges(enriched, chunks)), EDGES), "enrichment_meta": (graph.enrichment_meta(enriched), META)}
     return {name: write_table(df, f"{out.rstrip('/')}/{name}.parquet", schema) for name, (df, schema) in tables.items()}
 

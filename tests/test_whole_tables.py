@@ -40,6 +40,23 @@ def test_chunks_of_every_document(spark, small):
     assert counts == {i: len(chunking.split_text(t, 200)) for i, t in texts.items() if t.strip()}
 
 
+def test_counters(spark):
+    asked = []
+    count = chunking.remembered(lambda t: asked.append(t) or len(t))
+    text = "one two three. four five six. " * 30
+    plain = chunking.split_text(text, 40, len)
+    assert chunking.split_text(text, 40, count) == plain and len(asked) == len(set(asked))
+    before = len(asked)
+    assert chunking.split_text(text, 40, count) == plain and len(asked) == before
+    lengths = []
+    assert chunking.split_text(text, 40, lambda t: lengths.append(len(t)) or len(t), longest=1) == plain and max(lengths) <= 40
+    tokens = chunking.token_count_of("/opt/tokenizers/byte_bpe_50k.json")
+    assert tokens("some words <|endoftext|>") > 3 and all(tokens(text[a:b]) <= 20 for a, b in chunking.split_text(text, 20, tokens))
+    df = spark.createDataFrame([("d", text)], "document_id string, text string")
+    got = chunking.chunk_documents(df, 20, tokens).orderBy("chunk_index").collect()
+    assert [(r["start_char"], r["end_char"]) for r in got] == chunking.split_text(text, 20, tokens)
+
+
 def words_apart(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -118,6 +135,11 @@ def test_enrichment_tables_and_their_readers(spark, small, tmp_path):
     kept = graph.load_mentions(spark, out["entities"])
     assert key(kept) == key(graph.entity_mentions(e, c)) and kept.filter("role IS NULL").count() == 0
     assert key(spark.read.parquet(out["graph_edges"])) == key(graph.edges_to_rows(graph.edges(e, c))) and spark.read.parquet(out["enrichment_meta"]).count() == e.count()
+    none = e.withColumn("e", F.when(F.lit(False), F.col("e")))
+    assert sinks.write_enrichment(none, c, str(tmp_path)) is None
+    half = e.withColumn("e", F.when(F.col("document_id").cast("int") % 2 == 0, F.col("e")))
+    out = sinks.write_enrichment(half, c, str(tmp_path / "half"))
+    assert 0 < spark.read.parquet(out["enrichment_meta"]).count() < e.count() and spark.read.parquet(out["graph_edges"]).filter("CAST(document_id AS INT) % 2 = 1").count() == 0
     n = graph.nodes(e, c)
     assert graph.nodes_by_label(n, "person").count() == 2 * e.count()
 
