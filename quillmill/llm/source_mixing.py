@@ -14,9 +14,9 @@
    before all of its blocks had their turn.
 4. Slots and blocks are joined on (source, index).
 
-Nothing depends on how the input is partitioned.  What reaches the driver is
-one number a source; every shard's draw knows all sources, so these are meant to
-be few next to the documents.
+Nothing depends on how the input is partitioned.  With many sources a shard
+draws over groups of ``GROUP`` of them first, then within the groups that got
+slots, so neither the driver nor a task ever holds more than a number a group.
 
 Defined cases: a null or empty text packs as a lone end-of-text token; a very
 long one is cut over as many blocks as it takes; a null source counts as the
@@ -40,6 +40,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, Inte
 from quillmill.llm.arrays import mix64, text_slices
 from quillmill.llm.bpe_core import DEFAULT_VOCAB, Ranks
 from quillmill.llm.shared import column, read_table, resolved, written
+from quillmill.operators.fidelity import with_row_index
 
 BLOCK_TOKENS = 2048
 #: Blocks of an output shard.
@@ -52,6 +53,8 @@ SEED = 20240
 TEMPER = 0.7
 #: Rows up to which a table of lanes or slots is broadcast, at about 160 bytes a row some 64 MB; beyond, both sides shuffle.
 BROADCAST_ROWS = 400_000
+#: Sources of a group, which one draw knows.
+GROUP = 1024
 #: Neighbours that are summed up by one task before the sums are.
 NEIGHBOURS = 4096
 
@@ -235,13 +238,37 @@ def _texts(ranks: Ranks, ids: np.ndarray):
     return lambda a, b: data[edge(a) : edge(b)].decode("utf-8", "replace")
 
 
-def draw_slots(spark, sizes: dict[str, int], weights: dict[str, float] | None = None, epochs: float = 1.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temper: float = TEMPER) -> DataFrame:
-    """(source, index, epoch, shard, slot): which block every slot of every shard takes."""
-    names = sorted(s for s, n in sizes.items() if n > 0 and (weights is None or weights.get(s, 0) > 0))
-    n = np.array([sizes[s] for s in names], np.int64)
-    w = np.array([weights[s] for s in names], float) if weights is not None else n.astype(float) ** temper
-    w = w / w.sum() if len(w) else w
-    slots = int(round(sum(sizes.values()) * epochs)) if names else 0
+def _counts(seed: int, shard: int, size: int, w: np.ndarray) -> np.ndarray:
+    """Multinomial counts of a shard, by a generator of its own."""
+    return np.random.Generator(np.random.Philox(key=np.array([seed & (1 << 64) - 1, shard], np.uint64))).multinomial(size, w / w.sum())
+
+
+def group_seed(seed: int, group: int) -> int:
+    return seed + group * 0x9E3779B97F4A7C15
+
+
+def draw_slots(spark, sizes: DataFrame | dict[str, int], weights: dict[str, float] | None = None, epochs: float = 1.0, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, temper: float = TEMPER, group: int = GROUP, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(source, index, epoch, shard, slot): which block every slot of every shard takes.
+
+    ``sizes``: (source, n) blocks of each source.  A shard draws over groups of
+    ``group`` neighbouring sources, then within those that got slots; the
+    driver sees one number a group.
+    """
+    if isinstance(sizes, dict):
+        sizes = spark.createDataFrame([*sizes.items()], "source string, n bigint")
+    if weights is None:
+        wanted = sizes.filter("n > 0").withColumn("w", F.pow("n", F.lit(temper)))
+    else:
+        wanted = sizes.filter("n > 0").join(spark.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0], "source string, w double"), "source")
+    total, sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], wanted.count()
+    if sources <= group:  # few enough for one task to number
+        known = wanted.withColumn("s", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1)
+    else:
+        known = with_row_index(wanted, "source", name="s")
+    known = written(known.select("source", "n", "w", F.col("s").cast("int").alias("s")), "sources")
+    groups = written(known.groupBy(F.floor(F.col("s") / group).cast("int").alias("g")).agg(F.sum("w").alias("sum"), F.sort_array(F.collect_list(F.struct("s", "w"))).alias("members")), "source-groups")
+    whole = np.array([r["sum"] for r in groups.select("g", "sum").orderBy("g").collect()], float)
+    slots = int(round(total * epochs)) if len(whole) else 0
     shards = math.ceil(slots / shard_blocks)
 
     def draw(batches):
@@ -249,27 +276,40 @@ def draw_slots(spark, sizes: dict[str, int], weights: dict[str, float] | None =
             out = []
             for shard in batch.column(0).to_pylist():
                 size = min(shard_blocks, slots - shard * shard_blocks)
-                got = np.random.Generator(np.random.Philox(key=np.array([seed, shard], np.uint64))).multinomial(size, w)
-                before = np.concatenate([[0], np.cumsum(got)[:-1]])
-                out += [(shard, k, int(c), int(b)) for k, (c, b) in enumerate(zip(got, before)) if c]
+                got = _counts(seed ^ 1 << 63, shard, size, whole) if len(whole) > 1 else np.array([size])
+                before = np.cumsum(got) - got
+                out += [(shard, k, int(got[k]), int(before[k])) for k in np.flatnonzero(got).tolist()]
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["shard", "g", "taken", "before"])
+
+    def draw_members(batches):
+        for batch in batches:
+            out = []
+            for shard, g, taken, before, members in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                got = _counts(group_seed(seed, g), shard, taken, np.array([m["w"] for m in members], float))
+                ahead = before + np.cumsum(got) - got
+                out += [(shard, members[k]["s"], int(got[k]), int(ahead[k])) for k in np.flatnonzero(got).tolist()]
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["shard", "s", "taken", "before"])
 
     def expand(batches):
         for batch in batches:
-            for shard, s, taken, before, start in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for shard, s, taken, before, start, source, n in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 x = np.arange(start, start + taken)
-                epoch, at = x // n[s], x % n[s]
+                epoch, at = x // n, x % n
                 index = np.empty(taken, np.int64)
                 for e in np.unique(epoch).tolist():
                     m = epoch == e
-                    index[m] = permute(at[m], int(n[s]), _key(seed, s, e))
+                    index[m] = permute(at[m], n, _key(seed, s, e))
                 size = min(shard_blocks, slots - shard * shard_blocks)
                 slot = permute(np.arange(before, before + taken), size, _key(seed, shard, 1 << 40))
-                yield pa.RecordBatch.from_arrays([pa.array([names[s]] * taken, pa.string()), pa.array(index), pa.array(epoch), pa.array(np.full(taken, shard, np.int64)), pa.array(slot)], names=["source", "index", "epoch", "shard", "slot"])
+                yield pa.RecordBatch.from_arrays([pa.array([source] * taken, pa.string()), pa.array(index), pa.array(epoch), pa.array(np.full(taken, shard, np.int64)), pa.array(slot)], names=["source", "index", "epoch", "shard", "slot"])
 
-    drawn = spark.range(shards).mapInArrow(draw, "shard bigint, s int, taken bigint, before bigint")
-    return sums_before(drawn, "s", "shard", "taken", "start").select("shard", "s", "taken", "before", "start").mapInArrow(expand, "source string, index bigint, epoch bigint, shard bigint, slot bigint")
+    few = F.broadcast if sources <= broadcast_rows else (lambda df: df)
+    drawn = spark.range(shards).mapInArrow(draw, "shard bigint, g int, taken bigint, before bigint").join(few(groups.select("g", "members")), "g").select("shard", "g", "taken", "before", "members")
+    each = written(drawn.mapInArrow(draw_members, "shard bigint, s int, taken bigint, before bigint"), "draws")
+    placed = sums_before(each, "s", "shard", "taken", "start").join(few(known.select("s", "source", "n")), "s")
+    return placed.select("shard", "s", "taken", "before", "start", "source", "n").mapInArrow(expand, "source string, index bigint, epoch bigint, shard bigint, slot bigint")
 
 
 def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, block: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, lane_docs: int = LANE_DOCS, seed: int = SEED, temper: float = TEMPER, with_text: bool = False, broadcast_rows: int = BROADCAST_ROWS, **columns) -> DataFrame:
@@ -278,13 +318,13 @@ def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     blocks = pack_blocks(docs, block, lane_docs, with_text, broadcast_rows=broadcast_rows, **columns)
     per_lane = written(blocks.groupBy("source", "lane").agg(F.count(F.lit(1)).alias("n")), "lane-blocks")
     base = written(sums_before(per_lane, "source", "lane", "n", "base"), "lane-bases")
-    sizes = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    n_bases = base.count()
-    slots = draw_slots(spark, sizes, weights, epochs, shard_blocks, seed, temper)
+    sizes = base.groupBy("source").agg(F.sum("n").alias("n"))
+    n_bases, n_blocks = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    slots = draw_slots(spark, sizes, weights, epochs, shard_blocks, seed, temper, broadcast_rows=broadcast_rows)
     bases = base.select("source", "lane", "base")
     if n_bases <= broadcast_rows:
         bases = F.broadcast(bases)
-    if sum(sizes.values()) * epochs <= broadcast_rows:
+    if n_blocks * epochs <= broadcast_rows:
         slots = F.broadcast(slots)
     indexed = blocks.join(bases, ["source", "lane"]).withColumn("index", F.col("base") + F.col("k"))
     return indexed.join(slots, ["source", "index"]).select("shard", "slot", "source", F.col("index").alias("block_index"), "epoch", "n_tokens", "doc_ids", "lens", *["texts", "meta"] * with_text, "ids")

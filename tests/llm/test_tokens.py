@@ -295,6 +295,34 @@ def test_mixture_against_a_plain_version(spark):
         assert len(seen) == len(set(seen)) and max(e for e, _ in seen) == (len(seen) - 1) // sizes[s]
 
 
+def test_draws_over_groups_of_sources_against_a_plain_version(spark):
+    sizes = {f"s{k:02}": (k * 7) % 5 for k in range(23)}
+    w = {f"s{k:02}": float(k % 4) for k in range(30)}
+    for weights in (None, w):
+        names = sorted(s for s, n in sizes.items() if n and (weights is None or weights.get(s, 0) > 0))
+        each = np.array([sizes[s] ** source_mixing.TEMPER if weights is None else weights[s] for s in names])
+        total = round(sum(sizes.values()) * 3)
+        want, start = set(), [0] * len(names)
+        for shard in range(-(-total // 16)):
+            size, at = min(16, total - 16 * shard), 0
+            groups = [range(k, min(k + 4, len(names))) for k in range(0, len(names), 4)]
+            sums = np.array([each[list(g)].sum() for g in groups])
+            rng = lambda key: np.random.Generator(np.random.Philox(key=np.array([key & (1 << 64) - 1, shard], np.uint64)))  # noqa: B023, E731
+            for g, n in enumerate(rng(source_mixing.SEED ^ 1 << 63).multinomial(size, sums / sums.sum())):
+                mine = each[list(groups[g])]
+                for k, taken in zip(groups[g], rng(source_mixing.SEED + g * 0x9E3779B97F4A7C15).multinomial(n, mine / mine.sum()) if n else []):
+                    for x in range(start[k], start[k] + taken):
+                        e, i = divmod(x, sizes[names[k]])
+                        index = int(source_mixing.permute(np.array([i]), sizes[names[k]], source_mixing._key(source_mixing.SEED, k, e))[0])
+                        slot = int(source_mixing.permute(np.array([at]), size, source_mixing._key(source_mixing.SEED, shard, 1 << 40))[0])
+                        want.add((names[k], index, e, shard, slot))
+                        at += 1
+                    start[k] += taken
+        for rows_ in (0, 100):
+            got = source_mixing.draw_slots(spark, sizes, weights, epochs=3.0, shard_blocks=16, group=4, broadcast_rows=rows_).collect()
+            assert len(got) == total == len(want) and {(r["source"], r["index"], r["epoch"], r["shard"], r["slot"]) for r in got} == want
+
+
 def blocks_by_hand(spark, data, reference, block, lane_docs):
     """{source: blocks in order of their index}, each a list of (id, ids); ``data``: (id, text, source, ...)."""
     eos = Ranks.load().size
