@@ -58,6 +58,8 @@ GATHER = 1 << 14
 STREAMED = 1 << 15
 #: Rows up to which the removed ids are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: The bits of each byte, highest first, as the eight bytes of a word.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 _STOP = np.isin(np.arange(256), np.frombuffer(b".,;:?!", np.uint8))
 _MASK = np.uint64(0x7FFF7FFF7FFF7FFF)
 
@@ -83,16 +85,22 @@ def fingerprints(buf: np.ndarray, offs: np.ndarray, slab: int = 1 << 18) -> tupl
             # one full stop, comma or the like at the end isn't part of the word; other signs are
             ends = ends - ((ends - starts > 1) & _STOP[buf[ends - 1]])
             doc = np.searchsorted(offs, starts, side="right") - 1
-            key = np.unique(doc.astype(np.uint64) << np.uint64(44) | span_hashes(buf, starts, ends) >> np.uint64(20))
-            doc = (key >> np.uint64(44)).astype(np.int64)
+            key = np.sort(doc.astype(np.uint64) << np.uint64(44) | span_hashes(buf, starts, ends) >> np.uint64(20))
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
             h = key & np.uint64((1 << 44) - 1)
-            count = np.bincount(doc, minlength=n)
-            for a in range(0, len(h), slab):
-                part, d = h[a : a + slab], doc[a : a + slab]
+            count = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=n)
+            # bits are counted eight to a word of eight bytes, so in runs of at most 255 words of a text
+            runs = -(-count // 255)
+            of = np.repeat(np.arange(n), runs)
+            at = np.repeat(np.cumsum(count) - count, runs) + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs))
+            i = 0
+            while i < len(of):
+                j = max(i + 1, int(np.searchsorted(at, at[i] + slab)))
+                part = h[at[i] : at[j] if j < len(at) else len(h)]
                 two = np.stack([mix64(part ^ np.uint64(0xA5A5_0000_0000_0000)), mix64(part ^ np.uint64(0x3C3C_0000_0000_0000))], axis=1)
-                bits = np.unpackbits(two.astype(">u8").view(np.uint8).reshape(-1, 16), axis=1)
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                acc[d[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+                lanes = np.add.reduceat(_LANES[two.astype(">u8").view(np.uint8).reshape(-1, 16)], at[i:j] - at[i], axis=0)
+                np.add.at(acc, of[i:j], lanes.view(np.uint8).reshape(-1, 128))
+                i = j
     packed = np.packbits(2 * acc > count[:, None], axis=1).view(">u8").astype(np.uint64)
     return packed & _MASK, count
 
