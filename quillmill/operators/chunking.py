@@ -15,6 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmill.functions.text import table_to_markdown
+from quillmill.operators.graph import span_chunks
 
 CHUNK = "struct<chunk_index:int,start_char:int,end_char:int,text:string>"
 _LEVELS = [re.compile(p) for p in (r"\n\s*\n+", r"\n", r"(?<=[.!?])\s+", r"(?<=[,;:])\s+", r"\s+")]
@@ -187,5 +188,6 @@ def flag_redacted(chunks: DataFrame, affected: DataFrame) -> DataFrame:
 
 def source_pages(chunks: DataFrame, page_offsets: DataFrame) -> DataFrame:
     """Adds the numbers of the pages that a narrative chunk covers. ``page_offsets``: document_id, page_number, page_start, page_end."""
-    hit = chunks.join(page_offsets, "document_id").filter("start_char < page_end AND page_start < end_char")
-    return chunks.join(hit.groupBy("document_id", "chunk_index").agg(F.array_sort(F.collect_set("page_number")).alias("source_pages")), ["document_id", "chunk_index"], "left")
+    pages = page_offsets.select("document_id", "page_number", F.col("page_start").alias("start"), F.col("page_end").alias("end"))
+    hit = span_chunks(pages, chunks).groupBy("document_id", "chunk_index").agg(F.array_sort(F.collect_set("page_number")).alias("source_pages"))
+    return chunks.join(hit, ["document_id", "chunk_index"], "left")
