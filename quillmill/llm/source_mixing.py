@@ -276,7 +276,7 @@ def draw_slots(spark, sizes: DataFrame | dict[str, int], weights: dict[str, floa
             out = []
             for shard in batch.column(0).to_pylist():
                 size = min(shard_blocks, slots - shard * shard_blocks)
-                got = _counts(seed ^ 1 << 63, shard, size, whole) if len(whole) > 1 else np.array([size])
+                got = _counts(seed ^ 1 << 63, shard, size, whole)
                 before = np.cumsum(got) - got
                 out += [(shard, k, int(got[k]), int(before[k])) for k in np.flatnonzero(got).tolist()]
             cols = list(zip(*out)) if out else [[]] * 4
@@ -306,7 +306,11 @@ def draw_slots(spark, sizes: DataFrame | dict[str, int], weights: dict[str, floa
                 yield pa.RecordBatch.from_arrays([pa.array([source] * taken, pa.string()), pa.array(index), pa.array(epoch), pa.array(np.full(taken, shard, np.int64)), pa.array(slot)], names=["source", "index", "epoch", "shard", "slot"])
 
     few = F.broadcast if sources <= broadcast_rows else (lambda df: df)
-    drawn = spark.range(shards).mapInArrow(draw, "shard bigint, g int, taken bigint, before bigint").join(few(groups.select("g", "members")), "g").select("shard", "g", "taken", "before", "members")
+    if len(whole) > 1:
+        by_group = written(spark.range(shards).mapInArrow(draw, "shard bigint, g int, taken bigint, before bigint"), "group-draws")
+    else:  # one group takes all
+        by_group = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).alias("g"), F.least(F.lit(shard_blocks), slots - F.col("id") * shard_blocks).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("before"))
+    drawn = by_group.join(few(groups.select("g", "members")), "g").select("shard", "g", "taken", "before", "members")
     each = written(drawn.mapInArrow(draw_members, "shard bigint, s int, taken bigint, before bigint"), "draws")
     placed = sums_before(each, "s", "shard", "taken", "start").join(few(known.select("s", "source", "n")), "s")
     return placed.select("shard", "s", "taken", "before", "start", "source", "n").mapInArrow(expand, "source string, index bigint, epoch bigint, shard bigint, slot bigint")
