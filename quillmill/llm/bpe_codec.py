@@ -26,7 +26,7 @@ from quillmill.llm.bpe_core import DEFAULT_VOCAB, Ranks, pretokens
 from quillmill.llm.shared import read_table, type_of
 
 #: Pre-tokens whose ids a worker keeps before it starts afresh.
-KEPT = 250_000
+KEPT = 200_000
 
 
 class HeapCodec:
@@ -35,6 +35,7 @@ class HeapCodec:
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
         self.byte_id = ranks.byte_id.tolist()
+        self.pairs = ranks.pairs()
         self.kept: dict[bytes, list[int]] = {}
 
     @classmethod
@@ -49,7 +50,7 @@ class HeapCodec:
         sym = [byte_id[b] for b in piece]
         if n < 2:
             return sym
-        pairs = self.ranks.pairs.get
+        pairs = self.pairs.get
         rank = [pairs(sym[i] << 20 | sym[i + 1], -1) for i in range(n - 1)]
         rank.append(-1)
         heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]

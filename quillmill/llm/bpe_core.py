@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -155,13 +156,14 @@ class Ranks:
         self.byte_id = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         # every way to put a token together from two others
         get = self.rank.get
-        self.pairs: dict[int, int] = {}
+        keys, vals = array("q"), array("i")
         for t, r in self.rank.items():
             for k in range(1, len(t)):
                 a = get(t[:k])
                 if a is not None and (b := get(t[k:])) is not None:
-                    self.pairs[a << 20 | b] = r
-        self._hash()
+                    keys.append(a << 20 | b)
+                    vals.append(r)
+        self._hash(np.array(keys, np.int64), np.array(vals, np.int32))
         both = np.arange(1 << 16)
         self.byte_rank = self.lookup(self.byte_id[both >> 8], self.byte_id[both & 255])
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -179,10 +181,13 @@ class Ranks:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _hash(self) -> None:
+    def pairs(self) -> dict[int, int]:
+        """Ranks by pair, for looking up one at a time."""
+        some = np.flatnonzero(self.slots >= 0)
+        return dict(zip(self.slots[some].tolist(), self.values[some].tolist()))
+
+    def _hash(self, keys: np.ndarray, vals: np.ndarray) -> None:
         """Open addressing with linear probing, filled a probe distance at a time."""
-        keys = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs))
-        vals = np.fromiter(self.pairs.values(), np.int32, len(self.pairs))
         self.bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
         size = 1 << self.bits
         self.slots = np.full(size + 64, -1, np.int64)
