@@ -10,13 +10,23 @@ from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to a Python worker, and Spark's own bound, which is left alone where it was changed.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH, USUAL_BATCH = "8m", str(64 << 20)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of 8 instead of 64 MB: a worker holds several copies of one, next to an executor's heap."""
+    if spark.conf.get(BATCH_BYTES, USUAL_BATCH).rstrip("b") == USUAL_BATCH:
+        spark.conf.set(BATCH_BYTES, BATCH)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once an application, so that their Python workers can import it wherever they run.
+    """Send the package to the executors, once an application, so that their Python workers can import it wherever they run; bound their batches.
 
     The archive is made on the driver alone; Spark serves it to the executors.
     """
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

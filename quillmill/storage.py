@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP = 32 << 20
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -46,6 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups, as each open file keeps one in memory
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)

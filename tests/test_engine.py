@@ -454,3 +454,56 @@ def test_streaming_ingest_and_windows(spark, tmp_path, small):
     want = {(r["window_start"], r["event_type"], r["n"]) for r in events.windowed_counts(batch, "1 day", watermark=None).collect()}
     assert {(r["window_start"], r["event_type"], r["n"]) for r in spark.table("w").collect()} == want
     assert events.sessions(batch, watermark=None).agg(F.sum("n")).first()[0] == batch.count()
+
+
+# == session
+
+
+def test_batches_are_bounded_where_the_session_does_not_say_otherwise(spark):
+    from quillmill import session
+
+    before = spark.conf.get(session.BATCH_BYTES)
+    try:
+        spark.conf.set(session.BATCH_BYTES, session.USUAL_BATCH)
+        session.ship(spark)
+        assert spark.conf.get(session.BATCH_BYTES) == session.BATCH
+        spark.conf.set(session.BATCH_BYTES, "3m")
+        session.ship(spark)
+        assert spark.conf.get(session.BATCH_BYTES) == "3m"
+    finally:
+        spark.conf.set(session.BATCH_BYTES, before)
+
+
+def test_a_submitted_master_is_kept(spark, monkeypatch):
+    from quillmill import session
+
+    asked = []
+
+    class Builder:
+        def appName(self, name):  # noqa: N802
+            return self
+
+        def config(self, map):
+            return self
+
+        def master(self, name):
+            asked.append(name)
+            return self
+
+        def getOrCreate(self):  # noqa: N802
+            return "session"
+
+    monkeypatch.setattr(session.SparkSession, "builder", Builder())
+    monkeypatch.setattr(session, "SparkConf", lambda: type("Conf", (), {"contains": lambda self, key: False})())
+    for name in ("MASTER", "SPARK_REMOTE", "PYSPARK_SUBMIT_ARGS"):
+        monkeypatch.delenv(name, raising=False)
+    assert session.get_session(3) == "session" and asked == ["local[3]"]
+    monkeypatch.setenv("PYSPARK_SUBMIT_ARGS", "--master yarn pyspark-shell")
+    session.get_session(3)
+    assert asked == ["local[3]"]
+
+
+def test_numbers_of_rows_do_not_need_an_order(spark):
+    df = spark.range(0, 100, numPartitions=7).withColumn("v", F.lit(1))
+    got = fidelity.with_row_index(df).collect()
+    assert sorted(r["row_index"] for r in got) == list(range(100))
