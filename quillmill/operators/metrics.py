@@ -92,25 +92,103 @@ def reading_order(reference: DataFrame, hypothesis: DataFrame, least: float = 0.
     return reference.groupBy("document_id").cogroup(hypothesis.groupBy("document_id")).applyInPandas(run, "document_id string, accuracy double")
 
 
+def near_boxes(docs: np.ndarray, boxes: np.ndarray, other_docs: np.ndarray, others: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Along one axis: an order of the others, and for each box the range in it outside of which nothing of its document overlaps it. Documents ascend."""
+    n, m = len(boxes), len(others)
+    start, end = others[:, axis], others[:, axis + 2]
+    order = np.lexsort((start, other_docs))
+    # the furthest end so far within the document, by ranks, so that one running maximum does for all documents
+    rank = np.empty(m, np.int64)
+    rank[np.argsort(end, kind="stable")] = np.arange(m)
+    furthest = np.sort(end)[np.maximum.accumulate(rank[order] + other_docs[order] * m) % m] if m else end
+
+    def before(values: np.ndarray, limits: np.ndarray, equal: bool) -> np.ndarray:
+        """How many of the others, in their order, come before each limit of its document."""
+        theirs = np.repeat([not equal, equal], [n, m])
+        both = np.lexsort((~theirs, np.concatenate([limits, values]), np.concatenate([docs, other_docs[order]])))
+        out = np.empty(n + m, np.int64)
+        out[both] = np.cumsum(both >= n)
+        return out[:n]
+
+    return order, before(furthest, boxes[:, axis], True), before(start[order], boxes[:, axis + 2], False)
+
+
+def match_boxes(docs: np.ndarray, boxes: np.ndarray, other_docs: np.ndarray, others: np.ndarray, least: float = 0.3, at_once: int = 1 << 20) -> np.ndarray:
+    """Greedily, in their order, each box's best free partner in its document by overlap, the first of equal ones: its place in the others, or -1.
+
+    Documents ascend in both. Only boxes that meet along one axis are compared, the axis with fewer of them, and about ``at_once`` pairs at a time.
+    """
+    m, out, free = len(others), np.full(len(boxes), -1), np.ones(len(others), bool)
+    order, low, high = near_boxes(docs, boxes, other_docs, others, 0)
+    if np.maximum(high - low, 0).sum() > 8 * len(boxes):
+        order_y, low_y, high_y = near_boxes(docs, boxes, other_docs, others, 1)
+        fewer = high_y - low_y < high - low
+        order, low, high = np.concatenate([order, order_y]), np.where(fewer, low_y + m, low), np.where(fewer, high_y + m, high)
+    # where numbers don't compare, or no overlap is enough, a box is compared with its whole document
+    odd = np.isin(docs, np.concatenate([docs[~np.isfinite(boxes).all(axis=1)], other_docs[~np.isfinite(others).all(axis=1)]])) | (least <= 0)
+    low, high = np.where(odd, np.searchsorted(other_docs, docs), low), np.where(odd, np.searchsorted(other_docs, docs, "right"), high)
+    counts = np.maximum(high - low, 0)
+    upto, a = np.cumsum(counts), 0
+    while a < len(boxes):
+        done = upto[a] - counts[a]
+        b = max(a + 1, int(np.searchsorted(upto, done + at_once, "right")))
+        c = counts[a:b]
+        i = np.repeat(np.arange(a, b), c)
+        j = order[np.arange(len(i)) + np.repeat(low[a:b] - (upto[a:b] - c - done), c)]
+        i, j = i[free[j]], j[free[j]]
+        with np.errstate(all="ignore"):
+            score = box_ious(boxes[i].T, others[j])
+        good = score >= least
+        i, j, score = i[good], j[good], score[good]
+        sure = (np.bincount(i - a, minlength=b - a)[i - a] == 1) & (np.bincount(j, minlength=m)[j] == 1 if len(j) else True)
+        out[i[sure]] = j[sure]
+        free[j[sure]] = False
+        i, j, score = i[~sure], j[~sure], score[~sure]
+        by = np.lexsort((j, i))
+        i, j, score = i[by], j[by], score[by]
+        edges = np.flatnonzero(np.diff(i, prepend=-1, append=-1)) if len(i) else i
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            left = free[j[x:y]]
+            if left.any():
+                k = x + int(np.where(left, score[x:y], -1.0).argmax())
+                out[i[k]] = j[k]
+                free[j[k]] = False
+        a = b
+    return out
+
+
 def match_layout(predicted: DataFrame, truth: DataFrame, least: float = 0.3) -> DataFrame:
-    """(label, tp, fp, fn): greedy matching in the predictions' order; a wrong label counts against both."""
-
-    def run(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("ord")
-        labels, boxes = t["label"].tolist(), t[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        free, rows = np.ones(len(labels), bool), []
-        for r in p.sort_values("ord").itertuples():
-            score = np.where(free, box_ious((r.x0, r.y0, r.x1, r.y1), boxes), -1.0)
-            best = int(score.argmax()) if free.any() else -1
-            if best >= 0 and score[best] >= least:
-                free[best] = False
-                rows += [(r.label, 1, 0, 0)] if labels[best] == r.label else [(r.label, 0, 1, 0), (labels[best], 0, 0, 1)]
-            else:
-                rows.append((r.label, 0, 1, 0))
-        rows += [(labels[k], 0, 0, 1) for k in np.flatnonzero(free)]
-        return pd.DataFrame(rows, columns=["label", "tp", "fp", "fn"])
-
-    matched = predicted.groupBy("document_id").cogroup(truth.groupBy("document_id")).applyInPandas(run, "label string, tp bigint, fp bigint, fn bigint")
+    """(label, tp, fp, fn): greedy matching in the predictions' order; a wrong label counts against both.
+
+    Many documents are matched at once, as work in Python for each of them would cost more than their boxes.
+    """
+    box = ("x0", "y0", "x1", "y1")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            docs = batch.column(0)
+            r = docs.flatten()
+            rows = pa.table({"doc": np.repeat(np.arange(len(docs)), docs.value_lengths().to_numpy()), **{f.name: r.field(k) for k, f in enumerate(r.type)}})
+            rows = rows.sort_by([(c, "ascending") for c in ("side", "doc", "ord", "y0", "x0", "y1", "x1", "label")])
+            labels = rows["label"].combine_chunks().dictionary_encode()
+            names = [*labels.dictionary.to_pylist(), None]
+            code = pc.fill_null(labels.indices, len(names) - 1).to_numpy()
+            doc, boxes = rows["doc"].to_numpy(), np.column_stack([pc.fill_null(rows[c], float("nan")).to_numpy() for c in box])
+            n = pc.sum(pc.equal(rows["side"], 0)).as_py() or 0
+            partner = match_boxes(doc[:n], boxes[:n], doc[n:], boxes[n:], least)
+            right = (partner >= 0) & (code[:n] == np.append(code[n:], -1)[partner])
+            tp = np.bincount(code[:n][right], minlength=len(names))
+            fp, fn = np.bincount(code[:n], minlength=len(names)) - tp, np.bincount(code[n:], minlength=len(names)) - tp
+            some = np.flatnonzero(tp + fp + fn)
+            yield pa.record_batch({"label": pa.array([names[k] for k in some], pa.string()), "tp": tp[some], "fp": fp[some], "fn": fn[some]})
+
+    side = lambda df, k: df.select("document_id", F.lit(k).alias("side"), "ord", F.col("label").cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in box])
+    regions = side(predicted, 0).unionByName(side(truth, 1))
+    each = regions.groupBy("document_id").agg(F.collect_list(F.struct("side", "ord", "label", *box)).alias("regions")).select("regions")
+    matched = each.mapInArrow(run, "label string, tp bigint, fp bigint, fn bigint")
     return matched.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 

@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill.functions import spans as S, text as X
@@ -172,3 +173,80 @@ def test_matching_of_words_and_regions():
     assert metrics.match_words([("x", (20, 0, 30, 10)), ("y", (21, 0, 31, 10)), ("z", (90, 0, 99, 9))], boxes) == [1, 2]
     assert metrics.match_words([], boxes) == [] and metrics.match_words([("x", (0, 0, 1, 1))], []) == []
     assert metrics.concordance([3, 1, 2]) == 1 / 3 and metrics.concordance([1]) == 1.0
+
+
+def match_by_hand(p, t, least):
+    free, out = list(range(len(t))), []
+    for box in p:
+        with np.errstate(all="ignore"):
+            best = max(((float(metrics.box_ious(box, np.array([t[k]], float))[0]), -k) for k in free), default=(-9.0, 0))
+        out.append(-best[1] if best[0] >= least else -1)
+        free = [k for k in free if k != out[-1]]
+    return out
+
+
+def random_boxes(rng, n, most, sizes=(1, 6)):
+    corner, size = rng.integers(0, most, (n, 2)), rng.integers(*sizes, (n, 2))
+    return np.column_stack([corner, corner + size]) + rng.random((n, 4)) * rng.integers(0, 2)
+
+
+def test_boxes_are_matched_as_one_by_one():
+    rng, hits = np.random.default_rng(5), 0
+    for trial in range(200):
+        n, m = rng.integers(0, 30, 2)
+        docs, others = np.sort(rng.integers(0, 3, n)), np.sort(rng.integers(0, 3, m))
+        p, t = (random_boxes(rng, k, (3, 9, 40)[trial % 3], (-1 if trial % 4 == 0 else 1, 8)) for k in (n, m))
+        if trial % 5 == 0 and n and m:  # no numbers, infinite ones
+            p[0, trial % 4], t[m - 1, trial // 2 % 4] = np.nan, np.inf
+        least = (0.3, 0.05, 0.9, 0.0, -2.0)[trial // 5 % 5]
+        want = np.full(n, -1)
+        for d in range(3):
+            at = np.flatnonzero(others == d)
+            want[docs == d] = [-1 if k < 0 else at[k] for k in match_by_hand(p[docs == d], t[at], least)]
+        for at_once in (1, 50, 1 << 20):
+            assert metrics.match_boxes(docs, p, others, t, least, at_once).tolist() == want.tolist()
+        hits += (want >= 0).sum()
+    assert hits > 500
+
+
+def test_pairs_of_a_large_page_stay_few(monkeypatch):
+    """Boxes side by side, columns of lines: pairs compared grow far less than their square, and no comparison takes them all."""
+    asked, plain = [], metrics.box_ious
+    monkeypatch.setattr(metrics, "box_ious", lambda one, boxes: asked.append(len(boxes)) or plain(one, boxes))
+    n = 3000
+    k = np.arange(n)
+    columns = np.column_stack([k % 3 * 100, k // 3 * 10, k % 3 * 100 + 90, k // 3 * 10 + 8.0])
+    assert (metrics.match_boxes(k * 0, columns, k * 0, columns + 1, at_once=1000) == k).all()
+    assert sum(asked) < 10 * n and max(asked) <= 1000
+    asked.clear()
+    same = np.tile([0.0, 0.0, 5.0, 5.0], (400, 1))
+    assert (metrics.match_boxes(k[:400] * 0, same, k[:400] * 0, same, at_once=1000) == k[:400]).all() and max(asked) <= 1000
+
+
+def test_layouts_are_matched_many_documents_at_a_time(spark):
+    rng, names, sides = np.random.default_rng(6), ["a", "b", None, "?"], []
+    for _ in range(2):
+        rows = []
+        for d in [None, *map(str, range(60))]:
+            n = int(rng.integers(0, 12)) if d != "7" else 150
+            ords = rng.permutation(n).tolist()
+            rows += [(d, o, names[rng.integers(0, 4)], *map(float, b)) for o, b in zip(ords, random_boxes(rng, n, 4 if d != "7" else 30, (3, 8)))]
+        sides.append([rows[k] for k in rng.permutation(len(rows))])
+    want: dict = {}
+    add = lambda label, k: want.setdefault(label, [0, 0, 0]).__setitem__(k, want[label][k] + 1)
+    for d in [None, *map(str, range(60))]:
+        p, t = (sorted((r for r in rows if r[0] == d), key=lambda r: r[1]) for rows in sides)
+        partner = match_by_hand([r[3:] for r in p], [r[3:] for r in t], 0.3)
+        right = {k for r, k in zip(p, partner) if k >= 0 and t[k][2] == r[2]}
+        for r, k in zip(p, partner):
+            add(r[2], 0 if k in right else 1)
+        for k, r in enumerate(t):
+            if k not in right:
+                add(r[2], 2)
+    p, t = (spark.createDataFrame(rows, "document_id string, ord int, label string, x0 double, y0 double, x1 double, y1 double") for rows in sides)
+    got = metrics.match_layout(p, t)
+    assert {r["label"]: [r["tp"], r["fp"], r["fn"]] for r in got.collect()} == want and sum(v[0] for v in want.values()) > 20
+    assert {r["label"]: [r["tp"], r["fp"], r["fn"]] for r in metrics.match_layout(p.filter("false"), t.filter("ord = 0")).collect()} == {r["label"]: [0, 0, r["n"]] for r in t.filter("ord = 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # no call of Python for each document
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
