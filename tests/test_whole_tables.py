@@ -250,3 +250,29 @@ def test_layouts_are_matched_many_documents_at_a_time(spark):
     # no call of Python for each document
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
+def test_pages_are_drawn_without_python(spark):
+    """Python gets pages in bounded batches and never makes a batch of them from small rows."""
+    from quillmill.operators import redaction
+    from quillmill.plans.rasters import pages_with_boxes
+
+    ids = [0, 1, 2, 3, 4, 7, -1, 10**15 + 2, None]
+    docs = spark.createDataFrame([(str(k), i) for k, i in enumerate(ids)], "document_id string, doc_id long")
+    pages = pages_with_boxes(docs)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan(pages) for x in ("MapIn", "Python", "Pandas")) and "MapIn" not in plan(redaction.redaction_reports(pages))
+    assert pages.dtypes == [("document_id", "string"), ("page_number", "int"), ("width", "int"), ("height", "int"), ("pixels", "binary")]
+    got = {int(r["document_id"]): r for r in pages.collect()}
+    for k, i in enumerate(ids[:-1]):
+        want = np.full((60, 80), 255, np.uint8)
+        for n in range(i % 4):
+            for y in range(5 + 18 * n, 13 + 18 * n):
+                for x in range(10, 22 + n):
+                    want[y, x] = 0
+        assert bytes(got[k]["pixels"]) == want.tobytes() and (got[k]["page_number"], got[k]["width"], got[k]["height"]) == (0, 80, 60)
+    assert got[8]["pixels"] is None
+    totals = {int(r["document_id"]): r["total"] for r in redaction.redaction_reports(pages).collect()}
+    assert totals == {k: (i or 0) % 4 for k, i in enumerate(ids)}
+    other = pages_with_boxes(docs, 30, 20)
+    assert all(len(r["pixels"]) == 600 for r in other.filter("pixels IS NOT NULL").collect())
